@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.numeric import nan_to_null
@@ -133,8 +133,6 @@ def supported_keys(df: DataFrame, *keys: str, min_support: int = MIN_SUPPORT) ->
 
 def top_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """Most frequent keys, ties by key, with their chart position."""
-    from pyspark.sql import Window
-
     top = count_per_key(df, key).orderBy(F.desc("n"), F.asc(key)).limit(n)
     return top.withColumn("sort_order", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(key))))
 
@@ -145,19 +143,19 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     Bins without rows are listed with zero. Two passes: bounds, then counts of at most `bins` groups.
     """
     values = df.select(nan_to_null(F.col(col)).alias("x")).filter(F.col("x").isNotNull())
-    limits = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
-        "lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(bins - 1)).alias("width")
-    )
-    limits = limits.withColumn(
-        "origin",
-        F.col("width") / 2 + F.floor((F.col("lo") - F.col("width") / 2) / F.col("width")) * F.col("width"),
+    lo, hi = F.col("lo"), F.col("hi")
+    # Fixed value: a column with a single distinct value gets bins of this width.
+    width = F.when(hi > lo, (hi - lo) / F.lit(bins - 1)).otherwise(F.lit(0.1))
+    limits = (
+        values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .withColumn("width", width)
+        .withColumn("origin", F.col("width") / 2 + F.floor((lo - F.col("width") / 2) / F.col("width")) * F.col("width"))
     )
-    width = limits.select("width").scalar()
-    origin = limits.select("origin").scalar()
-    number = F.greatest(F.ceil((F.col("x") - origin) / width), F.lit(1)).cast("bigint")
+    scale = limits.select(F.struct("origin", "width")).scalar()
+    number = F.greatest(F.ceil((F.col("x") - scale["origin"]) / scale["width"]), F.lit(1)).cast("bigint")
     counted = values.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    last = F.ceil((F.col("hi") - F.col("origin")) / F.col("width")).cast("bigint")
-    frame = limits.select(
+    last = F.greatest(F.ceil((hi - F.col("origin")) / F.col("width")), F.lit(1)).cast("bigint")
+    frame = limits.filter(lo.isNotNull()).select(
         F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("bin"), "origin", "width"
     )
     return frame.join(counted, "bin", "left").select(

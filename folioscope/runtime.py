@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Holds the largest bounded side, 100,000 words with 200-wide vectors, with room to spare.
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 _own_dirs: dict[str, str] = {}
 
