@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -94,13 +96,8 @@ def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_
         weights[row.label_idx] = row.centroid
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def products(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-        import pandas as pd
-
         matrix = np.asarray(shared.value, dtype="float64").T
         for batch in batches:
             if len(batch):

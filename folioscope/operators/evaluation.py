@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +89,12 @@ def curve_metrics(curve: DataFrame, *groups: str, target: float = K90_ACCURACY)
     )
 
 
-def performance(histogram: DataFrame, n_classes: Column | int, *groups: str, step: int = COVERAGE_STEP) -> DataFrame:
-    """(groups..., accuracy, auc, k90), accuracy and area rounded to three digits."""
+def performance(histogram: DataFrame, n_classes: Column | int, *groups: str, step: int = COVERAGE_STEP,
+                digits: int = 3) -> DataFrame:
+    """(groups..., accuracy, auc, k90), accuracy and area rounded."""
     curve = coverage_curve(histogram, n_classes, *groups, step=step)
     joined = accuracy(histogram, *groups).join(curve_metrics(curve, *groups), list(groups))
-    return joined.select(*groups, F.round("accuracy", 3).alias("accuracy"), F.round("auc", 3).alias("auc"), "k90")
+    return joined.select(*groups, F.round("accuracy", digits).alias("accuracy"), F.round("auc", digits).alias("auc"), "k90")
 
 
 def recall_table(ranks: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -149,13 +152,8 @@ def bootstrap_histogram(histogram: DataFrame, resamples: int, *groups: str, n_dr
         .withColumn("__ns", F.transform("__bars", lambda bar: bar["n"]))
     )
 
-    import pandas as pd
-
     @F.pandas_udf("array<bigint>")
     def multinomial(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import numpy as np
-        import pandas as pd
-
         for numbers, counts in batches:
             drawn = []
             for b, n in zip(numbers, counts):

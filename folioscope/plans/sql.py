@@ -87,8 +87,8 @@ def curve(groups: str, source: str, step: int, name: str = "curve") -> str:
     return f"""{name} AS (
   SELECT {groups}, k, (k + 1) / CAST(any_value(nc) AS DOUBLE) AS coverage,
          avg(CASE WHEN true_rank <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
-  FROM {source} CROSS JOIN ncls CROSS JOIN (SELECT unnest(range(0, 1000000, {step})) AS k) g
-  WHERE k < nc GROUP BY {groups}, k)"""
+  FROM {source} CROSS JOIN (SELECT nc, CAST(unnest(range(0, nc, {step})) AS INTEGER) AS k FROM ncls) g
+  GROUP BY {groups}, k)"""
 
 
 def metrics(groups: str, source: str, name: str = "perf", curve_name: str = "curve") -> str:
