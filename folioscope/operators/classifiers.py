@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -86,7 +86,8 @@ def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_
     """Add the dot product with every class centroid as ARRAY<DOUBLE> by class index.
 
     The centroids form a weight matrix of classes x features, bounded like any model; rows are
-    scored in Arrow batches by one matrix product. A class without centroid scores 0.
+    scored in Arrow batches by one matrix product. A class without centroid scores 0. Vectors
+    must be present and of equal width.
     """
     model = stage(centroids, "centroids")
     width = model.agg(F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()[0]
@@ -96,14 +97,13 @@ def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_
         weights[row.label_idx] = row.centroid
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("array<double>")
-    def products(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matrix = np.asarray(shared.value, dtype="float64").T
-        for batch in batches:
-            if len(batch):
-                yield pd.Series(list(np.stack(batch.to_numpy()).astype("float64") @ matrix), index=batch.index)
-            else:
-                yield pd.Series([], dtype="object")
+    @F.arrow_udf("array<double>")
+    def products(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matrix = np.asarray(shared.value, dtype="float64").reshape(n_classes, width).T
+        for vectors in batches:
+            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            ends = np.arange(0, len(rows) * n_classes + 1, n_classes, dtype="int32")
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array((rows @ matrix).ravel()))
 
     return df.withColumn(out_col, products(as_double(F.col(vector_col))))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.numeric import nan_to_null
 from folioscope.functions.records import first_value, has_fields
 from folioscope.functions.text import blank_to_null, contains_word, tokens, year_prefix
-from folioscope.runtime import broadcast_if_small
+from folioscope.runtime import broadcast_if_small, stage
 
 # Fields an article must carry, oldest accepted age, minimum articles per journal.
 REQUIRED_FIELDS = ["AB", "TA", "PHST"]
@@ -28,11 +28,11 @@ def not_missing(df: DataFrame, col: str) -> DataFrame:
     return df.filter(nan_to_null(F.col(col)).isNotNull())
 
 
-def member_of(df: DataFrame, col: str, keep: DataFrame | list) -> DataFrame:
+def member_of(df: DataFrame, keys: str | list[str], keep: DataFrame | list) -> DataFrame:
     """Rows whose key is in a literal list or in another table."""
     if isinstance(keep, DataFrame):
-        return df.join(keep.select(col), col, "left_semi")
-    return df.filter(F.col(col).isin(list(keep)))
+        return df.join(broadcast_if_small(stage(keep.select(keys), "keep")), keys, "left_semi")
+    return df.filter(F.col(keys).isin(list(keep)))
 
 
 def with_required_fields(records: DataFrame, fields_col: str = "fields") -> DataFrame:
@@ -86,14 +86,14 @@ def first_per_key(df: DataFrame, key: Column, key_name: str, order_cols: list[st
 def first_match_lookup(left: DataFrame, key_col: str, lookup: DataFrame, lookup_key: str,
                        order_cols: list[str], values: list[str], how: str = "inner") -> DataFrame:
     """Case-insensitive lookup that takes the first of several matching rows."""
-    firsts = first_per_key(lookup, F.lower(F.col(lookup_key)), "__lookup", order_cols, values)
+    firsts = stage(first_per_key(lookup, F.lower(F.col(lookup_key)), "__lookup", order_cols, values), "lookup")
     return left.join(
         broadcast_if_small(firsts), F.lower(left[key_col]) == firsts["__lookup"], how
     ).drop("__lookup")
 
 
 def fill_missing(left: DataFrame, key_col: str, value_col: str, fallback: DataFrame) -> DataFrame:
-    """Left join to a secondary source (`key_col`, `fallback_value`) that fills only missing values.
+    """Left join to a secondary source (unique `key_col`, `fallback_value`) that fills only missing values.
 
     `filled` tells which rows got their value from it.
     """

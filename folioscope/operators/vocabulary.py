@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -29,24 +34,63 @@ def distinct_raw_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(pieces).alias("word")).distinct()
 
 
+def _place(docs: DataFrame, id_col: str):
+    """Orderable (document, position). As one number for integer ids: numbers aggregate by hash, structs by sort."""
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.col(id_col).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")
+    return F.struct(id_col, "pos")
+
+
 def fit_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n, idx): every word with its 1-based frequency rank, ties by first appearance."""
     words = docs.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "word"))
     ranked = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "pos")).alias("first_seen")
+        F.count(F.lit(1)).alias("n"), F.min(_place(docs, id_col)).alias("first_seen")
     )
     indexed = with_row_index(ranked, F.desc("n"), F.asc("first_seen"))
     return indexed.select("word", "n", (F.col("row_idx") + 1).cast("int").alias("idx"))
 
 
+def _all_words(text_col: str):
+    return F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
+
+
+def _word_positions(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per token its position in `known` (-1 when absent), and the list boundaries."""
+    found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+    bounds = lists.offsets.to_numpy(zero_copy_only=False)
+    return found, bounds - bounds[0]
+
+
 def text_sequences(docs: DataFrame, vocabulary: DataFrame, num_words: int = MAX_WORDS,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, sequence): word indices in text order.
 
     Only indices below `num_words` are kept, unknown words are dropped, documents without any
-    known word get an empty sequence. The vocabulary side is bounded by `num_words`.
+    known word get an empty sequence. A vocabulary within `max_bytes` is looked up inside each
+    document's own task, so the corpus is never shuffled; a larger one is joined.
     """
-    known = broadcast_if_small(vocabulary.filter(F.col("idx") < num_words).select("word", "idx"))
+    known = vocabulary.filter(F.col("idx") < num_words).select("word", "idx")
+    if measured_bytes(known) > max_bytes:
+        return _joined_sequences(docs, known, id_col, text_col)
+    table = known.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (table["word"].combine_chunks(), table["idx"].to_numpy().astype("int32"))
+    )
+
+    @F.arrow_udf("array<int>")
+    def indices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, numbers = shared.value
+        for lists in batches:
+            found, bounds = _word_positions(lists, words)
+            kept = found >= 0
+            ends = np.concatenate(([0], np.cumsum(kept)))[bounds].astype("int32")
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[found[kept]]))
+
+    return docs.select(id_col, indices(_all_words(text_col)).alias("sequence"))
+
+
+def _joined_sequences(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = docs.select(id_col, F.posexplode_outer(tokens(F.col(text_col))).alias("pos", "word"))
     matched = words.join(known, "word", "left")
     placed = F.when(F.col("idx").isNotNull(), F.struct("pos", "idx"))  # NULLs are not collected
@@ -74,19 +118,47 @@ def embedding_table(vocabulary: DataFrame, vectors: DataFrame, width: int, num_w
     )
 
 
-def document_vectors(docs: DataFrame, embeddings: DataFrame, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """(id, vector): mean embedding of a document's in-vocabulary words.
+def document_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col: str = "doc_id",
+                     text_col: str = "text", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, vector): mean embedding of a document's in-vocabulary words; zeros when it has none.
 
-    Words of one document sit in one task after the explode, so the mean is combined before the
-    shuffle and only one vector per document moves.
+    An embedding table within `max_bytes` is applied inside each document's own task without a
+    shuffle; a larger one is joined.
     """
+    if measured_bytes(embeddings) > max_bytes:
+        return _joined_vectors(docs, embeddings, width, id_col, text_col)
+    table = embeddings.select("word", "vector").toArrow()
+    matrix = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    shared = docs.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), matrix))
+
+    @F.arrow_udf("array<double>")
+    def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, vectors = shared.value
+        for lists in batches:
+            found, bounds = _word_positions(lists, words)
+            result = np.zeros((len(lists), width))
+            for row in range(len(lists)):
+                own = found[bounds[row]:bounds[row + 1]]
+                rows, counts = np.unique(own[own >= 0], return_counts=True)
+                if len(rows):
+                    result[row] = counts @ vectors[rows] / counts.sum()
+            ends = np.arange(0, len(lists) * width + 1, width, dtype="int32")
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel()))
+
+    return docs.select(id_col, means(_all_words(text_col)).alias("vector"))
+
+
+def _joined_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     table = embeddings.select("word", array_to_vector("vector").alias("vector"))
-    if measured_bytes(embeddings) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
     words = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("word"))
-    means = words.join(table, "word").groupBy(id_col).agg(Summarizer.mean(F.col("vector")).alias("mean"))
-    return means.select(id_col, vector_to_array("mean").alias("vector"))
+    counted = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    means = counted.join(table, "word").groupBy(id_col).agg(
+        Summarizer.mean(F.col("vector"), F.col("weight")).alias("mean")
+    )
+    found = means.select(id_col, vector_to_array("mean").alias("vector"))
+    return docs.select(id_col).join(found, id_col, "left").select(
+        id_col, F.coalesce("vector", zero_vector(width)).alias("vector")
+    )
 
 
 def label_dictionary(df: DataFrame, label_col: str, max_labels: int = MAX_LABELS) -> DataFrame:

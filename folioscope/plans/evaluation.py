@@ -11,6 +11,7 @@ from folioscope.operators import vocabulary as voc
 from folioscope.plans import models, sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load
+from folioscope.runtime import stage
 
 RESAMPLES = 20
 
@@ -77,7 +78,7 @@ def journal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label_idx, source AS journal FROM documents""")
 def inverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
-    names = voc.label_dictionary(docs, "source")
+    names = voc.staged_label_dictionary(docs, "source")
     coded = voc.encode_labels(docs, names, "source").drop("source")
     return voc.decode_labels(coded, names, "label_idx", "journal")
 
@@ -131,7 +132,7 @@ def arithmetic_draw(b: Column, i: Column, n: int) -> Column:
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, b, true_rank, n) of the test split; b = 0 holds the estimate itself."""
-    test = _ranks(spark, sf_dir).filter(F.col("split") == "test")
+    test = stage(_ranks(spark, sf_dir).filter(F.col("split") == "test"), "ranks")
     resampled = ev.bootstrap_rows(test, "vec_id", RESAMPLES, arithmetic_draw, "model")
     return ev.rank_histogram(test, "model").withColumn("b", F.lit(0)).unionByName(resampled)
 

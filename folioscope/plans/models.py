@@ -15,8 +15,8 @@ from folioscope.operators import vocabulary as voc
 from folioscope.operators.splits import positional_split
 from folioscope.plans import sql, text
 from folioscope.plans.registry import query
-from folioscope.plans.tables import articles, load
-from folioscope.runtime import broadcast_if_small, stage
+from folioscope.plans.tables import articles, load, texts
+from folioscope.runtime import broadcast_if_small, spread, stage
 
 # Words used by the term-count classifiers.
 NUM_WORDS = 20_000
@@ -117,11 +117,11 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         impact_band(F.col("impact_factor")).alias("band"),
     )
     places = positional_split(rows.select("doc_id"), "doc_id").select("doc_id", "split")
-    rows = stage(rows.join(broadcast_if_small(places), "doc_id"), "split-articles")
+    rows = stage(spread(rows, "doc_id").join(broadcast_if_small(places), "doc_id"), "split-articles")
     train = rows.filter(F.col("split") == "train")
     vocabulary = stage(voc.fit_vocabulary(train), "vocabulary")
-    coded = voc.encode_labels(rows, voc.label_dictionary(rows, "category"), "category", "topic_idx")
-    coded = voc.encode_labels(coded, voc.label_dictionary(rows, "journal_abbrev"), "journal_abbrev", "journal_idx")
+    coded = voc.encode_labels(rows, voc.staged_label_dictionary(rows, "category"), "category", "topic_idx")
+    coded = voc.encode_labels(coded, voc.staged_label_dictionary(rows, "journal_abbrev"), "journal_abbrev", "journal_idx")
     featured = clf.term_features(coded, vocabulary, NUM_WORDS)
     return stage(featured.select("doc_id", "split", "topic_idx", "band", "journal_idx", "features"), "features")
 
@@ -251,7 +251,7 @@ def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = with_helper_probabilities(features, n_labels(spark, sf_dir, "lang")).select(
         "doc_id", "split", F.col("journal_idx").alias("label_idx"), F.col("hidden").alias("vector")
     )
-    base = voc.document_vectors(text.documents(spark, sf_dir), text.embeddings(spark, sf_dir))
+    base = voc.document_vectors(texts(spark, sf_dir), text.embeddings(spark, sf_dir), text.WIDTH)
     stacked = clf.stacked_vectors(base, [hidden.select("doc_id", "vector")], "doc_id")
     rows = stage(stacked.join(hidden.drop("vector"), "doc_id"), "stacked")
     return centroid_scores(rows, n_labels(spark, sf_dir, "source"), "vector")
@@ -261,7 +261,8 @@ _STACKED_SQL = f"""{sql.vocabulary("tok", "allvocab")},
 {text.EMBEDDING_SQL.strip().replace("FROM vocab", "FROM allvocab")},
 allcnt AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY doc_id, word),
 docvec AS (SELECT doc_id, CAST(dim AS BIGINT) AS dim, sum(c * value) / sum(c) AS v FROM allcnt JOIN embtab USING (word) GROUP BY doc_id, dim),
-stackv AS (SELECT * FROM docvec UNION ALL SELECT doc_id, dim + 1000, v FROM hidden WHERE doc_id IN (SELECT doc_id FROM docvec)),
+stackv AS (SELECT doc_id, d.dim, coalesce(v, 0.0::DOUBLE) AS v FROM documents CROSS JOIN (SELECT DISTINCT dim FROM docvec) d
+  LEFT JOIN docvec USING (doc_id, dim) UNION ALL SELECT doc_id, dim + 1000, v FROM hidden),
 stc AS (SELECT journal_idx AS c, dim, avg(v) AS w FROM stackv JOIN targets USING (doc_id) WHERE split = 'train' GROUP BY 1, 2),
 sts AS (SELECT doc_id, c, sum(v * w) AS s FROM stackv JOIN stc USING (dim) GROUP BY 1, 2)"""
 

@@ -11,7 +11,7 @@ from folioscope.operators.vocabulary import label_dictionary, token_counts
 from folioscope.plans import sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import (
-    articles, impact_list, journals, listing_pages, load, master_lines, master_records, masters, record_text,
+    articles, impact_list, journals, listing_pages, load, master_lines, master_records, masters, record_text, texts,
 )
 from folioscope.runtime import new_path
 from folioscope.sources import html, tabular
@@ -83,7 +83,7 @@ def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second write is skipped, so the table keeps the first result."""
     path = new_path(spark, "counts-once")
-    counts = token_counts(load(spark, sf_dir, "documents"))
+    counts = token_counts(texts(spark, sf_dir))
     tabular.write_if_absent(counts, path)
     tabular.write_if_absent(counts.withColumn("n", -F.col("n")), path)
     return spark.read.schema(counts.schema).parquet(path)

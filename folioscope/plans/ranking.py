@@ -11,7 +11,7 @@ from folioscope.operators.relational import top_n
 from folioscope.operators.vocabulary import fit_vocabulary, label_dictionary
 from folioscope.plans import sql
 from folioscope.plans.registry import query
-from folioscope.plans.tables import load
+from folioscope.plans.tables import load, texts
 
 _SCORES = """cells AS (SELECT vec_id, label, unnest(embedding) AS p, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS class_idx
   FROM embeddings),
@@ -31,7 +31,7 @@ def label_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w2_vocabulary_index", sql.with_(sql.TOKENS, sql.vocabulary(), body="SELECT word, n, idx FROM vocab"))
 def vocabulary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit_vocabulary(load(spark, sf_dir, "documents"))
+    return fit_vocabulary(texts(spark, sf_dir))
 
 
 @query("w3_top_journals", """
@@ -48,7 +48,7 @@ FROM (SELECT word, count(*) AS n FROM tok GROUP BY word) ORDER BY n DESC, word L
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.functions.text import tokens
 
-    words = load(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("word"))
+    words = texts(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("word"))
     return top_n(words, "word", 100)
 
 

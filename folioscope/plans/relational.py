@@ -9,10 +9,10 @@ from folioscope.functions.numeric import half_even, impact_band
 from folioscope.functions.records import first_value, has_fields
 from folioscope.functions.text import query_string, raw_tokens, year_prefix
 from folioscope.operators import relational as ops
-from folioscope.operators.vocabulary import distinct_raw_tokens, label_dictionary
+from folioscope.operators.vocabulary import distinct_raw_tokens, encode_labels, staged_label_dictionary
 from folioscope.plans import sql
 from folioscope.plans.registry import query
-from folioscope.plans.tables import TERMS, article_fields, articles, impact_list, journals, load, masters
+from folioscope.plans.tables import TERMS, article_fields, articles, impact_list, journals, load, masters, texts
 from folioscope.runtime import broadcast_if_small
 from folioscope.sources.journal_list import with_any_issn
 
@@ -131,7 +131,7 @@ SELECT doc_id, source, lang FROM documents SEMI JOIN (
 def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     keep = ops.supported_keys(docs, "source", "lang", min_support=20).drop("n")
-    return docs.join(keep, ["source", "lang"], "left_semi")
+    return ops.member_of(docs, ["source", "lang"], keep)
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _term_sql() -> str:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.search_terms(load(spark, sf_dir, "documents"), TERMS)
+    return ops.search_terms(texts(spark, sf_dir), TERMS)
 
 
 @query("f11_term_search", sql.with_(_term_sql(), body="SELECT topic, term_no, doc_id FROM hits"))
@@ -212,10 +212,8 @@ def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j5_dictionary_lookup", """
 SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_idx FROM documents""")
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioscope.operators.vocabulary import encode_labels
-
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
-    return encode_labels(docs, label_dictionary(docs, "lang"), "lang")
+    return encode_labels(docs, staged_label_dictionary(docs, "lang"), "lang")
 
 
 _FILL = sql.with_(sql.MASTERS, """filled AS (
@@ -283,7 +281,7 @@ SELECT (SELECT count(DISTINCT source) FROM documents) AS journals,
 def distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     journals_ = docs.agg(F.countDistinct("source")).scalar()
-    return distinct_raw_tokens(docs).agg(journals_.alias("journals"), F.count(F.lit(1)).alias("raw_tokens"))
+    return distinct_raw_tokens(texts(spark, sf_dir)).agg(journals_.alias("journals"), F.count(F.lit(1)).alias("raw_tokens"))
 
 
 _HIST = """

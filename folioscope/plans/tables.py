@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.runtime import spread
+
 # Search terms by topic: (topic, required words, excluded words).
 TERMS = [
     ("alpha", ["the"], ["whou", "of"]),
@@ -19,6 +21,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of all documents, spread over all cores for work on whole texts."""
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _source_number() -> Column:
     return F.substring("source", 4, 10).cast("int")
 

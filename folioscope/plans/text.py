@@ -11,17 +11,13 @@ from folioscope.operators import vocabulary as voc
 from folioscope.operators.splits import positional_split
 from folioscope.plans import sql
 from folioscope.plans.registry import query
-from folioscope.plans.tables import load
+from folioscope.plans.tables import load, texts
 from folioscope.runtime import stage
 
 WIDTH = 64
 NUM_WORDS = 5000
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
-
-
 def word_vectors(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> DataFrame:
     """Stand-in pretrained vectors: the i-th most frequent word has vector i - 1."""
     vectors = load(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("idx"), "embedding")
@@ -41,7 +37,7 @@ embtab AS (
 @query("f4_tokenise", sql.with_(sql.TOKENS, body="""
 SELECT doc_id, count(*) AS n_words, md5(string_agg(word, ' ' ORDER BY pos)) AS words_md5 FROM tok GROUP BY doc_id"""))
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("words"))
+    words = texts(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("words"))
     return words.filter(F.size("words") > 0).select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5")
     )
@@ -49,7 +45,7 @@ def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a7_token_counts", sql.with_(sql.TOKENS, body="SELECT word, count(*) AS n FROM tok GROUP BY word"))
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.token_counts(load(spark, sf_dir, "documents"))
+    return voc.token_counts(texts(spark, sf_dir))
 
 
 @query("m1_fit_vocabulary", sql.with_(
@@ -58,7 +54,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.vocabulary("train_tok"), body="SELECT word, n, idx FROM vocab"))
 def fit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary of the training split, saved as a table and read back."""
-    docs = documents(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     train = positional_split(docs.select("doc_id"), "doc_id").filter(F.col("split") == "train").select("doc_id")
     return stage(voc.fit_vocabulary(docs.join(train, "doc_id", "left_semi")), "vocabulary")
 
@@ -75,7 +71,7 @@ def _seq_sql(body: str) -> str:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     vocabulary = stage(voc.fit_vocabulary(docs), "vocabulary")
     return voc.text_sequences(docs, vocabulary, NUM_WORDS)
 
@@ -113,7 +109,7 @@ def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded sequence and journal label of every document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
     features = voc.padded_sequences(sequences(spark, sf_dir)).join(docs, "doc_id")
-    coded = voc.encode_labels(features, voc.label_dictionary(docs, "source"), "source")
+    coded = voc.encode_labels(features, voc.staged_label_dictionary(docs, "source"), "source")
     total = F.aggregate("sequence", F.lit(0).cast("bigint"), lambda s, i: s + i)
     return coded.select("doc_id", "label_idx", F.size("sequence").cast("bigint").alias("length"), total.alias("id_sum"))
 
@@ -129,7 +125,7 @@ def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = stage(voc.fit_vocabulary(documents(spark, sf_dir)), "vocabulary")
+    vocabulary = stage(voc.fit_vocabulary(texts(spark, sf_dir)), "vocabulary")
     vectors = word_vectors(spark, sf_dir, vocabulary)
     return stage(voc.embedding_table(vocabulary, vectors, WIDTH, NUM_WORDS), "embeddings")
 
@@ -154,9 +150,10 @@ def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m4_document_vectors", sql.with_(sql.TOKENS, sql.vocabulary(), EMBEDDING_SQL,
     "cnt AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY doc_id, word)", body="""
-SELECT doc_id, CAST(dim - 1 AS INTEGER) AS dim, round(sum(c * value) / sum(c), 6) AS value
-FROM cnt JOIN embtab USING (word) GROUP BY doc_id, dim"""))
+SELECT doc_id, CAST(dim - 1 AS INTEGER) AS dim, round(coalesce(v, 0.0::DOUBLE), 6) AS value
+FROM documents CROSS JOIN (SELECT DISTINCT dim FROM embtab)
+LEFT JOIN (SELECT doc_id, dim, sum(c * value) / sum(c) AS v FROM cnt JOIN embtab USING (word) GROUP BY doc_id, dim) USING (doc_id, dim)"""))
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = voc.document_vectors(documents(spark, sf_dir), embeddings(spark, sf_dir))
+    vectors = voc.document_vectors(texts(spark, sf_dir), embeddings(spark, sf_dir), WIDTH)
     cells = vectors.select("doc_id", F.posexplode("vector").alias("dim", "value"))
     return cells.withColumn("value", F.round("value", 6))

@@ -23,6 +23,7 @@ def build_session(app: str, cores: str = "*", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     }
     for key, value in {**defaults, **conf}.items():
@@ -84,3 +85,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     """Hint a broadcast only after measuring `df`; larger sides stay ordinary shuffle joins,
     where adaptive execution splits hot keys."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a scan that has fewer tasks than the cluster has cores; otherwise unchanged.
+
+    Meant for expensive row work on small or single-block inputs. `key` should be unique.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
