@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def columns_at(df: DataFrame, start: int, stop: int | None = None) -> DataFrame:
 
 
 def not_missing(df: DataFrame, col: str) -> DataFrame:
-    return df.filter(nan_to_null(F.col(col)).isNotNull())
+    return df.filter(F.col(col).isNotNull() & ~F.isnan(col))
 
 
 def member_of(df: DataFrame, keys: str | list[str], keep: DataFrame | list) -> DataFrame:
@@ -120,8 +122,8 @@ def count_per_key(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
-    """Group counts with their share of all rows; the total is a scalar subquery over the groups."""
-    counts = count_per_key(df, key)
+    """Group counts with their share of all rows; the data is read once, the total comes from the groups."""
+    counts = stage(count_per_key(df, key), "counts")
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total)
 
@@ -142,26 +144,24 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
     Bins without rows are listed with zero. Two passes: bounds, then counts of at most `bins` groups.
     """
-    values = df.select(nan_to_null(F.col(col)).alias("x")).filter(F.col("x").isNotNull())
-    lo, hi = F.col("lo"), F.col("hi")
+    values = not_missing(df.select(F.col(col).alias("x")), "x")
+    lo, hi = values.agg(F.min("x"), F.max("x")).first()
+    if lo is None:
+        return df.sparkSession.createDataFrame([], "bin BIGINT, lower DOUBLE, upper DOUBLE, n BIGINT")
     # Fixed value: a column with a single distinct value gets bins of this width.
-    width = F.when(hi > lo, (hi - lo) / F.lit(bins - 1)).otherwise(F.lit(0.1))
-    limits = (
-        values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        .withColumn("width", width)
-        .withColumn("origin", F.col("width") / 2 + F.floor((lo - F.col("width") / 2) / F.col("width")) * F.col("width"))
-    )
-    scale = limits.select(F.struct("origin", "width")).scalar()
-    number = F.greatest(F.ceil((F.col("x") - scale["origin"]) / scale["width"]), F.lit(1)).cast("bigint")
-    counted = values.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    last = F.greatest(F.ceil((hi - F.col("origin")) / F.col("width")), F.lit(1)).cast("bigint")
-    frame = limits.filter(lo.isNotNull()).select(
-        F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("bin"), "origin", "width"
-    )
+    width = (hi - lo) / (bins - 1) if hi > lo else 0.1
+    origin = width / 2 + math.floor((lo - width / 2) / width) * width
+
+    def number(x: Column) -> Column:
+        return F.greatest(F.ceil((x - F.lit(origin)) / F.lit(width)), F.lit(1)).cast("bigint")
+
+    counted = values.groupBy(number(F.col("x")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    last = max(math.ceil((hi - origin) / width), 1)
+    frame = df.sparkSession.range(1, last + 1).withColumnRenamed("id", "bin")
     return frame.join(counted, "bin", "left").select(
         "bin",
-        (F.col("origin") + (F.col("bin") - 1) * F.col("width")).alias("lower"),
-        (F.col("origin") + F.col("bin") * F.col("width")).alias("upper"),
+        (F.lit(origin) + (F.col("bin") - 1) * width).alias("lower"),
+        (F.lit(origin) + F.col("bin") * width).alias("upper"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
     )
 
@@ -200,14 +200,17 @@ def without_reviews(hits: DataFrame, reviews: DataFrame, id_col: str = "doc_id")
     return hits.join(reviews.select(id_col), id_col, "left_anti")
 
 
-def exclusive_topics(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(topic, id) of ids found under exactly one topic.
+def exclusive_topics(hits: DataFrame, topics: list[str], id_col: str = "doc_id") -> DataFrame:
+    """(topic, id) of ids found under exactly one of the `topics`.
 
-    Least and greatest topic agree only then; one aggregate does union, dedupe and exclusion.
+    Least and greatest topic number agree only then; one hash aggregate on numbers does union,
+    dedupe and exclusion.
     """
+    names = F.array(*[F.lit(t) for t in topics])
+    number = F.array_position(names, F.col("topic"))
     return (
         hits.groupBy(id_col)
-        .agg(F.min("topic").alias("topic"), F.max("topic").alias("__last"))
-        .filter(F.col("topic") == F.col("__last"))
-        .select("topic", id_col)
+        .agg(F.min(number).alias("__first"), F.max(number).alias("__last"))
+        .filter(F.col("__first") == F.col("__last"))
+        .select(F.get(names, (F.col("__first") - 1).cast("int")).alias("topic"), id_col)
     )

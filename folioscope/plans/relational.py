@@ -12,7 +12,7 @@ from folioscope.operators import relational as ops
 from folioscope.operators.vocabulary import distinct_raw_tokens, encode_labels, staged_label_dictionary
 from folioscope.plans import sql
 from folioscope.plans.registry import query
-from folioscope.plans.tables import TERMS, article_fields, articles, impact_list, journals, load, masters, texts
+from folioscope.plans.tables import TERMS, TOPICS, article_fields, articles, impact_list, journals, load, masters, texts
 from folioscope.runtime import broadcast_if_small
 from folioscope.sources.journal_list import with_any_issn
 
@@ -166,7 +166,7 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT min(topic) AS topic, doc_id FROM hits ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 0) r USING (doc_id)
 GROUP BY doc_id HAVING count(DISTINCT topic) = 1"""))
 def topic_exclusivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.exclusive_topics(ops.without_reviews(_hits(spark, sf_dir), _reviews(spark, sf_dir)))
+    return ops.exclusive_topics(ops.without_reviews(_hits(spark, sf_dir), _reviews(spark, sf_dir)), TOPICS)
 
 
 @query("d2_total_over_topics", sql.with_(
@@ -174,7 +174,7 @@ def topic_exclusivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "x AS (SELECT min(topic) AS topic, doc_id FROM hits GROUP BY doc_id HAVING count(DISTINCT topic) = 1)",
     body="SELECT coalesce(topic, 'all topics') AS topic, count(*) AS n FROM x GROUP BY ROLLUP (topic)"))
 def total_over_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exclusive = ops.exclusive_topics(_hits(spark, sf_dir))
+    exclusive = ops.exclusive_topics(_hits(spark, sf_dir), TOPICS)
     return exclusive.rollup("topic").agg(F.count(F.lit(1)).alias("n")).select(
         F.coalesce("topic", F.lit("all topics")).alias("topic"), "n"
     )

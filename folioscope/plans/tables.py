@@ -15,6 +15,7 @@ TERMS = [
     ("gamma", ["der"], []),
     ("delta", ["with"], ["that"]),
 ]
+TOPICS = sorted({topic for topic, _, _ in TERMS})
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
