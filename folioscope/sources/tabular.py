@@ -22,6 +22,9 @@ _DELIMITED = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+# Writers leave a NULL bare and put an empty string in quotes; with a null mark no text contains,
+# the reader tells them apart.
+_NULL_MARK = "\u0000"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", multiline: bool = True) -> DataFrame:
@@ -30,7 +33,7 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t",
     Files with line breaks inside values cannot be split, so writers should produce many files;
     pass multiline=False for tables of plain one-line values to get splittable scans.
     """
-    return spark.read.options(**_DELIMITED).csv(path, schema=schema, sep=sep, multiLine=multiline)
+    return spark.read.options(**_DELIMITED).csv(path, schema=schema, sep=sep, multiLine=multiline, nullValue=_NULL_MARK)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite") -> None:
