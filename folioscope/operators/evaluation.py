@@ -34,6 +34,18 @@ def true_ranks(scored: DataFrame, *keep: str, scores_col: str = "scores", label_
     )
 
 
+def join_predictions(predictions: DataFrame, truth: DataFrame, id_col: str) -> DataFrame:
+    """(id, ..., scores): long predictions (id, class_idx, score) packed per id and joined to their truth.
+
+    A pack holds one entry per class; packing and join share one shuffle by id.
+    """
+    packed = predictions.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("class_idx", "score"))).alias("__cells")
+    )
+    scores = F.transform("__cells", lambda cell: cell["score"])
+    return packed.select(id_col, scores.alias("scores")).join(truth, id_col)
+
+
 def recommendations(scored: DataFrame, id_col: str, k: int, scores_col: str = "scores") -> DataFrame:
     """(id, rank, class_idx): the k best classes of every row."""
     best = F.slice(ranked_classes(F.col(scores_col)), 1, k)

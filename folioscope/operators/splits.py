@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.row_index import with_row_index
+from folioscope.runtime import stage
 
 # Rows per chunk and shares of each chunk that go to dev and test.
 CHUNK_ROWS = 50_000
 DEV_SHARE = 0.1
 TEST_SHARE = 0.1
+# Most key ranges a task may hold: 16 bytes each, three per chunk.
+MAX_BOUNDS = 4_000_000
 
 
-def positional_split(
-    df: DataFrame,
-    *order_cols,
-    chunk_rows: int = CHUNK_ROWS,
-    dev_share: float = DEV_SHARE,
-    test_share: float = TEST_SHARE,
-) -> DataFrame:
-    """Add `split`: in every chunk of consecutive rows the first share is dev, the next test.
+def _placed(df: DataFrame, order_cols, chunk_rows: int, dev_share: float, test_share: float) -> DataFrame:
+    """Rows with `chunk`, `split` and `starts`, which marks the first row of every run of one split.
 
-    Chunk sizes follow from the row count alone, so no window over the chunk is needed. Pass a
-    narrow projection (keys only) and join it back when rows are wide.
+    Chunk sizes follow from the row count alone, so no window over the chunk is needed.
     """
     indexed = with_row_index(df, *order_cols)
     total = indexed.agg(F.count(F.lit(1))).scalar()
@@ -32,8 +32,58 @@ def positional_split(
     size = F.least(F.lit(chunk_rows).cast("bigint"), total - chunk * chunk_rows)
     n_dev = F.bround(size * F.lit(dev_share), 0)
     n_test = F.bround(size * F.lit(test_share), 0)
-    split = F.when(pos < n_dev, "dev").when(pos < n_dev + n_test, "test").otherwise("train")
-    return indexed.withColumn("chunk", chunk).withColumn("split", split).drop("row_idx")
+    return indexed.withColumns({
+        "chunk": chunk,
+        "split": F.when(pos < n_dev, "dev").when(pos < n_dev + n_test, "test").otherwise("train"),
+        "starts": (pos == 0) | (pos == n_dev) | (pos == n_dev + n_test),
+    }).drop("row_idx")
+
+
+def positional_split(
+    df: DataFrame,
+    *order_cols,
+    chunk_rows: int = CHUNK_ROWS,
+    dev_share: float = DEV_SHARE,
+    test_share: float = TEST_SHARE,
+) -> DataFrame:
+    """Add `chunk` and `split`: in every chunk of consecutive rows the first share is dev, the next test.
+
+    The rows given are sorted and staged; for wide rows use `split_by_key`.
+    """
+    return _placed(df, order_cols, chunk_rows, dev_share, test_share).drop("starts")
+
+
+def split_by_key(
+    df: DataFrame,
+    key: str,
+    chunk_rows: int = CHUNK_ROWS,
+    dev_share: float = DEV_SHARE,
+    test_share: float = TEST_SHARE,
+    max_bounds: int = MAX_BOUNDS,
+) -> DataFrame:
+    """`positional_split` in the order of one unique integer key, without moving the rows of `df`.
+
+    Only the keys are sorted. Each run of one split is a key range (three per chunk), so the
+    split is found by binary search among the range starts; with too many ranges the keys are
+    joined back instead.
+    """
+    placed = _placed(df.select(key), [key], chunk_rows, dev_share, test_share)
+    bounds = stage(placed.filter("starts").select(key, "split"), "split-bounds")
+    if bounds.count() > max_bounds:
+        return df.join(placed.select(key, "split"), key)
+    table = bounds.orderBy(key).toArrow()
+    names = ["train", "dev", "test"]
+    codes = np.array([names.index(name) for name in table["split"].to_pylist()], dtype="int32")
+    shared = df.sparkSession.sparkContext.broadcast((table[key].to_numpy(), codes))
+
+    @F.arrow_udf("int")
+    def run_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        starts, splits = shared.value
+        for keys in batches:
+            at = np.searchsorted(starts, keys.to_numpy(zero_copy_only=False), side="right") - 1
+            yield pa.array(splits[at])
+
+    return df.withColumn("split", F.get(F.array(*[F.lit(n) for n in names]), run_of(F.col(key))))
 
 
 def hash_bucket(key: Column, buckets: int, seed: int = 0) -> Column:

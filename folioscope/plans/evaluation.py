@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators import classifiers as clf
 from folioscope.operators import evaluation as ev
 from folioscope.operators import relational as ops
 from folioscope.operators import vocabulary as voc
@@ -31,6 +32,15 @@ def true_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(spark, sf_dir)
 
 
+@query("j8_prediction_truth", sql.with_(sql.VECTOR_MODELS, body="""
+SELECT vec_id, label_idx, CAST(predicted AS INTEGER) AS predicted, CAST(true_rank AS INTEGER) AS true_rank FROM ranks WHERE model = 'baseline'"""))
+def prediction_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions stored one row per class, joined to the labels by id."""
+    predictions = clf.class_rows(models.vector_scores(spark, sf_dir), "vec_id")
+    truth = load(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("label_idx"))
+    return ev.true_ranks(ev.join_predictions(predictions, truth, "vec_id"), "vec_id")
+
+
 @query("d5_accuracy", sql.with_(sql.VECTOR_MODELS, body="""
 SELECT model, split, round(avg(CASE WHEN true_rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM ranks GROUP BY model, split"""))
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:

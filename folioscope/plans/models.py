@@ -12,11 +12,11 @@ from folioscope.functions.vectors import argmax, as_double, concat_features, l2_
 from folioscope.operators import classifiers as clf
 from folioscope.operators import evaluation as ev
 from folioscope.operators import vocabulary as voc
-from folioscope.operators.splits import positional_split
+from folioscope.operators.splits import split_by_key
 from folioscope.plans import sql, text
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load, texts
-from folioscope.runtime import broadcast_if_small, spread, stage
+from folioscope.runtime import spread, stage
 
 # Words used by the term-count classifiers.
 NUM_WORDS = 20_000
@@ -27,7 +27,7 @@ BANDS = len(IMPACT_BAND_BOUNDS) + 1
 
 def split_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("label_idx"), "embedding")
-    return positional_split(vectors, "vec_id")
+    return split_by_key(vectors, "vec_id")
 
 
 def n_vector_classes(spark: SparkSession, sf_dir: str) -> int:
@@ -116,12 +116,10 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pmid").alias("doc_id"), F.col("abstract").alias("text"), "category", "journal_abbrev",
         impact_band(F.col("impact_factor")).alias("band"),
     )
-    places = positional_split(rows.select("doc_id"), "doc_id").select("doc_id", "split")
-    rows = stage(spread(rows, "doc_id").join(broadcast_if_small(places), "doc_id"), "split-articles")
-    train = rows.filter(F.col("split") == "train")
-    vocabulary = stage(voc.fit_vocabulary(train), "vocabulary")
     coded = voc.encode_labels(rows, voc.staged_label_dictionary(rows, "category"), "category", "topic_idx")
     coded = voc.encode_labels(coded, voc.staged_label_dictionary(rows, "journal_abbrev"), "journal_abbrev", "journal_idx")
+    coded = split_by_key(spread(coded, "doc_id"), "doc_id")
+    vocabulary = stage(voc.fit_vocabulary(coded.filter(F.col("split") == "train")), "vocabulary")
     featured = clf.term_features(coded, vocabulary, NUM_WORDS)
     return stage(featured.select("doc_id", "split", "topic_idx", "band", "journal_idx", "features"), "features")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import MAX_SEQUENCE_LENGTH, tokens
 from folioscope.functions.vectors import as_double, l2_normalise
 from folioscope.operators import vocabulary as voc
-from folioscope.operators.splits import positional_split
+from folioscope.operators.splits import split_by_key
 from folioscope.plans import sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import load, texts
@@ -54,9 +54,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.vocabulary("train_tok"), body="SELECT word, n, idx FROM vocab"))
 def fit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary of the training split, saved as a table and read back."""
-    docs = texts(spark, sf_dir)
-    train = positional_split(docs.select("doc_id"), "doc_id").filter(F.col("split") == "train").select("doc_id")
-    return stage(voc.fit_vocabulary(docs.join(train, "doc_id", "left_semi")), "vocabulary")
+    train = split_by_key(texts(spark, sf_dir), "doc_id").filter(F.col("split") == "train")
+    return stage(voc.fit_vocabulary(train), "vocabulary")
 
 
 _SEQ = f"""seq AS (

@@ -132,6 +132,15 @@ def test_positional_split(spark, n, chunk):
         assert r.split == ("dev" if pos < share else "test" if pos < 2 * share else "train")
 
 
+@pytest.mark.parametrize("max_bounds", [1000, 0])
+def test_split_by_key_equals_the_positional_split(spark, max_bounds):
+    df = spark.range(0, 5000, 7).withColumn("x", F.lit("wide"))
+    expected = {r.id: r.split for r in splits.positional_split(df, "id", chunk_rows=150).collect()}
+    got = splits.split_by_key(df, "id", chunk_rows=150, max_bounds=max_bounds)
+    assert {r.id: r.split for r in got.collect()} == expected and got.columns == ["id", "x", "split"]
+    assert max_bounds == 0 or "Exchange" not in plan_of(got)
+
+
 def test_hash_split_is_complete_and_stable(spark):
     df = spark.range(5000)
     first = {r.id: r.split for r in splits.hash_split(df, "id").collect()}
