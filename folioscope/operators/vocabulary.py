@@ -55,11 +55,16 @@ def _all_words(text_col: str):
     return F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
 
 
-def _word_positions(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per token its position in `known` (-1 when absent), and the list boundaries."""
-    found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-    bounds = lists.offsets.to_numpy(zero_copy_only=False)
-    return found, bounds - bounds[0]
+def _position_finder():
+    """The lookup shared by the functions below, as a closure so that tasks need no installed package."""
+
+    def positions(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per token its position in `known` (-1 when absent), and the list boundaries."""
+        found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+        bounds = lists.offsets.to_numpy(zero_copy_only=False)
+        return found, bounds - bounds[0]
+
+    return positions
 
 
 def text_sequences(docs: DataFrame, vocabulary: DataFrame, num_words: int = MAX_WORDS,
@@ -78,11 +83,13 @@ def text_sequences(docs: DataFrame, vocabulary: DataFrame, num_words: int = MAX_
         (table["word"].combine_chunks(), table["idx"].to_numpy().astype("int32"))
     )
 
+    positions = _position_finder()
+
     @F.arrow_udf("array<int>")
     def indices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, numbers = shared.value
         for lists in batches:
-            found, bounds = _word_positions(lists, words)
+            found, bounds = positions(lists, words)
             kept = found >= 0
             ends = np.concatenate(([0], np.cumsum(kept)))[bounds].astype("int32")
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[found[kept]]))
@@ -131,11 +138,13 @@ def document_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col:
     matrix = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     shared = docs.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), matrix))
 
+    positions = _position_finder()
+
     @F.arrow_udf("array<double>")
     def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, vectors = shared.value
         for lists in batches:
-            found, bounds = _word_positions(lists, words)
+            found, bounds = positions(lists, words)
             result = np.zeros((len(lists), width))
             for row in range(len(lists)):
                 own = found[bounds[row]:bounds[row + 1]]

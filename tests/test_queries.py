@@ -28,3 +28,25 @@ def test_query(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).columns == ["vec_id", "rank", "class_idx"]
+
+
+def test_tasks_run_without_the_package_installed(tmp_path):
+    """Functions shipped to tasks carry everything they need; the driver alone imports the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry_point.__file__).resolve().parent
+    script = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("outside", r"{root / '__spark_entry__.py'}")
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+for name in ("m4_document_vectors", "f5_text_sequences", "m7_centroid_scores", "e6_bootstrap_multinomial", "m10_user_scorer"):
+    assert module.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+print("done")
+"""
+    result = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "done" in result.stdout, result.stderr[-2000:]
