@@ -15,6 +15,8 @@ from folioscope.plans.tables import articles, load
 from folioscope.runtime import stage
 
 RESAMPLES = 20
+# Areas are multiples of small decimal fractions; fewer digits would put exact ties on the rounding edge.
+DIGITS = 8
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +119,12 @@ def journal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("e4_coverage_auc", sql.with_(sql.VECTOR_MODELS, sql.curve("model, split", "ranks", 1), body="""
-SELECT model, split, round(sum((coverage - x0) * (accuracy + y0) / 2), 5) AS auc
+SELECT model, split, round(sum((coverage - x0) * (accuracy + y0) / 2), 8) AS auc
 FROM (SELECT *, lag(coverage) OVER w AS x0, lag(accuracy) OVER w AS y0 FROM curve WINDOW w AS (PARTITION BY model, split ORDER BY k))
 GROUP BY model, split"""))
 def coverage_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = ev.coverage_curve(_histogram(spark, sf_dir), models.n_vector_classes(spark, sf_dir), "model", "split", step=1)
-    return ev.curve_metrics(curve, "model", "split").select("model", "split", F.round("auc", 5).alias("auc"))
+    return ev.curve_metrics(curve, "model", "split").select("model", "split", F.round("auc", DIGITS).alias("auc"))
 
 
 @query("e5_k90", sql.with_(sql.VECTOR_MODELS, sql.curve("model, split", "ranks", 1), body="""
@@ -149,7 +151,7 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_classes = models.n_vector_classes(spark, sf_dir)
-    return ev.performance(_bootstrap(spark, sf_dir), n_classes, "model", "b", step=1, digits=5)
+    return ev.performance(_bootstrap(spark, sf_dir), n_classes, "model", "b", step=1, digits=DIGITS)
 
 
 _BOOT = f"""test AS (SELECT model, vec_id, true_rank, row_number() OVER (PARTITION BY model ORDER BY vec_id) - 1 AS idx
@@ -160,7 +162,7 @@ picks AS (SELECT b, (b * 7919 + i * 104729 + b * i * 31) % n AS idx FROM n CROSS
 boot AS (SELECT model, CAST(b AS INTEGER) AS b, true_rank FROM picks JOIN test USING (idx)
   UNION ALL SELECT model, 0, true_rank FROM test)"""
 _BOOT_SQL = sql.with_(sql.VECTOR_MODELS, _BOOT, sql.curve("model, b", "boot", 1),
-                      sql.metrics("model, b", "boot").replace(", 3)", ", 5)"),
+                      sql.metrics("model, b", "boot", DIGITS),
                       """vals AS (SELECT model, b, 'accuracy' AS metric, accuracy AS value FROM perf
   UNION ALL SELECT model, b, 'auc', auc FROM perf UNION ALL SELECT model, b, 'k90', CAST(k90 AS DOUBLE) FROM perf),
 est AS (SELECT model, metric, value AS estimate FROM vals WHERE b = 0),
@@ -182,27 +184,27 @@ def bootstrap_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.performance(drawn, models.n_vector_classes(spark, sf_dir), "model", "b", step=1)
 
 
-@query("w12_sorted_differences", _BOOT_SQL.format("SELECT model, metric, b, round(difference, 5) AS difference FROM diffs"))
+@query("w12_sorted_differences", _BOOT_SQL.format("SELECT model, metric, b, round(difference, 8) AS difference FROM diffs"))
 def sorted_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ev.metric_rows(_performance(spark, sf_dir), "model", "b")
-    return ev.sorted_differences(values, "model", "metric").withColumn("difference", F.round("difference", 5))
+    return ev.sorted_differences(values, "model", "metric").withColumn("difference", F.round("difference", DIGITS))
 
 
 @query("e7_intervals", _BOOT_SQL.format("""
-SELECT metric, estimate, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ivals WHERE model = 'baseline'"""))
+SELECT metric, estimate, round(lower, 8) AS lower, round(upper, 8) AS upper FROM ivals WHERE model = 'baseline'"""))
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval of every metric of one model."""
     values = ev.metric_rows(_performance(spark, sf_dir).filter(F.col("model") == "baseline"), "b")
     found = ev.intervals(values, "metric")
-    return found.withColumns({"lower": F.round("lower", 6), "upper": F.round("upper", 6)})
+    return found.withColumns({"lower": F.round("lower", DIGITS), "upper": F.round("upper", DIGITS)})
 
 
 @query("e8_model_comparison", _BOOT_SQL.format("""
-SELECT model, metric, estimate, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ivals WHERE metric IN ('accuracy', 'auc')"""))
+SELECT model, metric, estimate, round(lower, 8) AS lower, round(upper, 8) AS upper FROM ivals WHERE metric IN ('accuracy', 'auc')"""))
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ev.metric_rows(_performance(spark, sf_dir), "model", "b").filter(F.col("metric") != "k90")
     found = ev.intervals(values, "model", "metric")
-    return found.withColumns({"lower": F.round("lower", 6), "upper": F.round("upper", 6)})
+    return found.withColumns({"lower": F.round("lower", DIGITS), "upper": F.round("upper", DIGITS)})
 
 
 @query("e9_chart_tables", sql.with_(sql.ARTICLES, body="""

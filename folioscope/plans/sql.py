@@ -91,12 +91,12 @@ def curve(groups: str, source: str, step: int, name: str = "curve") -> str:
   GROUP BY {groups}, k)"""
 
 
-def metrics(groups: str, source: str, name: str = "perf", curve_name: str = "curve") -> str:
+def metrics(groups: str, source: str, digits: int, name: str = "perf", curve_name: str = "curve") -> str:
     """CTE (groups..., accuracy, auc, k90), the first two rounded."""
     return f"""{name} AS (
   SELECT {groups}, accuracy, auc, k90 FROM
-    (SELECT {groups}, round(avg(CASE WHEN true_rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS accuracy FROM {source} GROUP BY {groups}) a
-    JOIN (SELECT {groups}, round(sum((coverage - x0) * (accuracy + y0) / 2), 3) AS auc,
+    (SELECT {groups}, round(avg(CASE WHEN true_rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), {digits}) AS accuracy FROM {source} GROUP BY {groups}) a
+    JOIN (SELECT {groups}, round(sum((coverage - x0) * (accuracy + y0) / 2), {digits}) AS auc,
                  min(CASE WHEN accuracy > 0.9 THEN k END) AS k90
           FROM (SELECT *, lag(coverage) OVER (PARTITION BY {groups} ORDER BY k) AS x0,
                        lag(accuracy) OVER (PARTITION BY {groups} ORDER BY k) AS y0 FROM {curve_name})
