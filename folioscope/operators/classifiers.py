@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import MAX_WORDS, tokens
 from folioscope.functions.vectors import as_double, concat_features
-from folioscope.runtime import stage
 
 # Largest weight matrix (classes x features) a model may hold on the driver and in each task.
 MODEL_CELLS = 32_000_000
@@ -89,11 +88,11 @@ def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_
     scored in Arrow batches by one matrix product. A class without centroid scores 0. Vectors
     must be present and of equal width.
     """
-    model = stage(centroids, "centroids")
-    width = model.agg(F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()[0]
+    first = df.select(F.size(vector_col)).head(1)
+    width = first[0][0] if first else 0
     check_cells(n_classes, width)
     weights = [[0.0] * width for _ in range(n_classes)]
-    for row in model.collect():
+    for row in centroids.collect():  # at most one row per class
         weights[row.label_idx] = row.centroid
     shared = df.sparkSession.sparkContext.broadcast(weights)
 

@@ -69,9 +69,9 @@ def split_by_key(
     """
     placed = _placed(df.select(key), [key], chunk_rows, dev_share, test_share)
     bounds = stage(placed.filter("starts").select(key, "split"), "split-bounds")
-    if bounds.count() > max_bounds:
+    table = bounds.orderBy(key).limit(max_bounds + 1).toArrow()
+    if table.num_rows > max_bounds:
         return df.join(placed.select(key, "split"), key)
-    table = bounds.orderBy(key).toArrow()
     names = ["train", "dev", "test"]
     codes = np.array([names.index(name) for name in table["split"].to_pylist()], dtype="int32")
     shared = df.sparkSession.sparkContext.broadcast((table[key].to_numpy(), codes))
