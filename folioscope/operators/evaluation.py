@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import argmax, ranked_classes, true_rank
 from folioscope.operators.row_index import with_row_index
-from folioscope.runtime import broadcast_if_small
+from folioscope.runtime import broadcast_if_small, stage
 
 # Step of the coverage grid, accuracy that k90 asks for, number of resamples.
 COVERAGE_STEP = 10
@@ -55,8 +55,8 @@ def recommendations(scored: DataFrame, id_col: str, k: int, scores_col: str = "s
 
 
 def rank_histogram(ranks: DataFrame, *groups: str) -> DataFrame:
-    """(groups..., true_rank, n)."""
-    return ranks.groupBy(*groups, "true_rank").agg(F.count(F.lit(1)).alias("n"))
+    """(groups..., true_rank, n), staged: every metric reads it several times, scoring runs once."""
+    return stage(ranks.groupBy(*groups, "true_rank").agg(F.count(F.lit(1)).alias("n")), "rank-histogram")
 
 
 def accuracy(histogram: DataFrame, *groups: str) -> DataFrame:
@@ -176,11 +176,12 @@ def bootstrap_histogram(histogram: DataFrame, resamples: int, *groups: str, n_dr
 
     drawn = trials.withColumn("__drawn", multinomial("b", "__ns"))
     bars = F.arrays_zip(F.transform("__bars", lambda bar: bar["true_rank"]).alias("true_rank"), F.col("__drawn").alias("n"))
-    return (
+    counts = (
         drawn.select(*groups, "b", F.explode(bars).alias("bar"))
         .select(*groups, "b", F.col("bar")["true_rank"].alias("true_rank"), F.col("bar")["n"].alias("n"))
         .filter(F.col("n") > 0)
     )
+    return stage(counts, "resampled-histograms")
 
 
 def metric_rows(table: DataFrame, *keys: str) -> DataFrame:
