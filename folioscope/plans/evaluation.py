@@ -110,7 +110,7 @@ ncls AS (SELECT count(DISTINCT source) AS nc FROM documents)"""
 @query("e3_journal_coverage", sql.with_(models.TEXT_SQL, models._JOURNAL_SQL, _JOURNAL_RANKS, sql.curve("split", "ranks", 10), body="""
 SELECT split, k, round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy FROM curve"""))
 def journal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of the journal text classifier on the reference grid."""
+    """Coverage of the journal text classifier on the default grid."""
     n_classes = models.n_labels(spark, sf_dir, "source")
     scored = models._term_scores(models.labelled_features(spark, sf_dir), "journal_idx", n_classes)
     hist = ev.rank_histogram(ev.true_ranks(scored, "split", label_col="journal_idx"), "split")

@@ -116,9 +116,9 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pmid").alias("doc_id"), F.col("abstract").alias("text"), "category", "journal_abbrev",
         impact_band(F.col("impact_factor")).alias("band"),
     )
-    coded = voc.encode_labels(rows, voc.staged_label_dictionary(rows, "category"), "category", "topic_idx")
-    coded = voc.encode_labels(coded, voc.staged_label_dictionary(rows, "journal_abbrev"), "journal_abbrev", "journal_idx")
-    coded = split_by_key(spread(coded, "doc_id"), "doc_id")
+    topics, journals = (voc.staged_label_dictionary(rows, c) for c in ("category", "journal_abbrev"))
+    coded = voc.encode_labels(spread(rows, "doc_id"), topics, "category", "topic_idx")
+    coded = split_by_key(voc.encode_labels(coded, journals, "journal_abbrev", "journal_idx"), "doc_id")
     vocabulary = stage(voc.fit_vocabulary(coded.filter(F.col("split") == "train")), "vocabulary")
     featured = clf.term_features(coded, vocabulary, NUM_WORDS)
     return stage(featured.select("doc_id", "split", "topic_idx", "band", "journal_idx", "features"), "features")

@@ -64,7 +64,7 @@ def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.split("numbered", "rn"),
     body="SELECT chunk, split, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS order_sum FROM splits JOIN numbered USING (rn) GROUP BY chunk, split"))
 def positional_split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference chunk size on the largest table, ordered by several columns."""
+    """The default chunk size on the largest table, ordered by several columns."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     lines = splits.positional_split(load(spark, sf_dir, "lineitem").select(*keys), *keys)
     return lines.groupBy("chunk", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("order_sum"))

@@ -90,7 +90,8 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute a scan that has fewer tasks than the cluster has cores; otherwise unchanged.
 
-    Meant for expensive row work on small or single-block inputs. `key` should be unique.
+    Meant for expensive row work on small or single-block inputs. Call it on plain scans (asking a
+    plan with joins for its tasks would run their shuffles) and give a unique `key`.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
