@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from folioscope.operators import relational as ops
 from folioscope.operators import splits
 from folioscope.operators import vocabulary as voc
-from folioscope.operators.classifiers import fit_centroids, pca_projection, score_centroids, stacked_vectors
+from folioscope.operators.classifiers import (
+    fit_centroids, fit_softmax, pca_projection, score, score_centroids, stacked_vectors, term_features,
+)
 from folioscope.operators.row_index import with_row_index
 from folioscope.runtime import broadcast_if_small, measured_bytes, new_path, spread, stage
 from folioscope.sources import tabular
@@ -230,6 +232,15 @@ def test_centroid_scores_match_numpy(spark):
     assert np.allclose([got[d[0]] for d in data], x @ means.T)
 
 
+def test_softmax_learns_a_separable_label_and_gives_probabilities(spark):
+    data = [(i, ["red apple", "green pear", "blue plum"][i % 3] + f" w{i % 5}", i % 3) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id INT, text STRING, y INT")
+    features = term_features(df, voc.fit_vocabulary(df), 100)
+    scored = score(fit_softmax(features, "y", 3, max_iter=20), features).collect()
+    assert all(int(np.argmax(r.scores)) == r.y for r in scored)
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in scored)
+
+
 def test_stacked_vectors_join_by_id(spark):
     a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id INT, vector ARRAY<DOUBLE>")
     b = spark.createDataFrame([(2, [20.0, 21.0]), (1, [10.0, 11.0])], "id INT, vector ARRAY<DOUBLE>")
