@@ -124,6 +124,8 @@ def _collisions(docs: DataFrame, prints: DataFrame, groups: DataFrame, part: int
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     salts = F.ceil(F.col("group_size") / per_salt).cast("int")
     wanted = stage(members.select("doc_id", "h", *_KEY, first.alias("leads"), salts.alias("salts")).distinct(), "members")
+    # A merge join at every size: a broadcast that only small inputs get would hide what large ones move.
+    wanted = wanted.hint("merge")
     texts = _normalised(docs.join(wanted, same_document(docs, wanted)).select(wanted["*"], "text"))
     own_salt = F.array(F.pmod(F.xxhash64("doc_id", "h"), F.col("salts")).cast("int"))
     spread = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(own_salt)
