@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.runtime import stage
+
 # The ASCII white space all contracts name, as a character class.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,3 +37,20 @@ def pieces(text: Column, size: int) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(
         F.transform(cuts, lambda k: F.substring(text, k * size + 1, F.lit(size)))
     )
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_once(df: DataFrame, label: str) -> DataFrame:
+    """`stage` for a plan that is run this once only: its shuffle files go when the table is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return stage(df, label)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
