@@ -112,11 +112,12 @@ def _all_matches(text: Column, patterns: dict[str, str], wide: bool) -> Column:
 def base_spans(text: Column) -> Column:
     """Base spans of a text, by kind in the order of KINDS, then by start."""
     none = F.array().cast(f"array<{_SPAN}>")
-    parts = []
-    for kind in KINDS:
+
+    def valid(kind: str) -> Column:
         found = F.when(_gate(text, kind, False), _matches(text, kind, BASE[kind])).otherwise(none)
-        parts.append(F.filter(found, lambda x, kind=kind: _valid(kind, x["text"])))
-    return F.concat(*parts)
+        return F.filter(found, lambda x: _valid(kind, x["text"]))
+
+    return F.concat(*map(valid, KINDS))
 
 
 # -- candidates and their features ----------------------------------------------------------------
@@ -206,7 +207,7 @@ def fit(docs: DataFrame, examples: int = EXAMPLES, seed: int = 1) -> Model:
     kept = rows.withColumn("draw", draw).filter(F.col("draw") < min(share, examples * share // max(n, 1) + 1))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(kept)
     train, check = (vectors.filter(F.col("draw") % 2 == part) for part in (0, 1))
-    sorts = train.agg(F.count_if("label = 1"), F.count_if("label = 0")).first()
+    sorts = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if min(sorts) == 0:
         return Model([], [], names, {})
     booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.3)

@@ -47,10 +47,12 @@ def _spans_text(spans: Column) -> Column:
 @query("op3_pii")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
-    counts = [
-        F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(_spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        "doc_id", *map(count, pii.KINDS), F.sha2(_spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _spans_text(F.col("spans")).alias("spans"))
 
 
