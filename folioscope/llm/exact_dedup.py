@@ -89,12 +89,14 @@ def fingerprints(docs: DataFrame, part: int = PART) -> DataFrame:
     combined = F.aggregate("parts", start, lambda acc, p: F.struct(
         *[((acc[f] * p[m] + p[f]) % prime).alias(f) for f, m, prime in (("f1", "m1", PRIMES[0]), ("f2", "m2", PRIMES[1]))]
     ))
-    # Rows that repeat a huge document bring every part more than once: one of each is enough.
+    # Rows that repeat a huge document bring every part more than once: one of each, and their number.
     joined = (
-        huge.dropDuplicates(["doc_id", "h", "part_no"])
+        huge.groupBy("doc_id", "h", "text_sha256", "part_no")
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in ("f1", "f2", "m1", "m2", "n_bytes")])
         .groupBy("doc_id", "h", "text_sha256")
-        .agg(ordered.alias("parts"), F.sum("n_bytes").alias("n_bytes"))
+        .agg(ordered.alias("parts"), F.sum("n_bytes").alias("n_bytes"), F.min("rows").alias("rows"))
         .withColumn("f", combined)
+        .withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
         .select("doc_id", "h", "text_sha256", "f.f1", "f.f2", "n_bytes")
     )
     return whole.unionByName(joined)
