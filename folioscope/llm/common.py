@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.runtime import stage
+from folioscope.runtime import new_path
 
 # The ASCII white space all contracts name, as a character class.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -43,14 +43,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage_once(df: DataFrame, label: str) -> DataFrame:
-    """`stage` for a plan that is run this once only: its shuffle files go when the table is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    """A staged table, well compressed, of a plan that is run this once: its shuffle files go with the job."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return stage(df, label)
+        path = new_path(spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     finally:
         if before is None:
-            conf.unset(_CLEANUP)
+            spark.conf.unset(_CLEANUP)
         else:
-            conf.set(_CLEANUP, before)
+            spark.conf.set(_CLEANUP, before)

@@ -5,12 +5,14 @@ of equal ones); equal windows choose equal anchors at equal places. Runs of wind
 form a context. Anchors that occur once anywhere are done with. Of the others, occurrences with the
 same context are repeats of the first as a whole; the different contexts of one anchor are laid
 side by side, their suffixes are sorted by linear grouping, and neighbours that agree in 100 bytes are
-repeats too. Anchors with very many different contexts are split by whole windows instead.
+repeats too. The contexts of an anchor with very many different ones are first cut to parts of
+few windows each, which are kept apart by the bytes all windows of a part have in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ LENGTH = 100
 GRAM = 32
 # Window starts looked at in one numpy step.
 BLOCK = 1 << 20
-# Different contexts of one anchor that are sorted together; beyond, windows are compared one by one.
+# Different contexts of one anchor that are sorted together; beyond, contexts are cut to smaller parts.
 KINDS = 500
+# Window starts of a part. A part of one window has no different contexts.
+PARTS = (9, 1)
 
 
 def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,11 +147,36 @@ def earlier_windows(contexts: list[bytes], places: list[tuple]) -> list[list[lis
     return runs
 
 
+def may_share(contexts: list[bytes], at: list[int]) -> list[int]:
+    """Contexts (with the anchor at these places) that may have a window of another one.
+
+    A window holds its anchor and either what is around it up to half a window more to the left or
+    to the right; a context alone in both halves is out.
+    """
+    half = (LENGTH - GRAM) // 2
+    seen: dict[tuple, int] = {}
+    keys = []
+    for context, q in zip(contexts, at):
+        own = []
+        if q > half:
+            own.append((0, context[q - half:q + GRAM]))
+        if len(context) - q >= GRAM + half:
+            own.append((1, context[q:q + GRAM + half]))
+        keys.append(own)
+        for key in own:
+            seen[key] = seen.get(key, 0) + 1
+    return [k for k, own in enumerate(keys) if any(seen[key] > 1 for key in own)]
+
+
 def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, [(c, context, last, doc_id, h, place)]) to rows (anchor, c, runs) of contexts with repeats."""
     for batch in batches:
         anchors, ids, found = [], [], []
         for anchor, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            near = may_share([k["context"] for k in kinds], [k["place"] >> 8 & 255 for k in kinds])
+            if len(near) < 2:
+                continue
+            kinds = [kinds[k] for k in near]
             places = [(k["last"], 0 if k["last"] else k["doc_id"], k["h"], (k["place"] >> 16) - (k["place"] >> 8 & 255)) for k in kinds]
             for kind, runs in zip(kinds, earlier_windows([k["context"] for k in kinds], places)):
                 if runs:
@@ -159,16 +188,33 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["anchor", "c", "runs"])
 
 
-def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, place, context) to rows (doc_id, h, start, window): every window of the contexts."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            context, place = batch.column(3)[row].as_py(), batch.column(2)[row].as_py()
-            begin, n = (place >> 16) - (place >> 8 & 255), len(context) - LENGTH + 1
-            keys = batch.select([0, 1]).take(pa.array(np.full(n, row)))
+def cut_parts(size: int):
+    """Task function: (doc_id, h, place, context) to rows (anchor, doc_id, h, place, context) of parts.
+
+    Part r has the windows that start from size * r to size * (r + 1) - 1 bytes before the anchor; its
+    own anchor is a hash of r and of the bytes that all of these windows hold.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows, anchors, places, contexts = [], [], [], []
+            for row, (place, context) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                q, before, least = place >> 16, place >> 8 & 255, place & 255
+                for part in range(least // size, before // size + 1):
+                    near, far = max(least, part * size), min(before, part * size + size - 1)
+                    # The anchor is `before` bytes into the context; windows lie `near` to `far` before it.
+                    contexts.append(context[before - far:before - near + LENGTH])
+                    shared = context[max(before - part * size, 0):before - part * size - size + 1 + LENGTH]
+                    anchors.append(xxhash.xxh3_64_intdigest(shared, part) - (1 << 63))
+                    places.append(q << 16 | far << 8 | near)
+                    rows.append(row)
+            keys = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*keys.columns, pa.array(np.arange(begin, begin + n)), pa.array([context[i:i + LENGTH] for i in range(n)], pa.binary())],
-                names=["doc_id", "h", "start", "window"])
+                [pa.array(anchors, pa.int64()), *keys.columns, pa.array(places, pa.int64()), pa.array(contexts, pa.binary())],
+                names=["anchor", "doc_id", "h", "place", "context"])
+
+    return run
 
 
 def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,24 +257,38 @@ def repeated_bytes(texts: DataFrame, kinds: int = KINDS) -> DataFrame:
     """
     id_type = texts.schema["doc_id"].dataType.simpleString()
     binary = texts.select("doc_id", "h", F.col("text").cast("binary").alias("text"))
-    anchors = binary.filter(F.octet_length("text") >= LENGTH).mapInArrow(
-        find_anchors, f"anchor bigint, doc_id {id_type}, h bigint, place bigint")
+    anchors = stage_once(binary.filter(F.octet_length("text") >= LENGTH).mapInArrow(
+        find_anchors, f"anchor bigint, doc_id {id_type}, h bigint, place bigint"), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    candidates = stage_once(anchors.join(repeated, "anchor"), "anchors")
+    candidates = stage_once(anchors.join(repeated, "anchor"), "repeated-anchors")
     lists = candidates.groupBy("doc_id", "h").agg(F.collect_set(F.struct("anchor", "place")).alias("found"))
     with_text = binary.join(lists, same_document(binary, lists)).select(
         binary["doc_id"], binary["h"], "text", "found")
     key = f"anchor bigint, doc_id {id_type}, h bigint, place bigint"
-    contexts = stage_once(
-        with_text.mapInArrow(cut_contexts, f"{key}, context binary").withColumn("c", F.xxhash64("context")), "contexts")
+    schema = f"anchor bigint, doc_id {id_type}, h bigint, place bigint, context binary"
+    contexts = stage_once(with_text.mapInArrow(cut_contexts, schema).withColumn("c", F.xxhash64("context")), "contexts")
+    found = []
+    for size in (*PARTS, None):
+        spans, rest = _resolve(contexts, kinds if size else None)
+        found.append(spans)
+        if size is None or rest.isEmpty():
+            break
+        parts = rest.select("doc_id", "h", "place", "context").mapInArrow(cut_parts(size), schema)
+        contexts = stage_once(parts.withColumn("c", F.xxhash64("context")), "context-parts")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _resolve(contexts: DataFrame, kinds: int | None) -> tuple[DataFrame, DataFrame]:
+    """Spans of repeated strings among contexts whose anchor has at most `kinds` different ones (None: any
+    number), and the contexts of the other anchors."""
     last = F.col("doc_id").isNull().alias("last")
     # An anchor's hash and the context's name a context; the first of it is found before the shuffle.
     distinct = stage_once(contexts.groupBy("anchor", "c").agg(
         F.min(F.struct(last, "doc_id", "h", "place")).alias("first"), F.any_value("context").alias("context")), "distinct-contexts")
     counted = stage_once(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "context-kinds")
-    several = counted.filter(F.col("kinds").between(2, kinds)).select("anchor")
-    many = counted.filter(F.col("kinds") > kinds).select("anchor")
-
+    few = F.lit(True) if kinds is None else F.col("kinds") <= kinds
+    several = counted.filter(few & (F.col("kinds") > 1)).select("anchor")
+    many = counted.filter(~few).select("anchor")
     groups = distinct.join(several, "anchor").groupBy("anchor").agg(
         F.collect_list(F.struct("c", "context", "first.last", "first.doc_id", "first.h", "first.place")).alias("kinds"))
     runs = stage_once(groups.mapInArrow(sort_contexts, "anchor bigint, c bigint, runs array<array<bigint>>"), "repeated-runs")
@@ -239,14 +299,7 @@ def repeated_bytes(texts: DataFrame, kinds: int = KINDS) -> DataFrame:
     cut = F.when(own.eqNullSafe(F.col("first")), F.col("runs")).otherwise(whole)
     spans = placed.select("doc_id", "h", _first_start(F.col("place")).alias("at"), F.explode(cut).alias("run")).select(
         "doc_id", "h", (F.col("at") + F.col("run")[0]).alias("s"), (F.col("at") + F.col("run")[1] + LENGTH).alias("e"))
-
-    windows = contexts.join(many, "anchor").select("doc_id", "h", "place", "context").mapInArrow(
-        cut_windows, f"doc_id {id_type}, h bigint, start bigint, window binary")
-    windows = stage_once(windows.select("doc_id", "h", "start", F.xxhash64("window").alias("a"), F.hash("window").alias("b")), "windows")
-    place = F.struct(last, "doc_id", "h", "start")
-    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = windows.join(first, ["a", "b"]).filter(~place.eqNullSafe(F.col("first")))
-    return spans.unionByName(later.select("doc_id", "h", F.col("start").alias("s"), (F.col("start") + LENGTH).alias("e")))
+    return spans, contexts.join(many, "anchor")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: int = KINDS) -> DataFrame:
