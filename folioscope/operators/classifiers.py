@@ -3,61 +3,138 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import MAX_WORDS, tokens
 from folioscope.functions.vectors import as_double, concat_features
+from folioscope.runtime import stage
 
-# Largest weight matrix (classes x features) a model may hold on the driver and in each task.
-MODEL_CELLS = 32_000_000
+# Weights of one block of classes, held by a worker at a time: 64 MB of doubles.
+BLOCK_CELLS = 8_000_000
+# Classes of one block; bounds the scores of an Arrow batch.
+BLOCK_CLASSES = 512
 
 
-def term_features(docs: DataFrame, vocabulary: DataFrame, num_words: int = MAX_WORDS,
-                  text_col: str = "text") -> DataFrame:
-    """Add `features`, the sparse word counts over the `num_words` most frequent words.
+def class_blocks(n_classes: int, width: int) -> list[tuple[int, int]]:
+    """Ranges of classes whose weights fit a worker; one range for all but very wide models."""
+    step = max(1, min(BLOCK_CLASSES, BLOCK_CELLS // max(width, 1)))
+    return [(a, min(a + step, n_classes)) for a in range(0, n_classes, step)]
 
-    The word list (bounded by `num_words`) travels with the transformer: no join, no shuffle.
-    """
-    top = vocabulary.filter(F.col("idx") <= num_words).orderBy("idx").select("word")
-    words = [row.word for row in top.collect()]
-    counter = CountVectorizerModel.from_vocabulary(words, inputCol="__words", outputCol="features")
-    return counter.transform(docs.withColumn("__words", tokens(F.col(text_col)))).drop("__words")
 
+def _score_blocks(df: DataFrame, n_classes: int, width: int, block_scores: Callable[[int, int], Column],
+                  out_col: str) -> DataFrame:
+    """Add ARRAY<DOUBLE> `out_col` of n_classes scores, one block of classes after the other.
 
-def check_cells(n_classes: int, width: int) -> None:
-    """Weight matrices stay within MODEL_CELLS; wider problems use document vectors instead of words."""
-    if n_classes * width > MODEL_CELLS:
-        raise ValueError(f"{n_classes} classes x {width} features exceed {MODEL_CELLS} weights")
+    With several blocks the rows are staged in between, so no worker holds two of them.
+    """
+    blocks = class_blocks(n_classes, width)
+    for number, (a, b) in enumerate(blocks):
+        scores = block_scores(a, b)
+        if number:
+            df = stage(df, "scored").withColumn("__block", scores)
+            df = df.withColumn(out_col, F.concat(out_col, "__block")).drop("__block")
+        else:
+            df = df.withColumn(out_col, scores)
+    return df if blocks else df.withColumn(out_col, F.array().cast("array<double>"))
+
+
+@dataclass(frozen=True)
+class NaiveBayes:
+    """Multinomial naive Bayes as counts: (label_idx, docs, words) and (label_idx, idx, n)."""
+
+    classes: DataFrame
+    counts: DataFrame
+    n_classes: int
+    width: int
+    smoothing: float
+
+
+def fit_naive_bayes(train: DataFrame, label_col: str, n_classes: int, width: int, sequence_col: str = "sequence",
+                    smoothing: float = 1.0) -> NaiveBayes:
+    """Counts of word indices 1..width by class; a class without training rows keeps its slot."""
+    label = F.col(label_col).cast("int").alias("label_idx")
+    rows = train.filter(F.col(label_col).isNotNull())
+    classes = rows.groupBy(label).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.size(sequence_col).cast("bigint")).alias("words"))
+    counts = rows.select(label, F.explode(sequence_col).alias("idx")).groupBy("label_idx", "idx").agg(
+        F.count(F.lit(1)).alias("n"))
+    return NaiveBayes(stage(classes, "class-sizes"), stage(counts, "class-words"), n_classes, width, smoothing)
+
+
+def score_naive_bayes(model: NaiveBayes, df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
+    """Add `scores` (log prior plus log likelihoods) and `probabilities`, both n_classes long.
+
+    A class without training rows scores as one with no documents and no words; its prior is the
+    smoothing alone.
+    """
+    total = model.classes.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    context = df.sparkSession.sparkContext
+
+    def block_scores(a: int, b: int) -> Column:
+        inside = F.col("label_idx").between(a, b - 1)
+        docs, words = np.zeros(b - a), np.zeros(b - a)
+        sizes = model.classes.filter(inside).toArrow()
+        at = sizes["label_idx"].to_numpy() - a
+        docs[at], words[at] = sizes["docs"].to_numpy(), sizes["words"].to_numpy()
+        cells = model.counts.filter(inside).toArrow()  # at most BLOCK_CELLS rows
+        theta = np.full((b - a, model.width + 1), model.smoothing)
+        theta[cells["label_idx"].to_numpy() - a, cells["idx"].to_numpy()] += cells["n"].to_numpy()
+        theta = np.log(theta) - np.log(words + model.smoothing * max(model.width, 1))[:, None]
+        prior = np.log(docs + model.smoothing) - np.log(total + model.smoothing * model.n_classes)
+        shared = context.broadcast((prior, theta))
+
+        @F.arrow_udf("array<double>")
+        def sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            prior, theta = shared.value
+            for lists in batches:
+                words = lists.flatten().to_numpy(zero_copy_only=False)
+                bounds = lists.offsets.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), np.diff(bounds))
+                scores = np.empty((len(lists), len(prior)))
+                for c in range(len(prior)):
+                    scores[:, c] = prior[c] + np.bincount(row, weights=theta[c][words], minlength=len(lists))
+                ends = np.arange(0, scores.size + 1, len(prior), dtype="int32")
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))
+
+        return sums(F.col(sequence_col))
+
+    scored = _score_blocks(df, model.n_classes, model.width, block_scores, "scores")
+    return scored.withColumn("probabilities", softmax(F.col("scores")))
+
+
+def softmax(scores: Column) -> Column:
+    """Probabilities of log scores, row by row in Arrow batches."""
 
+    @F.arrow_udf("array<double>")
+    def shares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            e = np.exp(values - values.max(axis=1, keepdims=True)) if values.size else values
+            e = e / e.sum(axis=1, keepdims=True) if e.size else e
+            yield pa.ListArray.from_arrays(lists.offsets, pa.array(e.ravel()))
 
-def _feature_width(train: DataFrame, features_col: str) -> int:
-    first = train.select(features_col).head(1)
-    return first[0][0].size if first else 0
+    return shares(scores)
 
 
-def fit_naive_bayes(train: DataFrame, label_col: str, n_classes: int, features_col: str = "features",
-                    smoothing: float = 1.0):
-    """Multinomial naive Bayes; one aggregation pass over the data."""
-    check_cells(n_classes, _feature_width(train, features_col))
-    return NaiveBayes(
-        featuresCol=features_col, labelCol=label_col, smoothing=smoothing, modelType="multinomial",
-        predictionCol="__prediction", probabilityCol="__probability", rawPredictionCol="__raw",
-    ).fit(train)
+def term_features(sequences: DataFrame, width: int, sequence_col: str = "sequence") -> DataFrame:
+    """Add `features`, sparse counts of the word indices 1..width, for MLlib models."""
+    counter = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(1, width + 1)], inputCol="__words", outputCol="features")
+    words = sequences.withColumn("__words", F.col(sequence_col).cast("array<string>"))
+    return counter.transform(words).drop("__words")
 
 
-def fit_softmax(train: DataFrame, label_col: str, n_classes: int, features_col: str = "features",
-                max_iter: int = 20, reg: float = 1e-4):
-    """Multinomial logistic regression, the discriminative option."""
-    check_cells(n_classes, _feature_width(train, features_col))
+def fit_softmax(train: DataFrame, label_col: str, features_col: str = "features", max_iter: int = 100, reg: float = 1e-4):
+    """Multinomial logistic regression, the discriminative option. Stops at convergence."""
     return LogisticRegression(
         featuresCol=features_col, labelCol=label_col, family="multinomial", maxIter=max_iter, regParam=reg,
         predictionCol="__prediction", probabilityCol="__probability", rawPredictionCol="__raw",
@@ -65,7 +142,7 @@ def fit_softmax(train: DataFrame, label_col: str, n_classes: int, features_col:
 
 
 def score(model, df: DataFrame) -> DataFrame:
-    """Add `scores` (unnormalised, for ranking) and `probabilities` as ARRAY<DOUBLE> by class index."""
+    """Add `scores` (unnormalised, for ranking) and `probabilities` of an MLlib model as ARRAY<DOUBLE> by class index."""
     return model.transform(df).withColumns(
         {"scores": vector_to_array("__raw"), "probabilities": vector_to_array("__probability")}
     ).drop("__raw", "__probability", "__prediction")
@@ -84,40 +161,46 @@ def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_
                     out_col: str = "scores") -> DataFrame:
     """Add the dot product with every class centroid as ARRAY<DOUBLE> by class index.
 
-    The centroids form a weight matrix of classes x features, bounded like any model; rows are
-    scored in Arrow batches by one matrix product. A class without centroid scores 0. Vectors
-    must be present and of equal width.
+    Centroids are taken in blocks of classes; rows are scored in Arrow batches by one matrix product
+    per block. A class without centroid scores -inf, behind all others. Vectors must be present and
+    of equal width.
     """
     first = df.select(F.size(vector_col)).head(1)
     width = first[0][0] if first else 0
-    check_cells(n_classes, width)
-    weights = [[0.0] * width for _ in range(n_classes)]
-    for row in centroids.collect():  # at most one row per class
-        weights[row.label_idx] = row.centroid
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    context = df.sparkSession.sparkContext
+    table = stage(centroids, "centroids")
 
-    @F.arrow_udf("array<double>")
-    def products(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matrix = np.asarray(shared.value, dtype="float64").reshape(n_classes, width).T
-        for vectors in batches:
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            ends = np.arange(0, len(rows) * n_classes + 1, n_classes, dtype="int32")
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array((rows @ matrix).ravel()))
+    def block_scores(a: int, b: int) -> Column:
+        known = table.filter(F.col("label_idx").between(a, b - 1)).toArrow()  # at most b - a rows
+        matrix, missing = np.zeros((b - a, width)), np.ones(b - a, dtype=bool)
+        at = known["label_idx"].to_numpy() - a
+        if len(at):
+            matrix[at] = known["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            missing[at] = False
+        shared = context.broadcast((matrix.T, missing))
 
-    return df.withColumn(out_col, products(as_double(F.col(vector_col))))
+        @F.arrow_udf("array<double>")
+        def products(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            weights, missing = shared.value
+            for vectors in batches:
+                rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+                scores = rows @ weights
+                scores[:, missing] = -np.inf
+                ends = np.arange(0, scores.size + 1, len(missing), dtype="int32")
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))
 
+        return products(as_double(F.col(vector_col)))
 
-def score_with(df: DataFrame, scorer: Callable, schema: str) -> DataFrame:
-    """Batch scoring by a user function over pandas batches (iterator in, iterator out)."""
-    return df.mapInPandas(scorer, schema)
+    return _score_blocks(df, n_classes, width, block_scores, out_col)
 
 
 def class_rows(scored: DataFrame, *keys: str, scores_col: str = "scores", value: str = "score") -> DataFrame:
-    """Long form: one row per key and class."""
-    return scored.select(*keys, F.posexplode(scores_col).alias("class_idx", value))
+    """Long form: one row per key and class that has a score."""
+    rows = scored.select(*keys, F.posexplode(scores_col).alias("class_idx", value))
+    return rows.filter(F.col(value) > F.lit(float("-inf")))
 
 
-def multi_task(features: DataFrame, train: Column, tasks: dict[str, tuple[str, int]], id_col: str) -> DataFrame:
+def multi_task(features: DataFrame, train: Column, tasks: dict[str, tuple[str, int]], width: int, id_col: str) -> DataFrame:
     """(task, id, class_idx, prob): one classifier per target on one shared feature table.
 
     `tasks` maps task name to (label-index column, number of classes); rows without a label are
@@ -125,9 +208,9 @@ def multi_task(features: DataFrame, train: Column, tasks: dict[str, tuple[str, i
     """
     parts = []
     for task, (label_col, n_classes) in tasks.items():
-        model = fit_naive_bayes(features.filter(train & F.col(label_col).isNotNull()), label_col, n_classes)
+        model = fit_naive_bayes(features.filter(train), label_col, n_classes, width)
         parts.append(
-            class_rows(score(model, features), id_col, scores_col="probabilities", value="prob")
+            class_rows(score_naive_bayes(model, features), id_col, scores_col="probabilities", value="prob")
             .withColumn("task", F.lit(task))
         )
     return reduce(DataFrame.unionByName, parts)

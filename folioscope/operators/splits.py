@@ -36,7 +36,7 @@ def _placed(df: DataFrame, order_cols, chunk_rows: int, dev_share: float, test_s
         "chunk": chunk,
         "split": F.when(pos < n_dev, "dev").when(pos < n_dev + n_test, "test").otherwise("train"),
         "starts": (pos == 0) | (pos == n_dev) | (pos == n_dev + n_test),
-    }).drop("row_idx")
+    })
 
 
 def positional_split(
@@ -50,7 +50,7 @@ def positional_split(
 
     The rows given are sorted and staged; for wide rows use `split_by_key`.
     """
-    return _placed(df, order_cols, chunk_rows, dev_share, test_share).drop("starts")
+    return _placed(df, order_cols, chunk_rows, dev_share, test_share).drop("starts", "row_idx")
 
 
 def split_by_key(
@@ -65,22 +65,32 @@ def split_by_key(
 
     Only the keys are sorted. Each run of one split is a key range (three per chunk), so the
     split is found by binary search among the range starts; with too many ranges the keys are
-    joined back instead.
+    joined back instead, to the same effect: all rows of a repeated key go where the last of them
+    falls, NULL keys count as one key before all others.
     """
-    placed = _placed(df.select(key), [key], chunk_rows, dev_share, test_share)
-    bounds = stage(placed.filter("starts").select(key, "split"), "split-bounds")
-    table = bounds.orderBy(key).limit(max_bounds + 1).toArrow()
-    if table.num_rows > max_bounds:
-        return df.join(placed.select(key, "split"), key)
+    placed = _placed(df.select(key), [F.asc_nulls_first(key)], chunk_rows, dev_share, test_share)
+    bounds = stage(placed.filter("starts").select(key, "split", "chunk"), "split-bounds")
+    if bounds.count() > max_bounds:
+        last = stage(placed.groupBy(key).agg(F.max_by("split", "row_idx").alias("split")), "split-keys")
+        return df.join(last.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     names = ["train", "dev", "test"]
+    # Of several runs that begin at one key the last one counts; within a chunk dev comes first, train last.
+    ordered = bounds.withColumn("__code", F.array_position(F.lit(["dev", "test", "train"]), F.col("split")))
+    table = ordered.orderBy(F.asc_nulls_first(key), "chunk", "__code").select(key, "split").toArrow()
     codes = np.array([names.index(name) for name in table["split"].to_pylist()], dtype="int32")
-    shared = df.sparkSession.sparkContext.broadcast((table[key].to_numpy(), codes))
+    starts = table[key].drop_null().to_numpy()
+    nulls = len(codes) - len(starts)
+    # Below the first start, and for NULL, the last run that began at NULL goes on.
+    codes = np.concatenate((codes[max(nulls - 1, 0):nulls] if nulls else codes[:1], codes[nulls:]))
+    shared = df.sparkSession.sparkContext.broadcast((starts, codes))
 
     @F.arrow_udf("int")
     def run_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         starts, splits = shared.value
         for keys in batches:
-            at = np.searchsorted(starts, keys.to_numpy(zero_copy_only=False), side="right") - 1
+            at = np.zeros(len(keys), dtype="int64")
+            known = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False))
+            at[known] = np.searchsorted(starts, keys.drop_null().to_numpy(zero_copy_only=False), side="right")
             yield pa.array(splits[at])
 
     return df.withColumn("split", F.get(F.array(*[F.lit(n) for n in names]), run_of(F.col(key))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import MAX_SEQUENCE_LENGTH, MAX_WORDS, pad_sequence, raw_tokens, tokens
@@ -17,8 +17,8 @@ from folioscope.functions.vectors import as_double, l2_normalise, zero_vector
 from folioscope.operators.row_index import with_row_index
 from folioscope.runtime import BROADCAST_BYTES, broadcast_if_small, measured_bytes, stage
 
-# A class dictionary is as long as the score array of every row, so it has to stay small.
-MAX_LABELS = 200_000
+# Tokens whose vectors a task adds up in one numpy step.
+TOKEN_SLICE = 65_536
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -138,25 +138,60 @@ def document_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col:
     matrix = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     shared = docs.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), matrix))
 
-    positions = _position_finder()
+    positions, slice_size = _position_finder(), TOKEN_SLICE
 
     @F.arrow_udf("array<double>")
     def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, vectors = shared.value
         for lists in batches:
             found, bounds = positions(lists, words)
+            row = np.repeat(np.arange(len(lists)), np.diff(bounds))[found >= 0]
+            found = found[found >= 0]
             result = np.zeros((len(lists), width))
-            for row in range(len(lists)):
-                own = found[bounds[row]:bounds[row + 1]]
-                rows, counts = np.unique(own[own >= 0], return_counts=True)
-                if len(rows):
-                    result[row] = counts @ vectors[rows] / counts.sum()
+            for at in range(0, len(found), slice_size):
+                own = row[at:at + slice_size]
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                result[own[starts]] += np.add.reduceat(vectors[found[at:at + slice_size]], starts)
+            result /= np.maximum(np.bincount(row, minlength=len(lists)), 1)[:, None]
             ends = np.arange(0, len(lists) * width + 1, width, dtype="int32")
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel()))
 
     return docs.select(id_col, means(_all_words(text_col)).alias("vector"))
 
 
+def with_mean_vectors(rows: DataFrame, embeddings: DataFrame, width: int, sequence_col: str, out_col: str) -> DataFrame:
+    """Add the mean embedding of an ARRAY<INT> of word indices; indices without a row in `embeddings`
+    (idx, vector; at most MAX_WORDS rows) do not count, zeros where none is left."""
+    table = embeddings.filter(F.col("idx") <= MAX_WORDS).select("idx", "vector").toArrow()
+    top = int(pc.max(table["idx"]).as_py() or 0)
+    matrix, known = np.zeros((top + 1, width)), np.zeros(top + 1, dtype=bool)
+    at = table["idx"].to_numpy()
+    if len(at):
+        matrix[at] = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    known[at] = True
+    shared = rows.sparkSession.sparkContext.broadcast((matrix, known))
+    slice_size = TOKEN_SLICE
+
+    @F.arrow_udf("array<double>")
+    def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vectors, known = shared.value
+        for lists in batches:
+            words = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+            inside = (words < len(known)) & known[np.minimum(words, len(known) - 1)]
+            row, words = row[inside], words[inside]
+            result = np.zeros((len(lists), width))
+            for at in range(0, len(words), slice_size):
+                own = row[at:at + slice_size]
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                result[own[starts]] += np.add.reduceat(vectors[words[at:at + slice_size]], starts)
+            result /= np.maximum(np.bincount(row, minlength=len(lists)), 1)[:, None]
+            ends = np.arange(0, len(lists) * width + 1, width, dtype="int32")
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel()))
+
+    return rows.withColumn(out_col, means(F.col(sequence_col)))
+
+
 def _joined_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     table = embeddings.select("word", array_to_vector("vector").alias("vector"))
     words = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("word"))
@@ -170,18 +205,10 @@ def _joined_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col:
     )
 
 
-def label_dictionary(df: DataFrame, label_col: str, max_labels: int = MAX_LABELS) -> DataFrame:
-    """(label, label_idx): distinct labels in sorted order, numbered from 0.
-
-    The distinct labels are cut one above the allowed number before they meet in one task;
-    reaching that cut is an error, so no label is ever lost.
-    """
+def label_dictionary(df: DataFrame, label_col: str) -> DataFrame:
+    """(label, label_idx): all distinct labels in sorted order, numbered from 0; NULL is no label."""
     labels = df.select(F.col(label_col).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    number = F.row_number().over(Window.orderBy("label"))
-    guarded = F.when(number <= max_labels, number - 1).otherwise(
-        F.raise_error(F.lit(f"more than {max_labels} distinct labels in {label_col}"))
-    )
-    return labels.limit(max_labels + 1).select("label", guarded.cast("int").alias("label_idx"))
+    return with_row_index(labels, "label", name="label_idx").withColumn("label_idx", F.col("label_idx").cast("int"))
 
 
 def encode_labels(df: DataFrame, dictionary: DataFrame, label_col: str, out_col: str = "label_idx") -> DataFrame:

@@ -79,11 +79,10 @@ FROM (SELECT l.label, count(r.doc_id) AS number, count(CASE WHEN r.c = r.label_i
       LEFT JOIN (SELECT * FROM nbj WHERE r = 1 AND split = 'test') r ON r.label_idx = l.idx GROUP BY l.label)"""))
 def journal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall per journal of the text classifier, with journal names."""
-    features = models.labelled_features(spark, sf_dir)
-    scored = models._term_scores(features, "journal_idx", models.n_labels(spark, sf_dir, "source"))
+    features = models.text_features(spark, sf_dir)
+    scored = models.term_scores(features, "journal_idx", features.n_journals)
     ranks = ev.true_ranks(scored, "doc_id", "split", label_col="journal_idx").filter(F.col("split") == "test")
-    names = voc.label_dictionary(load(spark, sf_dir, "documents"), "source")
-    return ev.recall_table(ranks, names).withColumn("percent", F.round("percent", 6))
+    return ev.recall_table(ranks, features.journals).withColumn("percent", F.round("percent", 6))
 
 
 @query("j10_inverse_lookup", """
@@ -111,8 +110,9 @@ ncls AS (SELECT count(DISTINCT source) AS nc FROM documents)"""
 SELECT split, k, round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy FROM curve"""))
 def journal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of the journal text classifier on the default grid."""
-    n_classes = models.n_labels(spark, sf_dir, "source")
-    scored = models._term_scores(models.labelled_features(spark, sf_dir), "journal_idx", n_classes)
+    features = models.text_features(spark, sf_dir)
+    n_classes = features.n_journals
+    scored = models.term_scores(features, "journal_idx", n_classes)
     hist = ev.rank_histogram(ev.true_ranks(scored, "split", label_col="journal_idx"), "split")
     curve = ev.coverage_curve(hist, n_classes, "split")
     return curve.withColumns({"coverage": F.round("coverage", 6), "accuracy": F.round("accuracy", 6)})

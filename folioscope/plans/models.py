@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.numeric import IMPACT_BAND_BOUNDS, impact_band
+from folioscope.functions.text import MAX_WORDS
 from folioscope.functions.vectors import argmax, as_double, concat_features, l2_normalise
 from folioscope.operators import classifiers as clf
 from folioscope.operators import evaluation as ev
@@ -16,10 +18,8 @@ from folioscope.operators.splits import split_by_key
 from folioscope.plans import sql, text
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load, texts
-from folioscope.runtime import spread, stage
+from folioscope.runtime import stage
 
-# Words used by the term-count classifiers.
-NUM_WORDS = 20_000
 BANDS = len(IMPACT_BAND_BOUNDS) + 1
 
 # -- vector classifiers ------------------------------------------------------------------------
@@ -55,8 +55,9 @@ def vector_model_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_classes = n_vector_classes(spark, sf_dir)
     base = stage(centroid_scores(split_vectors(spark, sf_dir), n_classes, "embedding"), "scores")
     unit = base.drop("scores").withColumn("unit", l2_normalise(as_double(F.col("embedding"))))
+    finite = F.transform("scores", lambda x: F.when(x > F.lit(float("-inf")), x).otherwise(F.lit(0.0)))
     stacked = base.select(
-        "vec_id", "split", "label_idx", concat_features(as_double(F.col("embedding")), F.col("scores")).alias("stacked")
+        "vec_id", "split", "label_idx", concat_features(as_double(F.col("embedding")), finite).alias("stacked")
     )
     scored = {
         "baseline": base,
@@ -82,22 +83,6 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.recommendations(vector_scores(spark, sf_dir), "vec_id", 3)
 
 
-@query("m10_user_scorer", """
-SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS score FROM embeddings""")
-def user_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch scoring with a function of the user's own."""
-
-    def scorer(batches):
-        import numpy as np
-
-        for batch in batches:
-            batch["score"] = [float(np.asarray(v, dtype="float64").sum()) for v in batch["embedding"]]
-            yield batch[["vec_id", "score"]]
-
-    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return clf.score_with(vectors, scorer, "vec_id BIGINT, score DOUBLE").withColumn("score", F.round("score", 6))
-
-
 @query("m12_pca")
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First five principal components of all vectors."""
@@ -110,29 +95,41 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text classifiers --------------------------------------------------------------------------
 
 
-def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, split, topic_idx, band, journal_idx, features), features fitted on the training split."""
-    rows = articles(spark, sf_dir).select(
-        F.col("pmid").alias("doc_id"), F.col("abstract").alias("text"), "category", "journal_abbrev",
-        impact_band(F.col("impact_factor")).alias("band"),
-    )
-    topics, journals = (voc.staged_label_dictionary(rows, c) for c in ("category", "journal_abbrev"))
-    coded = voc.encode_labels(spread(rows, "doc_id"), topics, "category", "topic_idx")
-    coded = split_by_key(voc.encode_labels(coded, journals, "journal_abbrev", "journal_idx"), "doc_id")
-    vocabulary = stage(voc.fit_vocabulary(coded.filter(F.col("split") == "train")), "vocabulary")
-    featured = clf.term_features(coded, vocabulary, NUM_WORDS)
-    return stage(featured.select("doc_id", "split", "topic_idx", "band", "journal_idx", "features"), "features")
+@dataclass(frozen=True)
+class TextFeatures:
+    """Word indices of all labelled articles under the training vocabulary, and the sizes of both dictionaries."""
+
+    rows: DataFrame  # doc_id, split, topic_idx, band, journal_idx, sequence
+    vocabulary: DataFrame
+    width: int
+    n_topics: int
+    journals: DataFrame
+    n_journals: int
 
 
-def n_labels(spark: SparkSession, sf_dir: str, col: str) -> int:
-    return load(spark, sf_dir, "documents").select(col).distinct().count()
+def text_features(spark: SparkSession, sf_dir: str) -> TextFeatures:
+    """Labels and splits are made on narrow rows; every text is tokenised twice, for the words and for their indices."""
+    rows = articles(spark, sf_dir).select(
+        F.col("pmid").alias("doc_id"), "category", "journal_abbrev", impact_band(F.col("impact_factor")).alias("band"))
+    rows = stage(rows, "article-labels")
+    topics, journals = (voc.staged_label_dictionary(rows, c) for c in ("category", "journal_abbrev"))
+    coded = voc.encode_labels(rows, topics, "category", "topic_idx")
+    coded = voc.encode_labels(coded, journals, "journal_abbrev", "journal_idx")
+    coded = stage(split_by_key(coded.select("doc_id", "topic_idx", "band", "journal_idx"), "doc_id"), "labels")
+    docs = texts(spark, sf_dir)
+    train = docs.join(coded.filter(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
+    vocabulary = stage(voc.fit_vocabulary(train), "vocabulary")
+    sequences = voc.text_sequences(docs, vocabulary, MAX_WORDS + 1)
+    featured = stage(coded.join(sequences, "doc_id"), "features")
+    width = vocabulary.filter(F.col("idx") <= MAX_WORDS).count()
+    return TextFeatures(featured, vocabulary, width, topics.count(), journals, journals.count())
 
 
 TEXT_SQL = ",\n".join([
     sql.ARTICLES, sql.TOKENS, sql.split("documents", "doc_id"),
     "train_tok AS (SELECT tok.* FROM tok JOIN splits USING (doc_id) WHERE split = 'train')",
     sql.vocabulary("train_tok"),
-    f"top AS (SELECT word FROM vocab WHERE idx <= {NUM_WORDS})",
+    f"top AS (SELECT word FROM vocab WHERE idx <= {MAX_WORDS})",
     "cnt AS (SELECT doc_id, word, count(*) AS c FROM tok JOIN top USING (word) GROUP BY doc_id, word)",
     f"""targets AS (
   SELECT pmid AS doc_id, split, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS topic_idx,
@@ -142,12 +139,17 @@ TEXT_SQL = ",\n".join([
 
 
 def naive_bayes_sql(label: str, name: str, n_classes: str) -> str:
-    """CTEs ending in {name} (doc_id, split, y, c, raw, prob): multinomial naive Bayes in closed form."""
-    return f"""{name}_n AS (SELECT {label} AS y, count(*) AS docs FROM targets WHERE split = 'train' AND {label} IS NOT NULL GROUP BY 1),
-{name}_k AS (SELECT CAST({n_classes} AS DOUBLE) AS k, (SELECT count(*) FROM top) AS v, (SELECT sum(docs) FROM {name}_n) AS total),
+    """CTEs ending in {name} (doc_id, split, y, c, raw, prob): multinomial naive Bayes in closed form.
+
+    Classes without training rows take part with no documents and no words.
+    """
+    return f"""{name}_k AS (SELECT CAST({n_classes} AS DOUBLE) AS k, (SELECT count(*) FROM top) AS v,
+  (SELECT count(*) FROM targets WHERE split = 'train' AND {label} IS NOT NULL) AS total),
+{name}_y AS (SELECT CAST(unnest(range(0, (SELECT CAST(k AS BIGINT) FROM {name}_k))) AS INTEGER) AS y),
+{name}_n AS (SELECT y, count(doc_id) AS docs FROM {name}_y LEFT JOIN (SELECT doc_id, {label} AS y FROM targets WHERE split = 'train') USING (y) GROUP BY y),
 {name}_cw AS (SELECT {label} AS y, word, sum(c) AS c FROM cnt JOIN targets USING (doc_id)
   WHERE split = 'train' AND {label} IS NOT NULL GROUP BY 1, 2),
-{name}_t AS (SELECT y, sum(c) AS c FROM {name}_cw GROUP BY y),
+{name}_t AS (SELECT y, coalesce(sum(c), 0) AS c FROM {name}_y LEFT JOIN {name}_cw USING (y) GROUP BY y),
 {name}_pi AS (SELECT y, ln(docs + 1.0::DOUBLE) - ln(total + k) AS pi FROM {name}_n CROSS JOIN {name}_k),
 {name}_th AS (SELECT t.y, w.word, ln(coalesce(cw.c, 0) + 1.0::DOUBLE) - ln(t.c + CAST(v AS DOUBLE)) AS theta
   FROM {name}_t t CROSS JOIN top w CROSS JOIN {name}_k LEFT JOIN {name}_cw cw ON cw.y = t.y AND cw.word = w.word),
@@ -164,9 +166,11 @@ _BAND_SQL = naive_bayes_sql("band", "nbb", str(BANDS))
 _JOURNAL_SQL = naive_bayes_sql("journal_idx", "nbj", "(SELECT count(DISTINCT source) FROM documents)")
 
 
-def _term_scores(features: DataFrame, label_col: str, n_classes: int) -> DataFrame:
-    train = features.filter((F.col("split") == "train") & F.col(label_col).isNotNull())
-    return clf.score(clf.fit_naive_bayes(train, label_col, n_classes), features)
+def term_scores(features: TextFeatures, label_col: str, n_classes: int, rows: DataFrame | None = None) -> DataFrame:
+    """Scores of all rows by naive Bayes on the training rows that have the label."""
+    rows = features.rows if rows is None else rows
+    model = clf.fit_naive_bayes(rows.filter(F.col("split") == "train"), label_col, n_classes, features.width)
+    return clf.score_naive_bayes(model, rows)
 
 
 def _classified(scored: DataFrame, label_col: str) -> DataFrame:
@@ -182,28 +186,54 @@ _BEST = "SELECT doc_id, split, label_idx, CAST(c AS INTEGER) AS predicted, round
 
 @query("m5_topic_classifier", sql.with_(TEXT_SQL, _TOPIC_SQL, body=_BEST.format("nbt")))
 def topic_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = labelled_features(spark, sf_dir)
-    return _classified(_term_scores(features, "topic_idx", n_labels(spark, sf_dir, "lang")), "topic_idx")
+    features = text_features(spark, sf_dir)
+    return _classified(term_scores(features, "topic_idx", features.n_topics), "topic_idx")
+
+
+# The second topic is taken out of the training rows.
+ABSENT_TOPIC = 1
+
+
+@query("m5_missing_class", sql.with_(
+    TEXT_SQL.replace("targets AS (", "all_targets AS ("),
+    f"""targets AS (SELECT * REPLACE (CASE WHEN topic_idx = {ABSENT_TOPIC} AND split = 'train' THEN 'dev' ELSE split END AS split) FROM all_targets)""",
+    _TOPIC_SQL, body=_BEST.format("nbt")))
+def missing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic classifier fitted without any row of one topic: the others keep their indices."""
+    features = text_features(spark, sf_dir)
+    moved = F.when((F.col("topic_idx") == ABSENT_TOPIC) & (F.col("split") == "train"), "dev").otherwise(F.col("split"))
+    rows = features.rows.withColumn("split", moved)
+    return _classified(term_scores(features, "topic_idx", features.n_topics, rows), "topic_idx")
 
 
 @query("m5_softmax_topic")
 def softmax_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multinomial logistic regression on the same features."""
-    features = labelled_features(spark, sf_dir)
-    train = features.filter(F.col("split") == "train")
-    model = clf.fit_softmax(train, "topic_idx", n_labels(spark, sf_dir, "lang"), max_iter=10)
-    return _classified(clf.score(model, features), "topic_idx")
+    """Multinomial logistic regression on the same words."""
+    features = text_features(spark, sf_dir)
+    rows = clf.term_features(features.rows, features.width)
+    model = clf.fit_softmax(rows.filter(F.col("split") == "train"), "topic_idx")
+    return _classified(clf.score(model, rows), "topic_idx")
 
 
 @query("m6_impact_band_classifier", sql.with_(TEXT_SQL, _BAND_SQL, body=_BEST.format("nbb")))
 def impact_band_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(_term_scores(labelled_features(spark, sf_dir), "band", BANDS), "band")
+    return _classified(term_scores(text_features(spark, sf_dir), "band", BANDS), "band")
 
 
 @query("m7_journal_classifier", sql.with_(TEXT_SQL, _JOURNAL_SQL, body=_BEST.format("nbj")))
 def journal_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = labelled_features(spark, sf_dir)
-    return _classified(_term_scores(features, "journal_idx", n_labels(spark, sf_dir, "source")), "journal_idx")
+    features = text_features(spark, sf_dir)
+    return _classified(term_scores(features, "journal_idx", features.n_journals), "journal_idx")
+
+
+@query("m10_journal_recommendations", sql.with_(TEXT_SQL, _JOURNAL_SQL, body="""
+SELECT doc_id, CAST(r AS INTEGER) AS rank, source AS journal FROM nbj
+JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS c FROM (SELECT DISTINCT source FROM documents)) USING (c) WHERE r <= 3"""))
+def journal_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best journals, by name, for every abstract."""
+    features = text_features(spark, sf_dir)
+    best = ev.recommendations(term_scores(features, "journal_idx", features.n_journals), "doc_id", 3)
+    return voc.decode_labels(best, features.journals, "class_idx", "journal").select("doc_id", "rank", "journal")
 
 
 @query("m8_multi_task", sql.with_(TEXT_SQL, _TOPIC_SQL, _BAND_SQL, _JOURNAL_SQL, body="""
@@ -212,23 +242,22 @@ UNION ALL SELECT 'if', doc_id, CAST(c AS INTEGER), round(prob, 6) FROM nbb
 UNION ALL SELECT 'journal', doc_id, CAST(c AS INTEGER), round(prob, 6) FROM nbj"""))
 def multi_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic, impact band and journal scores from one feature table."""
+    features = text_features(spark, sf_dir)
     tasks = {
-        "category": ("topic_idx", n_labels(spark, sf_dir, "lang")),
-        "if": ("band", BANDS),
-        "journal": ("journal_idx", n_labels(spark, sf_dir, "source")),
+        "category": ("topic_idx", features.n_topics), "if": ("band", BANDS), "journal": ("journal_idx", features.n_journals),
     }
-    scores = clf.multi_task(labelled_features(spark, sf_dir), F.col("split") == "train", tasks, "doc_id")
+    scores = clf.multi_task(features.rows, F.col("split") == "train", tasks, features.width, "doc_id")
     return scores.withColumn("prob", F.round("prob", 6))
 
 
-def with_helper_probabilities(features: DataFrame, n_topics: int) -> DataFrame:
+def with_helper_probabilities(features: TextFeatures) -> DataFrame:
     """Add `hidden`: topic and impact-band probabilities side by side, scored in one pass over the rows."""
-    train = features.filter(F.col("split") == "train")
-    topic = clf.fit_naive_bayes(train, "topic_idx", n_topics)
-    band = clf.fit_naive_bayes(train.filter(F.col("band").isNotNull()), "band", BANDS)
-    scored = clf.score(topic, features).withColumnRenamed("probabilities", "topic_probabilities").drop("scores")
-    scored = clf.score(band, scored).withColumn("hidden", concat_features(F.col("topic_probabilities"), F.col("probabilities")))
-    return scored.drop("topic_probabilities", "probabilities", "scores")
+    train = features.rows.filter(F.col("split") == "train")
+    topic = clf.fit_naive_bayes(train, "topic_idx", features.n_topics, features.width)
+    band = clf.fit_naive_bayes(train, "band", BANDS, features.width)
+    scored = clf.score_naive_bayes(topic, features.rows).withColumnRenamed("probabilities", "topic_probabilities").drop("scores")
+    hidden = concat_features(F.col("topic_probabilities"), F.col("probabilities"))
+    return clf.score_naive_bayes(band, scored).withColumn("hidden", hidden).drop("topic_probabilities", "probabilities", "scores")
 
 
 _HIDDEN = """hidden AS (SELECT doc_id, CAST(c AS BIGINT) AS dim, prob AS v FROM nbt
@@ -238,25 +267,25 @@ _HIDDEN = """hidden AS (SELECT doc_id, CAST(c AS BIGINT) AS dim, prob AS v FROM
 @query("m11_hidden_features", sql.with_(TEXT_SQL, _TOPIC_SQL, _BAND_SQL, _HIDDEN, body="""
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM hidden"""))
 def hidden_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hidden = with_helper_probabilities(labelled_features(spark, sf_dir), n_labels(spark, sf_dir, "lang"))
+    hidden = with_helper_probabilities(text_features(spark, sf_dir))
     cells = hidden.select("doc_id", F.posexplode("hidden").alias("dim", "value"))
     return cells.withColumn("value", F.round("value", 6))
 
 
 def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, split, label_idx, scores): journal centroids over document vectors plus helper probabilities."""
-    features = labelled_features(spark, sf_dir)
-    hidden = with_helper_probabilities(features, n_labels(spark, sf_dir, "lang")).select(
-        "doc_id", "split", F.col("journal_idx").alias("label_idx"), F.col("hidden").alias("vector")
-    )
-    base = voc.document_vectors(texts(spark, sf_dir), text.embeddings(spark, sf_dir), text.WIDTH)
-    stacked = clf.stacked_vectors(base, [hidden.select("doc_id", "vector")], "doc_id")
-    rows = stage(stacked.join(hidden.drop("vector"), "doc_id"), "stacked")
-    return centroid_scores(rows, n_labels(spark, sf_dir, "source"), "vector")
+    """(doc_id, split, label_idx, scores): journal centroids over document vectors plus helper probabilities.
+
+    All features of a row come from its word indices: one vocabulary, one token pass, no join.
+    """
+    features = text_features(spark, sf_dir)
+    table = text.embedding_table_of(spark, sf_dir, features.vocabulary)
+    rows = voc.with_mean_vectors(with_helper_probabilities(features), table, text.WIDTH, "sequence", "base")
+    rows = stage(rows.select(
+        "doc_id", "split", F.col("journal_idx").alias("label_idx"), concat_features("base", "hidden").alias("vector")), "stacked")
+    return centroid_scores(rows, features.n_journals, "vector")
 
 
-_STACKED_SQL = f"""{sql.vocabulary("tok", "allvocab")},
-{text.EMBEDDING_SQL.strip().replace("FROM vocab", "FROM allvocab")},
+_STACKED_SQL = f"""{text.EMBEDDING_SQL.strip()},
 allcnt AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY doc_id, word),
 docvec AS (SELECT doc_id, CAST(dim AS BIGINT) AS dim, sum(c * value) / sum(c) AS v FROM allcnt JOIN embtab USING (word) GROUP BY doc_id, dim),
 stackv AS (SELECT doc_id, d.dim, coalesce(v, 0.0::DOUBLE) AS v FROM documents CROSS JOIN (SELECT DISTINCT dim FROM docvec) d
@@ -280,9 +309,9 @@ UNION ALL SELECT 'if', split, count(*), round(avg(CASE WHEN c = label_idx THEN 1
 FROM nbb WHERE r = 1 AND label_idx IS NOT NULL GROUP BY split"""))
 def dev_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of both helper classifiers on every split."""
-    features = labelled_features(spark, sf_dir)
-    topic = _classified(_term_scores(features, "topic_idx", n_labels(spark, sf_dir, "lang")), "topic_idx")
-    band = _classified(_term_scores(features, "band", BANDS), "band").filter(F.col("label_idx").isNotNull())
+    features = text_features(spark, sf_dir)
+    topic = _classified(term_scores(features, "topic_idx", features.n_topics), "topic_idx")
+    band = _classified(term_scores(features, "band", BANDS), "band").filter(F.col("label_idx").isNotNull())
     both = topic.withColumn("task", F.lit("category")).unionByName(band.withColumn("task", F.lit("if")))
     hit = (F.col("predicted") == F.col("label_idx")).cast("double")
     return both.groupBy("task", "split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import MAX_SEQUENCE_LENGTH, tokens
+from folioscope.functions.text import MAX_SEQUENCE_LENGTH, MAX_WORDS, tokens
 from folioscope.functions.vectors import as_double, l2_normalise
 from folioscope.operators import vocabulary as voc
 from folioscope.operators.splits import split_by_key
@@ -15,7 +15,6 @@ from folioscope.plans.tables import load, texts
 from folioscope.runtime import stage
 
 WIDTH = 64
-NUM_WORDS = 5000
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def word_vectors(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> Dat
 EMBEDDING_SQL = f"""
 embtab AS (
   SELECT v.word, v.idx, dims.dim, coalesce(u.v, 0.0) AS value
-  FROM (SELECT word, idx FROM vocab WHERE idx <= {NUM_WORDS}) v
+  FROM (SELECT word, idx FROM vocab WHERE idx <= {MAX_WORDS}) v
   CROSS JOIN (SELECT unnest(range(1, {WIDTH + 1})) AS dim) dims
   LEFT JOIN (SELECT vec_id + 1 AS idx, dim, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM (
       SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings)) u
@@ -48,10 +47,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voc.token_counts(texts(spark, sf_dir))
 
 
-@query("m1_fit_vocabulary", sql.with_(
+# Words and their ranks come from the training split alone.
+VOCABULARY_SQL = ",\n".join([
     sql.TOKENS, sql.split("documents", "doc_id"),
-    "train_tok AS (SELECT tok.* FROM tok JOIN splits USING (doc_id) WHERE split = 'train')",
-    sql.vocabulary("train_tok"), body="SELECT word, n, idx FROM vocab"))
+    "train_tok AS (SELECT tok.* FROM tok JOIN splits USING (doc_id) WHERE split = 'train')", sql.vocabulary("train_tok")])
+
+
+@query("m1_fit_vocabulary", sql.with_(VOCABULARY_SQL, body="SELECT word, n, idx FROM vocab"))
 def fit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary of the training split, saved as a table and read back."""
     train = split_by_key(texts(spark, sf_dir), "doc_id").filter(F.col("split") == "train")
@@ -61,18 +63,16 @@ def fit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEQ = f"""seq AS (
   SELECT d.doc_id, coalesce(s.ids, []) AS ids
   FROM documents d LEFT JOIN (
-    SELECT doc_id, list(idx ORDER BY pos) AS ids FROM tok JOIN vocab USING (word) WHERE idx < {NUM_WORDS} GROUP BY doc_id) s
+    SELECT doc_id, list(idx ORDER BY pos) AS ids FROM tok JOIN vocab USING (word) WHERE idx < {MAX_WORDS} GROUP BY doc_id) s
   USING (doc_id))"""
 
 
 def _seq_sql(body: str) -> str:
-    return sql.with_(sql.TOKENS, sql.vocabulary(), _SEQ, body=body)
+    return sql.with_(VOCABULARY_SQL, _SEQ, body=body)
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir)
-    vocabulary = stage(voc.fit_vocabulary(docs), "vocabulary")
-    return voc.text_sequences(docs, vocabulary, NUM_WORDS)
+    return voc.text_sequences(texts(spark, sf_dir), fit_vocabulary(spark, sf_dir), MAX_WORDS)
 
 
 def _joined(sequence: str):
@@ -98,8 +98,8 @@ def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.select("doc_id", _joined("sequence").alias("padded"))
 
 
-@query("m3_sequence_features", sql.with_(sql.TOKENS, sql.vocabulary(), f"""seq AS (
-  SELECT doc_id, list(idx ORDER BY pos) AS ids FROM tok JOIN vocab USING (word) WHERE idx < {NUM_WORDS} GROUP BY doc_id)""",
+@query("m3_sequence_features", sql.with_(VOCABULARY_SQL, f"""seq AS (
+  SELECT doc_id, list(idx ORDER BY pos) AS ids FROM tok JOIN vocab USING (word) WHERE idx < {MAX_WORDS} GROUP BY doc_id)""",
     "labels_ AS (SELECT doc_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label_idx FROM documents)",
     body=f"""SELECT doc_id, label_idx, {MAX_SEQUENCE_LENGTH}::BIGINT AS length,
   CAST(coalesce(list_sum(list_slice(ids, greatest(len(ids) - {MAX_SEQUENCE_LENGTH} + 1, 1), len(ids))), 0) AS BIGINT) AS id_sum
@@ -124,12 +124,15 @@ def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = stage(voc.fit_vocabulary(texts(spark, sf_dir)), "vocabulary")
+    return embedding_table_of(spark, sf_dir, fit_vocabulary(spark, sf_dir))
+
+
+def embedding_table_of(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> DataFrame:
     vectors = word_vectors(spark, sf_dir, vocabulary)
-    return stage(voc.embedding_table(vocabulary, vectors, WIDTH, NUM_WORDS), "embeddings")
+    return stage(voc.embedding_table(vocabulary, vectors, WIDTH, MAX_WORDS), "embeddings")
 
 
-@query("j7_default_zero_vector", sql.with_(sql.TOKENS, sql.vocabulary(), EMBEDDING_SQL, body="""
+@query("j7_default_zero_vector", sql.with_(VOCABULARY_SQL, EMBEDDING_SQL, body="""
 SELECT word, idx, round(max(abs(value)), 6) AS largest, count(*) AS width, max(abs(value)) = 0 AS is_zero FROM embtab GROUP BY word, idx"""))
 def default_zero_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
@@ -139,7 +142,7 @@ def default_zero_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("m2_embedding_table", sql.with_(sql.TOKENS, sql.vocabulary(), EMBEDDING_SQL, body="""
+@query("m2_embedding_table", sql.with_(VOCABULARY_SQL, EMBEDDING_SQL, body="""
 SELECT idx, CAST(dim - 1 AS INTEGER) AS dim, round(value, 6) AS value FROM embtab WHERE value <> 0"""))
 def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-zero cells of the embedding table."""
@@ -147,7 +150,7 @@ def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.filter(F.col("value") != 0).withColumn("value", F.round("value", 6))
 
 
-@query("m4_document_vectors", sql.with_(sql.TOKENS, sql.vocabulary(), EMBEDDING_SQL,
+@query("m4_document_vectors", sql.with_(VOCABULARY_SQL, EMBEDDING_SQL,
     "cnt AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY doc_id, word)", body="""
 SELECT doc_id, CAST(dim - 1 AS INTEGER) AS dim, round(coalesce(v, 0.0::DOUBLE), 6) AS value
 FROM documents CROSS JOIN (SELECT DISTINCT dim FROM embtab)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from folioscope.operators import relational as ops
 from folioscope.operators import splits
 from folioscope.operators import vocabulary as voc
+from folioscope.operators import classifiers
 from folioscope.operators.classifiers import (
-    fit_centroids, fit_softmax, pca_projection, score, score_centroids, stacked_vectors, term_features,
+    class_rows, fit_centroids, fit_naive_bayes, fit_softmax, pca_projection, score, score_centroids, score_naive_bayes,
+    stacked_vectors, term_features,
 )
 from folioscope.operators.row_index import with_row_index
 from folioscope.runtime import broadcast_if_small, measured_bytes, new_path, spread, stage
@@ -143,6 +145,21 @@ def test_split_by_key_equals_the_positional_split(spark, max_bounds):
     assert max_bounds == 0 or "Exchange" not in plan_of(got)
 
 
+@pytest.mark.parametrize("max_bounds", [1000, 0])
+def test_split_by_key_keeps_repeated_and_missing_keys(spark, max_bounds):
+    keys = [None] * 3 + list(range(10)) + [4] * 4 + list(range(10, 15))
+    df = spark.createDataFrame([(k,) for k in keys], "id BIGINT")
+    for chunk in (22, 7, 5):
+        order = sorted(keys, key=lambda k: (k is not None, k or 0))
+        split = {}
+        for i, k in enumerate(order):
+            size, pos = min(chunk, len(order) - i // chunk * chunk), i % chunk
+            share = round(0.1 * size)
+            split[k] = "dev" if pos < share else "test" if pos < 2 * share else "train"
+        got = [(r.id, r.split) for r in splits.split_by_key(df, "id", chunk_rows=chunk, max_bounds=max_bounds).collect()]
+        assert sorted(map(repr, got)) == sorted(repr((k, split[k])) for k in keys)
+
+
 def test_hash_split_is_complete_and_stable(spark):
     df = spark.range(5000)
     first = {r.id: r.split for r in splits.hash_split(df, "id").collect()}
@@ -214,33 +231,65 @@ def test_label_dictionary_and_unknown_labels(spark):
     df = spark.createDataFrame([("src10",), ("src1",), ("src0",), ("src1",), (None,)], "s STRING")
     labels = voc.label_dictionary(df, "s")
     assert {r.label: r.label_idx for r in labels.collect()} == {"src0": 0, "src1": 1, "src10": 2}
-    with pytest.raises(PySparkException):
-        voc.label_dictionary(df, "s", max_labels=2).collect()
+    many = spark.range(3000).select(F.col("id").cast("string").alias("s"))
+    assert [r.label_idx for r in voc.label_dictionary(many, "s").orderBy("label").collect()] == list(range(3000))
     with pytest.raises(PySparkException):
         voc.encode_labels(spark.createDataFrame([("other",)], "s STRING"), labels, "s").collect()
 
 
 # -- models ----------------------------------------------------------------------
 
-def test_centroid_scores_match_numpy(spark):
+@pytest.mark.parametrize("cells", [classifiers.BLOCK_CELLS, 4])
+def test_centroid_scores_match_numpy(spark, monkeypatch, cells):
+    """In one block and with one class per block; class 3 has no rows and comes last."""
+    monkeypatch.setattr(classifiers, "BLOCK_CELLS", cells)
     rng = np.random.default_rng(0)
     data = [(i, int(i % 3), rng.normal(size=4).tolist()) for i in range(40)]
     df = spark.createDataFrame(data, "id INT, y INT, v ARRAY<DOUBLE>")
-    got = {r.id: r.scores for r in score_centroids(df, fit_centroids(df, "v", "y"), 4, "v").collect()}
+    scored = score_centroids(df, fit_centroids(df, "v", "y"), 4, "v")
+    got = {r.id: r.scores for r in scored.collect()}
     x = np.array([d[2] for d in data])
-    means = np.array([x[[d[1] == c for d in data]].mean(axis=0) for c in range(3)] + [np.zeros(4)])
-    assert np.allclose([got[d[0]] for d in data], x @ means.T)
+    means = np.array([x[[d[1] == c for d in data]].mean(axis=0) for c in range(3)])
+    found = np.array([got[d[0]] for d in data])
+    assert np.allclose(found[:, :3], x @ means.T) and (found[:, 3] == -np.inf).all()
+    assert class_rows(scored, "id").filter("class_idx = 3").count() == 0
+
+
+@pytest.mark.parametrize("cells", [classifiers.BLOCK_CELLS, 5])
+def test_naive_bayes_keeps_the_slot_of_an_absent_class(spark, monkeypatch, cells):
+    monkeypatch.setattr(classifiers, "BLOCK_CELLS", cells)
+    rng = np.random.default_rng(1)
+    rows = [(i, [0, 2, 3][i % 3], rng.integers(1 + i % 3, 4 + i % 3, rng.integers(0, 9)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id INT, y INT, sequence ARRAY<INT>")
+    got = {r.id: r for r in score_naive_bayes(fit_naive_bayes(df, "y", 4, 6), df).collect()}
+    counts, docs = np.zeros((4, 7)), np.zeros(4)
+    for _, y, sequence in rows:
+        docs[y] += 1
+        np.add.at(counts[y], sequence, 1)
+    theta = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + 6)
+    prior = np.log(docs + 1) - np.log(docs.sum() + 4)
+    for i, _, sequence in rows:
+        expected = prior + theta[:, sequence].sum(axis=1)
+        assert np.allclose(got[i].scores, expected)
+        assert np.allclose(got[i].probabilities, np.exp(expected) / np.exp(expected).sum())
 
 
 def test_softmax_learns_a_separable_label_and_gives_probabilities(spark):
-    data = [(i, ["red apple", "green pear", "blue plum"][i % 3] + f" w{i % 5}", i % 3) for i in range(60)]
-    df = spark.createDataFrame(data, "doc_id INT, text STRING, y INT")
-    features = term_features(df, voc.fit_vocabulary(df), 100)
-    scored = score(fit_softmax(features, "y", 3, max_iter=20), features).collect()
+    data = [(i, [1 + i % 3, 4, 5 + i % 5], i % 3) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id INT, sequence ARRAY<INT>, y INT")
+    features = term_features(df, 10)
+    scored = score(fit_softmax(features, "y"), features).collect()
     assert all(int(np.argmax(r.scores)) == r.y for r in scored)
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in scored)
 
 
+def test_mean_vectors_of_sequences(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (3, [3.0, 4.0])], "idx INT, vector ARRAY<DOUBLE>")
+    df = spark.createDataFrame([(0, [1, 3, 3, 2, 9]), (1, []), (2, [2])], "id INT, sequence ARRAY<INT>")
+    got = {r.id: r.v for r in voc.with_mean_vectors(df, table, 2, "sequence", "v").collect()}
+    assert np.allclose(got[0], [7 / 3, 8 / 3]) and got[1] == [0.0, 0.0] and got[2] == [0.0, 0.0]
+
+
 def test_stacked_vectors_join_by_id(spark):
     a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id INT, vector ARRAY<DOUBLE>")
     b = spark.createDataFrame([(2, [20.0, 21.0]), (1, [10.0, 11.0])], "id INT, vector ARRAY<DOUBLE>")

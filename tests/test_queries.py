@@ -44,7 +44,7 @@ module = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(module)
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
-for name in ("m4_document_vectors", "f5_text_sequences", "m7_centroid_scores", "e6_bootstrap_multinomial", "m10_user_scorer"):
+for name in ("m4_document_vectors", "f5_text_sequences", "m7_centroid_scores", "e6_bootstrap_multinomial", "m5_topic_classifier"):
     assert module.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 print("done")
 """
