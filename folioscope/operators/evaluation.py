@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import argmax, ranked_classes, true_rank
-from folioscope.operators.row_index import with_row_index
 from folioscope.runtime import broadcast_if_small, stage
 
 # Step of the coverage grid, accuracy that k90 asks for, number of resamples.
@@ -128,32 +127,14 @@ def recall_table(ranks: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_rows(ranks: DataFrame, id_col: str, resamples: int, draw: Callable[[Column, Column, int], Column],
-                   *groups: str, n_draws: int | None = None) -> DataFrame:
-    """(groups..., b, true_rank, n): histograms of explicit row draws with replacement.
-
-    `draw(b, i, n)` names the row (0..n-1, in id order) taken as i-th draw of resample b. Groups
-    such as the model share their draws. Only (b, true_rank) counts leave the join.
-    """
-    spark = ranks.sparkSession
-    index = with_row_index(ranks.select(id_col).distinct(), id_col)
-    n = index.count()
-    draws = n if n_draws is None else n_draws
-    number = F.col("id")
-    picks = spark.range(resamples * draws).select(
-        (F.floor(number / draws) + 1).cast("int").alias("b"), (number % draws).alias("__i")
-    )
-    picks = picks.select("b", draw(F.col("b").cast("bigint"), F.col("__i"), n).alias("row_idx"))
-    indexed = ranks.join(index, id_col).select(*groups, "row_idx", "true_rank")
-    return rank_histogram(picks.join(indexed, "row_idx"), *groups, "b")
-
-
 def bootstrap_histogram(histogram: DataFrame, resamples: int, *groups: str, n_draws: int | None = None,
-                        seed: int = 0) -> DataFrame:
-    """(groups..., b, true_rank, n): multinomial draws from the rank histogram.
+                        seed: int = 0, draw: Callable[[int, np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """(groups..., b, true_rank, n): draws with replacement from the rank histogram.
 
-    Drawing rows with replacement and counting their ranks is one multinomial draw, so the cost
-    is resamples x classes, independent of the number of scored rows. Resamples spread over tasks.
+    Drawing rows and counting their ranks is one multinomial draw, so the cost is resamples x classes,
+    independent of the number of scored rows. With `draw`, position draw(b, i, n) of the n rows in
+    order of true rank is the i-th one taken (for draws that other engines can repeat); that costs
+    resamples x draws. Resamples spread over tasks.
     """
     packed = histogram.groupBy(*groups).agg(
         F.array_sort(F.collect_list(F.struct("true_rank", "n"))).alias("__bars")  # one entry per class
@@ -169,9 +150,13 @@ def bootstrap_histogram(histogram: DataFrame, resamples: int, *groups: str, n_dr
         for numbers, counts in batches:
             drawn = []
             for b, n in zip(numbers, counts):
-                n = np.asarray(n, dtype="float64")
+                n = np.asarray(n, dtype="int64")
                 size = int(n.sum()) if n_draws is None else n_draws
-                drawn.append(np.random.default_rng((seed, int(b))).multinomial(size, n / n.sum()))
+                if draw is None:
+                    drawn.append(np.random.default_rng((seed, int(b))).multinomial(size, n / n.sum()))
+                else:
+                    rows = draw(int(b), np.arange(size), int(n.sum()))
+                    drawn.append(np.bincount(np.searchsorted(n.cumsum(), rows, side="right"), minlength=len(n)))
             yield pd.Series(drawn, index=numbers.index, dtype="object")
 
     drawn = trials.withColumn("__drawn", multinomial("b", "__ns"))

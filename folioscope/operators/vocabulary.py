@@ -76,7 +76,7 @@ def text_sequences(docs: DataFrame, vocabulary: DataFrame, num_words: int = MAX_
     document's own task, so the corpus is never shuffled; a larger one is joined.
     """
     known = vocabulary.filter(F.col("idx") < num_words).select("word", "idx")
-    if measured_bytes(known) > max_bytes:
+    if (measured_bytes(known) or 0) > max_bytes:
         return _joined_sequences(docs, known, id_col, text_col)
     table = known.toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(
@@ -132,7 +132,7 @@ def document_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col:
     An embedding table within `max_bytes` is applied inside each document's own task without a
     shuffle; a larger one is joined.
     """
-    if measured_bytes(embeddings) > max_bytes:
+    if (measured_bytes(embeddings) or 0) > max_bytes:
         return _joined_vectors(docs, embeddings, width, id_col, text_col)
     table = embeddings.select("word", "vector").toArrow()
     matrix = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)

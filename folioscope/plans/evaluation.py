@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import classifiers as clf
@@ -12,9 +12,9 @@ from folioscope.operators import vocabulary as voc
 from folioscope.plans import models, sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load
-from folioscope.runtime import stage
 
-RESAMPLES = 20
+# Fixed value: rows drawn for every resample.
+N_DRAWS = 1001
 # Areas are multiples of small decimal fractions; fewer digits would put exact ties on the rounding edge.
 DIGITS = 8
 
@@ -137,16 +137,12 @@ def k90(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- bootstrap ---------------------------------------------------------------------------------
 
-def arithmetic_draw(b: Column, i: Column, n: int) -> Column:
-    """Repeatable draws any engine can recompute."""
-    return (b * 7919 + i * 104729 + b * i * 31) % n
-
-
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, b, true_rank, n) of the test split; b = 0 holds the estimate itself."""
-    test = stage(_ranks(spark, sf_dir).filter(F.col("split") == "test"), "ranks")
-    resampled = ev.bootstrap_rows(test, "vec_id", RESAMPLES, arithmetic_draw, "model")
-    return ev.rank_histogram(test, "model").withColumn("b", F.lit(0)).unionByName(resampled)
+    test = ev.rank_histogram(_ranks(spark, sf_dir).filter(F.col("split") == "test"), "model")
+    draw = lambda b, i, n: (b * 7919 + i * 104729 + b * i * 31) % n  # noqa: E731  any engine can repeat this
+    resampled = ev.bootstrap_histogram(test, ev.RESAMPLES, "model", n_draws=N_DRAWS, draw=draw)
+    return test.withColumn("b", F.lit(0)).unionByName(resampled)
 
 
 def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +150,14 @@ def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.performance(_bootstrap(spark, sf_dir), n_classes, "model", "b", step=1, digits=DIGITS)
 
 
-_BOOT = f"""test AS (SELECT model, vec_id, true_rank, row_number() OVER (PARTITION BY model ORDER BY vec_id) - 1 AS idx
+_BOOT = f"""test AS (SELECT model, true_rank, row_number() OVER (PARTITION BY model ORDER BY true_rank, vec_id) - 1 AS idx
   FROM ranks WHERE split = 'test'),
 n AS (SELECT count(*) AS n FROM test WHERE model = 'baseline'),
 picks AS (SELECT b, (b * 7919 + i * 104729 + b * i * 31) % n AS idx FROM n CROSS JOIN
-  (SELECT CAST(unnest(range(1, {RESAMPLES + 1})) AS BIGINT) AS b) CROSS JOIN (SELECT unnest(range(0, (SELECT n FROM n))) AS i)),
-boot AS (SELECT model, CAST(b AS INTEGER) AS b, true_rank FROM picks JOIN test USING (idx)
-  UNION ALL SELECT model, 0, true_rank FROM test)"""
-_BOOT_SQL = sql.with_(sql.VECTOR_MODELS, _BOOT, sql.curve("model, b", "boot", 1),
+  (SELECT CAST(unnest(range(1, {ev.RESAMPLES + 1})) AS BIGINT) AS b) CROSS JOIN (SELECT unnest(range(0, {N_DRAWS})) AS i)),
+boot AS (SELECT model, CAST(b AS INTEGER) AS b, true_rank, count(*) AS n FROM picks JOIN test USING (idx) GROUP BY ALL
+  UNION ALL SELECT model, 0, true_rank, count(*) FROM test GROUP BY ALL)"""
+_BOOT_SQL = sql.with_(sql.VECTOR_MODELS, _BOOT, sql.counted_curve("model, b", "boot", 1),
                       sql.metrics("model, b", "boot", DIGITS),
                       """vals AS (SELECT model, b, 'accuracy' AS metric, accuracy AS value FROM perf
   UNION ALL SELECT model, b, 'auc', auc FROM perf UNION ALL SELECT model, b, 'k90', CAST(k90 AS DOUBLE) FROM perf),

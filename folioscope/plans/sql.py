@@ -91,11 +91,20 @@ def curve(groups: str, source: str, step: int, name: str = "curve") -> str:
   GROUP BY {groups}, k)"""
 
 
+def counted_curve(groups: str, source: str, step: int, name: str = "curve") -> str:
+    """`curve` over (groups..., true_rank, n) histograms."""
+    return f"""{name} AS (
+  SELECT {groups}, k, (k + 1) / CAST(any_value(nc) AS DOUBLE) AS coverage,
+         CAST(coalesce(sum(n) FILTER (true_rank <= k), 0) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+  FROM {source} CROSS JOIN (SELECT nc, CAST(unnest(range(0, nc, {step})) AS INTEGER) AS k FROM ncls) g
+  GROUP BY {groups}, k)"""
+
+
 def metrics(groups: str, source: str, digits: int, name: str = "perf", curve_name: str = "curve") -> str:
-    """CTE (groups..., accuracy, auc, k90), the first two rounded."""
+    """CTE (groups..., accuracy, auc, k90) of (groups..., true_rank, n) histograms, the first two rounded."""
     return f"""{name} AS (
   SELECT {groups}, accuracy, auc, k90 FROM
-    (SELECT {groups}, round(avg(CASE WHEN true_rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), {digits}) AS accuracy FROM {source} GROUP BY {groups}) a
+    (SELECT {groups}, round(CAST(coalesce(sum(n) FILTER (true_rank = 1), 0) AS DOUBLE) / CAST(sum(n) AS DOUBLE), {digits}) AS accuracy FROM {source} GROUP BY {groups}) a
     JOIN (SELECT {groups}, round(sum((coverage - x0) * (accuracy + y0) / 2), {digits}) AS auc,
                  min(CASE WHEN accuracy > 0.9 THEN k END) AS k90
           FROM (SELECT *, lag(coverage) OVER (PARTITION BY {groups} ORDER BY k) AS x0,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 _own_dirs: dict[str, str] = {}
+_own_paths: dict[str, list[str]] = {}
 
 
 def build_session(app: str, cores: str = "*", **conf: str) -> SparkSession:
@@ -43,12 +46,29 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, _own_dirs[context.applicationId], ignore_errors=True)
     return _own_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder nobody has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _own_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete everything this session has staged so far; returns the number of paths.
+
+    Results that still read staged tables are lost, so call it when they are written or collected.
+    Only paths that `new_path` made are touched. Scratch folders of local mode also go at exit.
+    """
+    paths = _own_paths.pop(spark.sparkContext.applicationId, [])
+    context = spark.sparkContext
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -62,29 +82,41 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _width(field: T.StructField):
-    col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
-        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
-        if isinstance(field.dataType.elementType, T.StringType):
-            return F.coalesce(F.octet_length(F.array_join(col, ",")), F.lit(0)) + 16 * F.greatest(F.size(col), F.lit(1))
-        return F.greatest(F.size(col), F.lit(1)) * 8 + 16
-    return F.lit(16)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """In-memory size estimate of all rows, computed on the executors."""
-    row = F.lit(16)
-    for field in df.schema.fields:
-        row = row + _width(field)
-    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
+def _bytes(col: Column, kind: T.DataType) -> Column | None:
+    """In-memory size of a value; None for types that cannot be measured (user-defined ones)."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, (T.AtomicType, T.ArrayType, T.MapType, T.StructType)):
+            return None
+        if isinstance(kind.elementType, T.AtomicType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return F.greatest(F.size(col), F.lit(1)).cast("bigint") * 8 + 16
+        if _bytes(col, kind.elementType) is None:
+            return None
+        return F.coalesce(F.aggregate(
+            col, F.lit(16).cast("bigint"), lambda total, x: total + _bytes(x, kind.elementType)), F.lit(16))
+    if isinstance(kind, T.MapType):
+        parts = [_bytes(F.map_keys(col), T.ArrayType(kind.keyType)), _bytes(F.map_values(col), T.ArrayType(kind.valueType))]
+        return None if any(p is None for p in parts) else parts[0] + parts[1]
+    if isinstance(kind, T.StructType):
+        parts = [_bytes(col[f.name], f.dataType) for f in kind.fields]
+        return None if any(p is None for p in parts) else sum(parts, F.lit(16).cast("bigint"))
+    return F.lit(16).cast("bigint") if isinstance(kind, T.AtomicType) else None
+
+
+def measured_bytes(df: DataFrame) -> int | None:
+    """In-memory size of all rows, computed on the executors; None where a column cannot be measured."""
+    parts = [_bytes(F.col(f"`{field.name}`"), field.dataType) for field in df.schema.fields]
+    if any(p is None for p in parts):
+        return None
+    return df.agg(F.coalesce(F.sum(sum(parts, F.lit(16).cast("bigint"))), F.lit(0))).first()[0]
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after measuring `df`; larger sides stay ordinary shuffle joins,
-    where adaptive execution splits hot keys."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    """Hint a broadcast only after measuring `df`; larger and unmeasurable sides stay ordinary shuffle
+    joins, where adaptive execution splits hot keys. `df` runs for the measurement, so give a staged one."""
+    size = measured_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -61,7 +61,9 @@ def test_recommendations(scored):
 def test_row_bootstrap(scored, n_draws):
     data, df = scored
     ranks = ranks_by_hand(data)
-    drawn = ev.bootstrap_rows(ev.true_ranks(df, "id"), "id", 4, lambda b, i, n: (b * 13 + i * 7) % n, n_draws=n_draws)
+    hist = ev.rank_histogram(ev.true_ranks(df, "id"))
+    drawn = ev.bootstrap_histogram(hist, 4, n_draws=n_draws, draw=lambda b, i, n: (b * 13 + i * 7) % n)
+    ranks = sorted(ranks.values())
     got = {(r.b, r.true_rank): r.n for r in drawn.collect()}
     want = {}
     for b in range(1, 5):

@@ -79,6 +79,12 @@ def test_semi_join_on_derived_keys(spark):
 
 # -- topics --------------------------------------------------------------------
 
+def test_a_topic_outside_the_list_is_an_error(spark):
+    hits = spark.createDataFrame([("a", 1), ("z", 2)], "topic STRING, doc_id INT")
+    with pytest.raises(PySparkException):
+        ops.exclusive_topics(hits, ["a"]).collect()
+
+
 def test_exclusive_topics_are_disjoint(spark):
     hits = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("b", 2), ("c", 3)], "topic STRING, doc_id INT")
     assert rows(ops.exclusive_topics(hits, ["a", "b", "c"])) == [("b", 2), ("c", 3)]
@@ -112,6 +118,19 @@ def test_quantiles_interpolate_linearly(spark):
     assert (round(row.q_low, 6), round(row.q_high, 6)) == (1.45, 9.55)
 
 
+def test_quantiles_of_small_and_empty_groups(spark):
+    rng = random.Random(2)
+    data = [("a", rng.choice([None, rng.random()])) for _ in range(501)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 5.0), (None, 6.0)]
+    df = spark.createDataFrame(data, "g STRING, x DOUBLE")
+    got = {r.g: (r.q_low, r.q_high) for r in ops.quantile_bounds(df, "x", "g").collect()}
+    assert set(got) == {"a", "one", "two", "none", None} and got["none"] == (None, None)
+    for g in ("a", "one", "two", None):
+        own = [x for k, x in data if k == g and x is not None]
+        assert np.allclose(got[g], np.quantile(own, [0.05, 0.95]))
+    assert "percentile" not in plan_of(ops.quantile_bounds(df, "x", "g"))
+    assert ops.quantile_bounds(df.limit(0), "x", "g").collect() == []
+
+
 # -- row numbers and splits ------------------------------------------------------
 
 def test_row_index_with_a_hot_key(spark):
@@ -352,6 +371,34 @@ def test_broadcast_only_after_measuring(spark):
     assert "broadcast" in broadcast_if_small(big, 1 << 20)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_nested_columns_are_measured_and_unknown_ones_not_broadcast(spark):
+    from pyspark.ml.linalg import Vectors
+
+    text = "x" * 10_000
+    df = spark.createDataFrame([(i, {"k": text}, [(text, [1.0] * 100)], text.encode()) for i in range(10)],
+                               "i INT, m MAP<STRING, STRING>, a ARRAY<STRUCT<s: STRING, v: ARRAY<DOUBLE>>>, b BINARY")
+    for col, least in (("m", 100_000), ("a", 108_000), ("b", 100_000)):
+        assert least <= measured_bytes(df.select("i", col)) < least + 5_000
+        assert "isBroadcast" not in broadcast_if_small(df.select("i", col), 50_000)._jdf.queryExecution().logical().toString()
+    assert measured_bytes(df.select(F.lit(None).cast("map<string,string>").alias("m"))) is not None
+    vectors = spark.createDataFrame([(Vectors.dense([1.0] * 5),)], ["v"])
+    assert measured_bytes(vectors) is None and broadcast_if_small(vectors) is vectors
+
+
+def test_released_tables_are_gone(spark, tmp_path):
+    import os
+
+    from folioscope import runtime
+
+    kept = runtime._own_paths.pop(spark.sparkContext.applicationId, [])
+    try:
+        path = new_path(spark, "gone")
+        spark.range(5).write.parquet(path)
+        assert os.path.isdir(path) and runtime.release_staged(spark) == 1 and not os.path.exists(path)
+    finally:
+        runtime._own_paths[spark.sparkContext.applicationId] = kept
+
+
 def test_spread_leaves_wide_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 64)
     assert spread(wide, "id") is wide
