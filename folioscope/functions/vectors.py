@@ -10,10 +10,6 @@ def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
-def dot(left: Column, right: Column) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-
 def l2_normalise(vector: Column) -> Column:
     """Unit-length vector; a zero vector stays zero instead of turning into NaN."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))

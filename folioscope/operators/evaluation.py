@@ -180,7 +180,7 @@ def sorted_differences(values: DataFrame, *groups: str) -> DataFrame:
     estimate = values.filter(F.col("b") == 0).select(*groups, F.col("value").alias("__estimate"))
     return (
         values.filter(F.col("b") > 0)
-        .join(broadcast_if_small(estimate), list(groups))
+        .join(broadcast_if_small(stage(estimate, "estimates")), list(groups))
         .select(*groups, "b", (F.col("value") - F.col("__estimate")).alias("difference"))
         .orderBy(*groups, "difference", "b")
     )

@@ -216,6 +216,33 @@ def search_terms(documents: DataFrame, terms: list[tuple[str, list[str], list[st
     )
 
 
+def parse_term(term: str) -> tuple[list[str], list[str]]:
+    """(required, excluded) words of a search term: words before NOT are all required, those after it excluded."""
+    required, _, excluded = term.partition(" NOT ")
+    return required.lower().split(), excluded.lower().split()
+
+
+def search_term_strings(documents: DataFrame, topics: dict[str, list[str]], phrases: bool = False,
+                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(topic, term_no, id) for terms written as 'word word NOT word'; term_no counts over all topics.
+
+    With `phrases` the required words must follow each other.
+    """
+    terms = [(topic, *parse_term(term)) for topic, listed in topics.items() for term in listed]
+    if not phrases:
+        return search_terms(documents, terms, id_col, text_col)
+    words = documents.select(id_col, tokens(F.col(text_col)).alias("__words")).select(
+        id_col, "__words", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")).alias("__text"))
+    hits = [
+        F.when(
+            F.contains(F.col("__text"), F.lit(f" {' '.join(required)} ")) & contains_word(F.col("__words"), [], excluded),
+            F.struct(F.lit(topic).alias("topic"), F.lit(number).alias("term_no")))
+        for number, (topic, required, excluded) in enumerate(terms)
+    ]
+    return words.select(id_col, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(
+        "hit.topic", "hit.term_no", id_col)
+
+
 def without_reviews(hits: DataFrame, reviews: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Search hits that are not review articles."""
     return hits.join(reviews.select(id_col), id_col, "left_anti")

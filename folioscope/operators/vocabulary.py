@@ -117,7 +117,7 @@ def embedding_table(vocabulary: DataFrame, vectors: DataFrame, width: int, num_w
     The bounded vocabulary, not the big vector table, is the side that moves.
     """
     top = vocabulary.filter(F.col("idx") <= num_words).select("word", "idx")
-    hits = vectors.join(broadcast_if_small(top), "word").select(
+    hits = vectors.join(broadcast_if_small(stage(top, "top-words")), "word").select(
         "word", l2_normalise(as_double(F.col("vector"))).alias("vector")
     )
     return top.join(hits, "word", "left").select(

@@ -13,7 +13,7 @@ from folioscope.operators.vocabulary import distinct_raw_tokens, encode_labels,
 from folioscope.plans import sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import TERMS, TOPICS, article_fields, articles, impact_list, journals, load, masters, texts
-from folioscope.runtime import broadcast_if_small
+from folioscope.runtime import broadcast_if_small, stage
 from folioscope.sources.journal_list import with_any_issn
 
 LANGUAGES = {"en": "English", "fr": "French", "de": "German"}
@@ -156,6 +156,34 @@ def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
+# Search terms as a user writes them, several per topic.
+TERM_STRINGS = {"alpha": ["the NOT whou of", "whou"], "beta": ["de la", "der und NOT die das"], "delta": ["with the NOT that"]}
+
+
+def _term_string_sql(phrases: bool) -> str:
+    parts, number = [], 0
+    for topic, listed in TERM_STRINGS.items():
+        for term in listed:
+            required, excluded = ops.parse_term(term)
+            tests = [f"contains(t, ' {' '.join(required)} ')"] if phrases else [f"list_contains(ws, '{w}')" for w in required]
+            tests += [f"NOT list_contains(ws, '{w}')" for w in excluded]
+            parts.append(f"SELECT '{topic}' AS topic, {number} AS term_no, doc_id FROM words WHERE {' AND '.join(tests)}")
+            number += 1
+    words = "words AS (SELECT doc_id, list(word) AS ws, ' ' || string_agg(word, ' ' ORDER BY pos) || ' ' AS t FROM tok GROUP BY doc_id)"
+    return sql.with_(sql.TOKENS, words, body="\nUNION ALL ".join(parts))
+
+
+@query("f11_term_strings", _term_string_sql(False))
+def term_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.search_term_strings(texts(spark, sf_dir), TERM_STRINGS)
+
+
+@query("f11_term_phrases", _term_string_sql(True))
+def term_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required words of a term as a phrase."""
+    return ops.search_term_strings(texts(spark, sf_dir), TERM_STRINGS, phrases=True)
+
+
 @query("j4_anti_join", sql.with_(_term_sql(), body="""
 SELECT topic, term_no, doc_id FROM hits ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 0) r USING (doc_id)"""))
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +199,11 @@ def topic_exclusivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d2_total_over_topics", sql.with_(
     _term_sql(),
-    "x AS (SELECT min(topic) AS topic, doc_id FROM hits GROUP BY doc_id HAVING count(DISTINCT topic) = 1)",
+    """x AS (SELECT min(topic) AS topic, doc_id FROM hits ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 0) r USING (doc_id)
+  GROUP BY doc_id HAVING count(DISTINCT topic) = 1)""",
     body="SELECT coalesce(topic, 'all topics') AS topic, count(*) AS n FROM x GROUP BY ROLLUP (topic)"))
 def total_over_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exclusive = ops.exclusive_topics(_hits(spark, sf_dir), TOPICS)
+    exclusive = ops.exclusive_topics(ops.without_reviews(_hits(spark, sf_dir), _reviews(spark, sf_dir)), TOPICS)
     return exclusive.rollup("topic").agg(F.count(F.lit(1)).alias("n")).select(
         F.coalesce("topic", F.lit("all topics")).alias("topic"), "n"
     )
@@ -183,7 +212,7 @@ def total_over_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u1_union_distinct", sql.with_(_term_sql(), body="""
 SELECT topic, doc_id FROM hits WHERE term_no = 0 UNION SELECT topic, doc_id FROM hits WHERE term_no > 0"""))
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir)
+    hits = stage(_hits(spark, sf_dir), "hits")
     first = hits.filter(F.col("term_no") == 0).select("topic", "doc_id")
     others = hits.filter(F.col("term_no") > 0).select("topic", "doc_id")
     return first.union(others).distinct()
@@ -198,7 +227,7 @@ def except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u4_intersect", sql.with_(_term_sql(), body="""
 SELECT doc_id FROM hits WHERE topic = 'gamma' INTERSECT SELECT doc_id FROM hits WHERE topic <> 'gamma'"""))
 def intersect_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir)
+    hits = stage(_hits(spark, sf_dir), "hits")
     return hits.filter(F.col("topic") == "gamma").select("doc_id").intersect(
         hits.filter(F.col("topic") != "gamma").select("doc_id")
     )
@@ -326,7 +355,7 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = journals(spark, sf_dir).filter(~F.contains(F.lower("full_name"), F.lit("review"))).select(
         F.lower("abbreviation").alias("journal"), F.lit(True).alias("known")
     ).distinct()
-    marked = cols.join(broadcast_if_small(known), "journal", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    marked = cols.join(broadcast_if_small(stage(known, "known-journals")), "journal", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     return marked.agg(
         F.count_if(F.col("complete") & F.col("known") & ops.recent(F.col("year")) & (F.col("chars") > 0)).alias("accepted"),
         F.count_if(~F.col("complete")).alias("missing_fields"),

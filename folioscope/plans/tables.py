@@ -31,7 +31,7 @@ def _source_number() -> Column:
     return F.substring("source", 4, 10).cast("int")
 
 
-def _numbered_factor(n: Column) -> Column:
+def numbered_factor(n: Column) -> Column:
     return F.when(n % 5 != 0, F.round(n.cast("double") * F.lit(0.9) + F.lit(0.5), 3))
 
 
@@ -55,27 +55,35 @@ def impact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     first = base.select(
         F.when(n % 2 == 0, F.col("issn_print")).otherwise(F.col("issn_online")).alias("issn"),
-        _numbered_factor(n).alias("impact_factor"),
+        numbered_factor(n).alias("impact_factor"),
     )
     second = base.filter(n % 3 == 0).select(F.col("issn_online").alias("issn"), F.lit(1.0).alias("impact_factor"))
     return first.unionByName(second)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: language is the topic, source the journal."""
-    return load(spark, sf_dir, "documents").select(
+    return articles_of(load(spark, sf_dir, "documents"))
+
+
+def articles_of(documents: DataFrame) -> DataFrame:
+    """Documents as articles: language is the topic, source the journal. Works on a stream as well."""
+    return documents.select(
         F.col("doc_id").alias("pmid"),
         F.col("text").alias("abstract"),
         F.col("lang").alias("category"),
         F.col("source").alias("journal_abbrev"),
-        _numbered_factor(_source_number()).alias("impact_factor"),
+        numbered_factor(_source_number()).alias("impact_factor"),
         (F.lit(2004) + F.col("doc_id") % 15).cast("int").alias("year"),
     )
 
 
 def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as field maps; some lack an abstract, history dates are repeated."""
-    a = articles(spark, sf_dir)
+    return article_fields_of(load(spark, sf_dir, "documents"))
+
+
+def article_fields_of(documents: DataFrame) -> DataFrame:
+    """Documents as field maps; some lack an abstract, history dates are repeated. Works on a stream as well."""
+    a = articles_of(documents)
     date = F.concat(F.col("year").cast("string"), F.lit("/01/01"))
     later = F.concat((F.col("year") + 1).cast("string"), F.lit("/06/30"))
     entries = F.array(

@@ -9,9 +9,6 @@ from folioscope.runtime import new_path
 ARTICLE_SCHEMA = (
     "abstract STRING, pmid BIGINT, category STRING, journal_abbrev STRING, impact_factor DOUBLE"
 )
-JOURNAL_SCHEMA = (
-    "full_name STRING, abbreviation STRING, issn_print STRING, issn_online STRING, impact_factor DOUBLE"
-)
 IMPACT_SCHEMA = "full_name STRING, issn STRING, impact_factor DOUBLE"
 
 # Quotes, tabs and line breaks inside a value survive a round trip; blanks at its ends too.
