@@ -39,8 +39,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.drops_space = drops_space
-        self.letters = {chr(b): letter for b, letter in byte_letters().items()}
+        self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
@@ -74,8 +75,8 @@ class Encoder:
     def piece(self, text: str) -> list[int]:
         ids = self.pieces.get(text)
         if ids is None:
-            mapped = "".join(map(self.letters.__getitem__, text.encode("utf-8").decode("latin-1")))
-            ids = self.pieces[text] = [token.id for token in self.tokenizer.model.tokenize(mapped)]
+            mapped = text.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = self.pieces[text] = [token.id for token in self.model.tokenize(mapped)]
         return ids
 
     def ids_of(self, text: str) -> list[int]:

@@ -24,9 +24,10 @@ from folioscope.runtime import stage
 
 CAPACITY = 4096
 END_ID = 1
-# Rounds of the multiplicative weights method and the weight decay over one full coverage.
-ROUNDS = 400
-DECAY = 6.0
+# Length classes of the linear program, steps of the multiplicative weights and their decay.
+CLASSES = 64
+ROUNDS = 600
+DECAY = 20.0
 # Parts that pieces of one length are ranked in, so that a common length is not one task's work.
 PARTS = 64
 
@@ -83,93 +84,102 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 # -- the plan, on the histogram alone ------------------------------------------------------------
 
 
-def knapsack(values: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of a most valuable multiset of total length at most `capacity`.
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size goes into a most valuable multiset of total size at most `capacity`.
 
-    `values[l]` is the value of one piece of length l (values[0] is unused). One vector step per
-    capacity: best[c] = max over l of values[l] + best[c - l].
+    Dynamic program over the room used, one size after the other; a stretch of `size` rooms at a time,
+    since a room only depends on the one a size before it.
     """
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        totals = values[1:c + 1] + best[c - 1::-1] if c < len(best) else values[1:] + best[::-1]
-        pick = int(totals.argmax()) + 1
-        if totals[pick - 1] > best[c - 1]:
-            best[c], choice[c] = totals[pick - 1], pick
-        else:
-            best[c], choice[c] = best[c - 1], 0
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            counts[choice[c]] += 1
-            c -= choice[c]
-        else:
-            c -= 1
+    choice = np.full(capacity + 1, -1)
+    for k, (size, value) in enumerate(zip(sizes.tolist(), values.tolist())):
+        for begin in range(size, capacity + 1, size):
+            end = min(begin + size, capacity + 1)
+            added = best[begin - size:end - size] + value
+            better = added > best[begin:end]
+            best[begin:end][better] = added[better]
+            choice[begin:end][better] = k
+    counts = np.zeros(len(sizes), dtype=np.int64)
+    room = int(best.argmax())
+    while choice[room] >= 0:
+        counts[choice[room]] += 1
+        room -= int(sizes[choice[room]])
     return counts
 
 
-def linear_program(histogram: np.ndarray, rounds: int = ROUNDS, decay: float = DECAY) -> list[tuple[np.ndarray, float]]:
-    """(configuration, amount): a fractional cover of the histogram by full configurations.
+def length_classes(histogram: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class number of every length (-1 where there is no piece): consecutive lengths of about equal total
+    size share a class."""
+    size = np.arange(len(histogram)) * histogram
+    total = size.sum()
+    number = np.full(len(histogram), -1)
+    used = np.flatnonzero(histogram)
+    middle = size.cumsum()[used] - size[used] / 2
+    _, number[used] = np.unique((middle * classes / max(total, 1)).astype(np.int64), return_inverse=True)
+    return number
 
-    Multiplicative weights on the lengths: a length is worth its size times exp(-decay * share
-    covered so far); each round buys the most valuable configuration until its scarcest length
-    is covered.
+
+def linear_program(histogram: np.ndarray, number: np.ndarray, rounds: int = ROUNDS, decay: float = DECAY) -> list[tuple[np.ndarray, float]]:
+    """(configuration by class, amount): fractional packing of the classes, each as long as its longest piece.
+
+    Multiplicative weights: as many sequences as the pieces fill are bought in equal steps. A class is
+    worth exp(-decay * (share covered - share of steps done)) per piece wanted, so classes that
+    fall behind gain; each step buys the configuration of most value.
     """
     capacity = len(histogram) - 1
-    wanted = histogram.astype(float)
-    covered = np.zeros(capacity + 1)
-    size = np.arange(capacity + 1, dtype=float)
-    found = []
-    for _ in range(rounds):
-        open_ = (wanted - covered) >= 1
-        if not open_.any():
+    n = number.max() + 1
+    if not n:
+        return []
+    sizes = np.array([np.flatnonzero(number == k)[-1] for k in range(n)])
+    wanted = np.array([histogram[number == k].sum() for k in range(n)], dtype=float)
+    bought = (np.arange(capacity + 1) * histogram).sum() / capacity / rounds
+    covered = np.zeros(n)
+    amounts: dict[tuple, float] = {}
+    for step in range(rounds):
+        share = covered / wanted
+        # Behind the steps done a class counts fully by its size, ahead of them less and less.
+        values = sizes * np.exp(-decay * (share - step / rounds))
+        values[share >= 1] = 0.0
+        config = knapsack(sizes, values, capacity)
+        if not config.any():
             break
-        share = np.divide(covered, wanted, out=np.ones_like(wanted), where=wanted > 0)
-        values = np.where(open_, size * (1 + np.exp(-decay * share) / capacity), 0.0)
-        config = knapsack(values, capacity)
         used = config > 0
-        if not used.any():
+        times = min(bought, float((np.maximum(wanted - covered, 0)[used] / config[used]).max()))
+        covered += config * times
+        key = tuple(config.tolist())
+        amounts[key] = amounts.get(key, 0.0) + times
+    return [(np.array(key), amount) for key, amount in amounts.items()]
+
+
+def _filled(left: np.ndarray, config: np.ndarray) -> np.ndarray:
+    """`config` (pieces per length) with the longest pieces left that fit, one after the other."""
+    space = len(left) - 1 - int((config * np.arange(len(left))).sum())
+    while space:
+        fits = np.flatnonzero((left - config)[:space + 1] > 0)
+        if not len(fits):
             break
-        amount = float(((wanted - covered)[used] / config[used]).min())
-        if amount < 1:
-            # Wants a length more often than it is left: priced down as covered, kept for the rounding.
-            covered[used] = np.maximum(covered[used], wanted[used] - config[used] + 1e-9)
-            tight = used & ((wanted - covered) < config)
-            covered[tight] = wanted[tight]
-            continue
-        covered += config * amount
-        found.append((config, amount))
-    return found
-
-
-def best_fit(histogram: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(configuration, times): the longest piece left, then ever the longest that still fits."""
-    left, capacity = histogram.copy(), len(histogram) - 1
-    plan = []
-    while left.any():
-        config = np.zeros_like(left)
-        space = capacity
-        while space:
-            fits = np.flatnonzero((left - config)[:space + 1] > 0)
-            if not len(fits):
-                break
-            length = int(fits[-1])
-            times = min(space // length, int(left[length] - config[length]))
-            config[length] += times
-            space -= length * times
-        used = config > 0
-        times = int((left[used] // config[used]).min())
-        left -= config * times
-        plan.append((config, times))
-    return plan
+        length = int(fits[-1])
+        times = min(space // length, int(left[length] - config[length]))
+        config[length] += times
+        space -= length * times
+    return config
+
+
+def _used_up(left: np.ndarray, config: np.ndarray, most: int | None = None) -> int:
+    """How often a configuration can be taken from the pieces left; takes them."""
+    used = config > 0
+    times = int((left[used] // config[used]).min())
+    times = times if most is None else min(times, most)
+    left -= config * times
+    return times
 
 
 def packing_plan(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often each is used; together they hold the histogram exactly.
+    """Configurations (pieces per length) and how often each is used; together they hold the histogram exactly.
 
-    `histogram[l]` pieces have length l, for l up to the capacity. Amounts are rounded down; the
-    rest is packed best fit.
+    Amounts of the linear program are rounded down and filled with real pieces, the longest of each
+    class first, and the room that leaves with the best fitting other pieces; the rest is packed best
+    fit, longest first. The number of configurations depends on the capacity, not on the number of pieces.
     """
     left = histogram.astype(np.int64).copy()
     plan = []
@@ -179,13 +189,34 @@ def packing_plan(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.n
         full[capacity] = 1
         plan.append((full, int(left[capacity])))
         left[capacity] = 0
-    for config, amount in linear_program(left, rounds):
-        used = config > 0
-        times = min(int(amount), int((left[used] // config[used]).min()))
-        if times:
-            left -= config * times
+    number = length_classes(left)
+    found = linear_program(left, number, rounds)
+    # Configurations with the longest pieces first, while there are short ones to fill them.
+    for by_class, amount in sorted(found, key=lambda f: tuple(f[0][::-1].tolist()), reverse=True):
+        open_ = int(amount)
+        while open_:
+            # All pieces but the shortest by class; its place goes to whatever fits the room best.
+            config = np.zeros_like(left)
+            wanted = by_class.copy()
+            wanted[np.flatnonzero(wanted)[0]] -= 1
+            for k in np.flatnonzero(wanted)[::-1]:
+                missing = int(wanted[k])
+                for length in np.flatnonzero((number == k) & (left > 0))[::-1].tolist():
+                    times = min(missing, int(left[length]))
+                    config[length] += times
+                    missing -= times
+                    if not missing:
+                        break
+            config = _filled(left, config)
+            if not config.any():
+                break
+            times = _used_up(left, config, open_)
             plan.append((config, times))
-    return plan + best_fit(left)
+            open_ -= times
+    while left.any():
+        config = _filled(left, np.zeros_like(left))
+        plan.append((config, _used_up(left, config)))
+    return plan
 
 
 @dataclass(frozen=True)

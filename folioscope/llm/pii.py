@@ -55,7 +55,7 @@ def _luhn(text: Column) -> Column:
     d = _digits(text)
 
     def add(total: Column, i: Column) -> Column:
-        x = F.substring(d, F.length(d) - i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+        x = F.substring(d, F.length(d) - i + 1, F.lit(1)).try_cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
         return total + F.when(x > 9, x - 9).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), F.lit(0), add) % 10 == 0

@@ -23,6 +23,8 @@ from folioscope.runtime import new_path
 END_ID = 0
 # Tokens after which a block is closed.
 BLOCK_TOKENS = 1 << 21
+# Ids below this are counted in a table; sparse larger ones are sorted.
+COUNTED_IDS = 1 << 22
 
 
 def default_tokenizer() -> str:
@@ -33,11 +35,16 @@ def default_tokenizer() -> str:
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(vocabulary, control, data): ids ranked by falling frequency, ties by id."""
-    used, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < COUNTED_IDS:
+        counts = np.bincount(ids)
+        used, known = np.flatnonzero(counts), ids
+        counts = counts[used]
+    else:
+        used, known, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((used, -counts))
-    rank_of = np.empty(len(used), dtype=np.int64)
-    rank_of[order] = np.arange(len(used))
-    ranks = rank_of[inverse].astype("<u4")
+    rank_of = np.empty(int(known.max()) + 1 if len(ids) else 0, dtype="<u4")
+    rank_of[used[order] if known is ids else order] = np.arange(len(used))
+    ranks = rank_of[known]
     size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     codes[:len(ranks)] = size - 1
