@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once per task.
+"""Token ids of whole texts by the tokenizers library, each distinct word encoded once.
 
 Both vocabularies cut a text into pieces before merging, and no piece reaches across white space:
 one drops white space, the other hangs a space on the following word. So a text is the sequence of
@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-# Words remembered before the memory is emptied.
-MAX_REMEMBERED = 400_000
+# Words remembered before the memory is emptied: about 250 MB.
+MAX_REMEMBERED = 700_000
 # Letters that NFC leaves alone, and marks that both vocabularies cut off as one piece.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r".,;:!?&$#%*()\"+=/\-"
@@ -52,19 +52,21 @@ class Encoder:
                 return owner.learn(word)
 
         self.index = Remembered()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.flat = array("I")
         self.starts = array("q")
         self.lengths = array("q")
 
     def learn(self, word) -> int:
         text = word.decode("utf-8", "surrogatepass") if self.drops_space else self.chunk(word)
-        ids = self.ids_of(text)
+        number = self.index[word] = self.keep(self.ids_of(text))
+        return number
+
+    def keep(self, ids: bytes) -> int:
         number = len(self.starts)
         self.starts.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
-        self.index[word] = number
+        self.lengths.append(len(ids) // 4)
+        self.flat.frombytes(ids)
         return number
 
     @staticmethod
@@ -72,25 +74,29 @@ class Encoder:
         """A key stands for itself after a space; a leading line break or NUL says otherwise."""
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
-    def piece(self, text: str) -> list[int]:
+    def whole(self, text: str) -> bytes:
+        """Ids (32 bits each) by the full tokenizer."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
         ids = self.pieces.get(text)
         if ids is None:
             mapped = text.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = self.pieces[text] = [token.id for token in self.model.tokenize(mapped)]
+            ids = self.pieces[text] = array("I", [token.id for token in self.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def ids_of(self, text: str) -> list[int]:
+    def ids_of(self, text: str) -> bytes:
         plain = _PLAIN.fullmatch(text)
         if not plain:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self.whole(text)
         space, letters, marks = plain.groups()
         if self.drops_space:
-            letters = letters.lower()
+            head = self.piece(letters.lower())
         elif space == "\n":
-            return self.piece("\n") + self.piece(letters) + (self.piece(marks) if marks else [])
+            head = self.piece("\n") + self.piece(letters)
         else:
-            letters = space + letters
-        return self.piece(letters) + (self.piece(marks) if marks else [])
+            head = self.piece(space + letters)
+        return head + self.piece(marks) if marks else head
 
     def words(self, text: str) -> list | None:
         """Keys of the words of a text; None where only the full tokenizer will do."""
@@ -115,11 +121,7 @@ class Encoder:
             keys = self.words(text)
             if keys is None:
                 # The whole text counts as one word that is not kept in the index.
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                picked.append(len(self.starts))
-                self.starts.append(len(self.flat))
-                self.lengths.append(len(ids))
-                self.flat.extend(ids)
+                picked.append(self.keep(self.whole(text)))
                 words.append(1)
             else:
                 picked.extend(map(self.index.__getitem__, keys))
@@ -134,6 +136,17 @@ class Encoder:
         return flat[source], np.diff(before[bounds])
 
 
+def shared_encoder(path: str, drops_space: bool) -> Encoder:
+    """The encoder of this worker process, made on first use: what it remembers outlives the task."""
+    import sys
+    import types
+
+    held = vars(sys.modules.setdefault("folioscope_encoders", types.ModuleType("folioscope_encoders")))
+    if (path, drops_space) not in held:
+        held[path, drops_space] = Encoder(path, drops_space)
+    return held[path, drops_space]
+
+
 def text_groups(texts: list, size: int = 1 << 20):
     """Slices of the list with about `size` characters each; a longer text is alone."""
     begin, total = 0, 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import keyed_texts
-from folioscope.llm.encoding import Encoder, text_groups
+from folioscope.llm.encoding import shared_encoder, text_groups
 from folioscope.runtime import stage
 
 CAPACITY = 4096
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, drops_space=True)
+        encoder = shared_encoder(path, drops_space=True)
         for batch in batches:
             values = batch.column(2).to_pylist()
             for part in text_groups(values):

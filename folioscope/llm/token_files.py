@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import keyed_texts
-from folioscope.llm.encoding import Encoder, text_groups
+from folioscope.llm.encoding import shared_encoder, text_groups
 from folioscope.runtime import new_path
 
 END_ID = 0
@@ -89,7 +89,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
-        encoder = Encoder(vocabulary, drops_space=False)
+        encoder = shared_encoder(vocabulary, drops_space=False)
         doc_ids, counts, ids, total = [], [], [], 0
         names = [f.split(" ")[0] for f in schema.split(", ")]
 
