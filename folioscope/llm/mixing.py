@@ -63,12 +63,12 @@ def _share_out(nodes: DataFrame, level: int, weights: dict[tuple, int]) -> DataF
 def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[tuple, int]) -> DataFrame:
     """(levels..., tokens, budget) of leaves (levels..., tokens): one row per leaf, whatever the corpus."""
     nodes = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).cast("bigint").alias("above"))
+    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).cast("bigint")).first()[0] or 0
     budgets = None
     for level in range(len(LEVELS)):
         grouped = nodes.groupBy(*LEVELS[:level + 1]).agg(F.sum("cap").alias("cap"))
         if budgets is None:
-            grouped = grouped.join(F.broadcast(total))  # one row
+            grouped = grouped.withColumn("above", F.lit(total).cast("bigint"))
         else:
             grouped = grouped.join(budgets, LEVELS[:level])
         budgets = _share_out(grouped, level, weights).select(*LEVELS[:level + 1], F.col("budget").alias("above"))
