@@ -188,9 +188,8 @@ class Model:
     def selects(self, candidate: Column) -> Column:
         if not self.thresholds:
             return F.lit(False)
-        score = self.score(candidate["f"])
-        return reduce(lambda a, b: a | b, [
-            (candidate["kind"] == kind) & (score >= F.lit(t)) for kind, t in self.thresholds.items()])
+        least = F.coalesce(*[F.when(candidate["kind"] == kind, F.lit(t)) for kind, t in self.thresholds.items()])
+        return F.coalesce(self.score(candidate["f"]) >= least, F.lit(False))
 
 
 def fit(docs: DataFrame, examples: int = EXAMPLES, seed: int = 1) -> Model:
@@ -199,10 +198,12 @@ def fit(docs: DataFrame, examples: int = EXAMPLES, seed: int = 1) -> Model:
     With candidates of one sort only there is nothing to learn: the model selects nothing.
     """
     share = 1 << 20
-    rows = stage(proposed(docs).select("doc_id", F.explode("candidates").alias("c")).select(
-        "doc_id", "c.kind", "c.s", F.when(F.col("c.clear"), 0.0).otherwise(1.0).alias("label"), "c.f.*"), "candidates")
+    # Kept for the plan: a column used once would be worked out anew inside the loop over candidates.
+    n_base = F.size("base").alias("n_base")
+    rows = stage(proposed(docs).select("doc_id", n_base, F.explode("candidates").alias("c")).select(
+        "doc_id", "n_base", "c.kind", "c.s", F.when(F.col("c.clear"), 0.0).otherwise(1.0).alias("label"), "c.f.*"), "candidates")
     n = rows.count()
-    names = rows.columns[4:]
+    names = rows.columns[5:]
     draw = F.pmod(F.xxhash64("doc_id", "s", F.lit(seed)), F.lit(share))
     kept = rows.withColumn("draw", draw).filter(F.col("draw") < min(share, examples * share // max(n, 1) + 1))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(kept)
