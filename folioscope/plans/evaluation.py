@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import classifiers as clf
 from folioscope.operators import evaluation as ev
 from folioscope.operators import relational as ops
 from folioscope.operators import vocabulary as voc
 from folioscope.plans import models, sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load
+from folioscope.runtime import stage
 
 # Fixed value: rows drawn for every resample.
 N_DRAWS = 1001
@@ -37,10 +37,10 @@ def true_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j8_prediction_truth", sql.with_(sql.VECTOR_MODELS, body="""
 SELECT vec_id, label_idx, CAST(predicted AS INTEGER) AS predicted, CAST(true_rank AS INTEGER) AS true_rank FROM ranks WHERE model = 'baseline'"""))
 def prediction_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions stored one row per class, joined to the labels by id."""
-    predictions = clf.class_rows(models.vector_scores(spark, sf_dir), "vec_id")
+    """Stored predictions, one packed row of scores per item, joined to the labels by id."""
+    predictions = stage(models.vector_scores(spark, sf_dir).select("vec_id", "scores"), "predictions")
     truth = load(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("label_idx"))
-    return ev.true_ranks(ev.join_predictions(predictions, truth, "vec_id"), "vec_id")
+    return ev.true_ranks(predictions.join(truth, "vec_id"), "vec_id")
 
 
 @query("d5_accuracy", sql.with_(sql.VECTOR_MODELS, body="""
@@ -137,9 +137,9 @@ def k90(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- bootstrap ---------------------------------------------------------------------------------
 
-def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_resamples(ranks: DataFrame) -> DataFrame:
     """(model, b, true_rank, n) of the test split; b = 0 holds the estimate itself."""
-    test = ev.rank_histogram(_ranks(spark, sf_dir).filter(F.col("split") == "test"), "model")
+    test = ev.rank_histogram(ranks.filter(F.col("split") == "test"), "model")
     draw = lambda b, i, n: (b * 7919 + i * 104729 + b * i * 31) % n  # noqa: E731  any engine can repeat this
     resampled = ev.bootstrap_histogram(test, ev.RESAMPLES, "model", n_draws=N_DRAWS, draw=draw)
     return test.withColumn("b", F.lit(0)).unionByName(resampled)
@@ -147,7 +147,7 @@ def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_classes = models.n_vector_classes(spark, sf_dir)
-    return ev.performance(_bootstrap(spark, sf_dir), n_classes, "model", "b", step=1, digits=DIGITS)
+    return ev.performance(_with_resamples(_ranks(spark, sf_dir)), n_classes, "model", "b", step=1, digits=DIGITS)
 
 
 _BOOT = f"""test AS (SELECT model, true_rank, row_number() OVER (PARTITION BY model ORDER BY true_rank, vec_id) - 1 AS idx
@@ -157,14 +157,13 @@ picks AS (SELECT b, (b * 7919 + i * 104729 + b * i * 31) % n AS idx FROM n CROSS
   (SELECT CAST(unnest(range(1, {ev.RESAMPLES + 1})) AS BIGINT) AS b) CROSS JOIN (SELECT unnest(range(0, {N_DRAWS})) AS i)),
 boot AS (SELECT model, CAST(b AS INTEGER) AS b, true_rank, count(*) AS n FROM picks JOIN test USING (idx) GROUP BY ALL
   UNION ALL SELECT model, 0, true_rank, count(*) FROM test GROUP BY ALL)"""
-_BOOT_SQL = sql.with_(sql.VECTOR_MODELS, _BOOT, sql.counted_curve("model, b", "boot", 1),
-                      sql.metrics("model, b", "boot", DIGITS),
-                      """vals AS (SELECT model, b, 'accuracy' AS metric, accuracy AS value FROM perf
+_BOOT_PARTS = [_BOOT, sql.counted_curve("model, b", "boot", 1), sql.metrics("model, b", "boot", DIGITS), """vals AS (SELECT model, b, 'accuracy' AS metric, accuracy AS value FROM perf
   UNION ALL SELECT model, b, 'auc', auc FROM perf UNION ALL SELECT model, b, 'k90', CAST(k90 AS DOUBLE) FROM perf),
 est AS (SELECT model, metric, value AS estimate FROM vals WHERE b = 0),
 diffs AS (SELECT model, metric, b, value - estimate AS difference, estimate FROM vals JOIN est USING (model, metric) WHERE b > 0),
 ivals AS (SELECT model, metric, any_value(estimate) AS estimate, any_value(estimate) - quantile_cont(difference, 0.95) AS lower,
-  any_value(estimate) - quantile_cont(difference, 0.05) AS upper FROM diffs GROUP BY model, metric)""", body="{}")
+  any_value(estimate) - quantile_cont(difference, 0.05) AS upper FROM diffs GROUP BY model, metric)"""]
+_BOOT_SQL = sql.with_(sql.VECTOR_MODELS, *_BOOT_PARTS, body="{}")
 
 
 @query("e6_bootstrap", _BOOT_SQL.format("SELECT model, b, accuracy, auc, k90 FROM perf"))
@@ -195,14 +194,40 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"lower": F.round("lower", DIGITS), "upper": F.round("upper", DIGITS)})
 
 
-@query("e8_model_comparison", _BOOT_SQL.format("""
-SELECT model, metric, estimate, round(lower, 8) AS lower, round(upper, 8) AS upper FROM ivals WHERE metric IN ('accuracy', 'auc')"""))
-def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ev.metric_rows(_performance(spark, sf_dir), "model", "b").filter(F.col("metric") != "k90")
+_COMPARISON = """
+SELECT model, metric, estimate, round(lower, 8) AS lower, round(upper, 8) AS upper FROM ivals WHERE metric IN ('accuracy', 'auc')"""
+
+
+def _comparison(performance: DataFrame) -> DataFrame:
+    values = ev.metric_rows(performance, "model", "b").filter(F.col("metric") != "k90")
     found = ev.intervals(values, "model", "metric")
     return found.withColumns({"lower": F.round("lower", DIGITS), "upper": F.round("upper", DIGITS)})
 
 
+@query("e8_model_comparison", _BOOT_SQL.format(_COMPARISON))
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comparison(_performance(spark, sf_dir))
+
+
+@query("e8_text_model_comparison", sql.with_(
+    models.TEXT_SQL, models._TOPIC_SQL, models._BAND_SQL, models._JOURNAL_SQL, models._HIDDEN, models._STACKED_SQL,
+    """stacked AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, c) AS r FROM sts),
+ranks AS (SELECT 'baseline' AS model, doc_id AS vec_id, split, r AS true_rank FROM nbj WHERE c = label_idx
+  UNION ALL SELECT 'embedding', doc_id, split, r FROM stacked JOIN targets USING (doc_id) WHERE c = journal_idx),
+ncls AS (SELECT count(DISTINCT source) AS nc FROM documents)""", *_BOOT_PARTS, body=_COMPARISON))
+def text_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal classifiers that read texts: naive Bayes on words against the stacked model."""
+    features = models.text_features(spark, sf_dir)
+    scored = {
+        "baseline": ev.true_ranks(
+            models.term_scores(features, "journal_idx", features.n_journals), "doc_id", "split", label_col="journal_idx"),
+        "embedding": ev.true_ranks(models.stacked_scores(spark, sf_dir, features), "doc_id", "split"),
+    }
+    parts = [ranks.withColumn("model", F.lit(name)) for name, ranks in scored.items()]
+    resampled = _with_resamples(parts[0].unionByName(parts[1]))
+    return _comparison(ev.performance(resampled, features.n_journals, "model", "b", step=1, digits=DIGITS))
+
+
 @query("e9_chart_tables", sql.with_(sql.ARTICLES, body="""
 SELECT 'topic share' AS chart, category AS item, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS value FROM articles GROUP BY category
 UNION ALL SELECT 'journal count', journal_abbrev, CAST(n AS DOUBLE) FROM (

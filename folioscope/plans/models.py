@@ -272,12 +272,11 @@ def hidden_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("value", F.round("value", 6))
 
 
-def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stacked_scores(spark: SparkSession, sf_dir: str, features: TextFeatures) -> DataFrame:
     """(doc_id, split, label_idx, scores): journal centroids over document vectors plus helper probabilities.
 
     All features of a row come from its word indices: one vocabulary, one token pass, no join.
     """
-    features = text_features(spark, sf_dir)
     table = text.embedding_table_of(spark, sf_dir, features.vocabulary)
     rows = voc.with_mean_vectors(with_helper_probabilities(features), table, text.WIDTH, "sequence", "base")
     rows = stage(rows.select(
@@ -298,7 +297,7 @@ sts AS (SELECT doc_id, c, sum(v * w) AS s FROM stackv JOIN stc USING (dim) GROUP
 SELECT doc_id, split, CAST(c AS INTEGER) AS class_idx, round(s, 6) AS score FROM sts JOIN targets USING (doc_id)"""))
 def stacked_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journal scores on text features extended by topic and impact-band predictions."""
-    long = clf.class_rows(stacked_scores(spark, sf_dir), "doc_id", "split")
+    long = clf.class_rows(stacked_scores(spark, sf_dir, text_features(spark, sf_dir)), "doc_id", "split")
     return long.withColumn("score", F.round("score", 6))
 
 
