@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from folioscope.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+import corpus_pipeline
+from folioscope.llm import exact_dedup, line_dedup, shingle_dedup, simhash, suffix_dedup
 from folioscope.llm.components import star_components
 from folioscope.llm.suffix_array import suffix_array
 
@@ -141,6 +142,54 @@ def test_one_per_component_keeps_columns(awkward):
     assert 7 in ids and 8 not in ids
 
 
+# -- shingle likeness ----------------------------------------------------------------
+
+def shingles_by_hand(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + size]) for i in range(max(len(words) - size + 1, 1))}
+
+
+def near_copies(seed=12):
+    """Clusters of texts with more and more words changed: likeness from 0.5 to 1 around shared passages."""
+    rng = random.Random(seed)
+    frame = [f"w{rng.randint(0, 300)}" for _ in range(40)]
+    rows = []
+    for _ in range(25):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.choice([6, 20, 80, 200]))] + frame
+        for _ in range(rng.randint(1, 6)):
+            own = list(words)
+            for _ in range(rng.randint(0, max(len(own) // 40, 1))):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 99)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows + [(len(rows), " "), (len(rows) + 1, "\n"), (len(rows) + 2, None)]
+
+
+@pytest.mark.parametrize("seen", [3, 10**9])
+def test_near_duplicates_reach_the_likeness(spark, monkeypatch, seen):
+    """All pairs of five-word-shingle Jaccard >= 0.8 are linked and no others, whatever the order of shingles."""
+    monkeypatch.setattr(shingle_dedup, "LEAST_SEEN", seen)
+    rows = near_copies()
+    sets = [shingles_by_hand(t, 5) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+                far += bin(simhash_by_hand(rows[i][1], 5) ^ simhash_by_hand(rows[j][1], 5)).count("1") > 4
+    assert far > 10
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [i for i in range(len(rows)) if root(i) == i]
+
+
 # -- lines ---------------------------------------------------------------------------
 
 def lines_by_hand(rows):
