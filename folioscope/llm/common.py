@@ -31,6 +31,21 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["h"] == right["h"])
 
 
+def surviving_rows(docs: DataFrame, first: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` for every row of `first` (doc_id, h, n); n counts the rows of `docs` that agree in both.
+
+    Only rows that repeat an id and text are brought together.
+    """
+    keyed = docs.withColumn("__llm_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+    def rows(wanted: DataFrame) -> DataFrame:
+        return keyed.join(
+            wanted, keyed[id_col].eqNullSafe(wanted["doc_id"]) & (keyed["__llm_h"] == wanted["h"]), "left_semi")
+
+    repeated = rows(first.filter("n > 1")).dropDuplicates([id_col, "__llm_h"])
+    return rows(first.filter("n = 1")).unionByName(repeated).drop("__llm_h")
+
+
 def pieces(text: Column, size: int) -> Column:
     """`text` cut into consecutive parts of `size` code points (one empty part for an empty text)."""
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keyed_texts
+from folioscope.llm.common import keyed_texts, surviving_rows
 from folioscope.llm.components import star_components
 from folioscope.runtime import stage
 
@@ -180,13 +180,10 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay: of each component the document with the smallest id.
 
     Where ids repeat or are NULL, the text hash decides among rows of that id; of rows that agree in
-    both, all stay.
+    both, one stays.
     """
     parts = near_duplicate_components(docs, **options)
-    first = parts.groupBy("component_id", "fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
-    first = first.groupBy("component_id").agg(F.min("k").alias("k")).select("k.doc_id", "k.h").distinct()
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("__llm_h", own)
-    return keyed.join(
-        first, keyed[id_col].eqNullSafe(first["doc_id"]) & (keyed["__llm_h"] == first["h"]), "left_semi").drop("__llm_h")
+    counted = parts.groupBy("component_id", "fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("component_id", "fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("k"))
+    first = first.groupBy("component_id").agg(F.min("k").alias("k")).select("k.doc_id", "k.h", "k.n")
+    return surviving_rows(docs, stage(first, "first-of-component"), options.get("id_col", "doc_id"), options.get("text_col", "text"))

@@ -190,6 +190,14 @@ def test_near_duplicates_reach_the_likeness(spark, monkeypatch, seen):
     assert got == [i for i in range(len(rows)) if root(i) == i]
 
 
+@pytest.mark.parametrize("keep", [simhash.one_per_component, shingle_dedup.one_per_component])
+def test_rows_that_repeat_id_and_text_leave_one(spark, keep):
+    texts = ["one text of six words here", "some quite different words of another kind", "a third that has no company at all"]
+    rows = [(None, texts[0])] * 40 + [(3, texts[1])] * 3 + [(9, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert sorted(r.text for r in keep(docs).collect()) == sorted(texts)
+
+
 # -- lines ---------------------------------------------------------------------------
 
 def lines_by_hand(rows):
