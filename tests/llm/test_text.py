@@ -443,3 +443,9 @@ def test_pipeline_stages_take_awkward_and_no_rows(spark, awkward, nothing, sf_di
     for name, function in corpus_pipeline.STAGES:
         docs, empty = function(spark, docs, sf_dir), function(spark, empty, sf_dir)
         assert docs.count() > 0 and empty.count() == 0, name
+
+
+def test_without_labels_texts_with_letters_pass_the_language_stage(spark):
+    rows = [(0, "the river", None), (1, "été", None), (2, "12 34 ...", None), (3, "", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [0, 1]
