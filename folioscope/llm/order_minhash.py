@@ -1,7 +1,7 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-Units of a text are its words (pieces of four characters where words are huge). Every run of three
-units is a k-mer; the o-th occurrence of a k-mer in its text has a hash of its own. The hash range
+Units of a text are its words; a huge word counts as its overlapping pieces of four characters. That
+is decided word by word, so texts that share a passage share its units. Every run of three units is a k-mer; the o-th occurrence of a k-mer in its text has a hash of its own. The hash range
 is cut into slots; each slot takes the smallest occurrence-numbered k-mers from its beginning on
 (going round at the end of the range), puts them back into text order and hashes the tuple. Slots
 agree between two texts about as often as their k-mers occur in both in the same order, so
@@ -25,16 +25,18 @@ TUPLE = 2
 SLOTS = 64
 # Low bits of a k-mer's number that hold its position; the hash is above.
 POSITION_BITS = 26
-# Average characters per word above which a text is cut into short pieces instead.
+# Characters above which a word is taken as overlapping pieces instead.
 LONG_WORDS = 32
 
 _POSITION = (1 << POSITION_BITS) - 1
 
 
-def _units(text: Column) -> Column:
-    words = F.split(text, ASCII_SPACE, -1)
-    short = F.regexp_extract_all(text, F.lit("(?s).{1,4}"), F.lit(0))
-    return F.when(F.length(text) > F.size(words) * LONG_WORDS, short).otherwise(words)
+def _units(words: Column) -> Column:
+    # One piece begins at every code point but the last three.
+    pieces = lambda w: F.regexp_extract_all(w, F.lit("(?s)(?=(.{4}))."), F.lit(1))
+    huge = lambda w: F.length(w) > LONG_WORDS
+    cut = F.flatten(F.transform(words, lambda w: F.when(huge(w), pieces(w)).otherwise(F.array(w))))
+    return F.when(F.exists(words, huge), cut).otherwise(words)
 
 
 def _numbered(hash_: Column, position: Column) -> Column:
@@ -77,7 +79,8 @@ def with_fingerprint(df: DataFrame, text_col: str, out_col: str, k: int = K, tup
         return F.hash(F.transform(in_order, lambda x: x["col2"]))
 
     steps = [
-        ("__u", _units(F.col(text_col))),
+        ("__w", F.split(F.col(text_col), ASCII_SPACE, -1)),
+        ("__u", _units(F.col("__w"))),
         ("__k", F.sort_array(kmers)),
         ("__a", again),
         ("__b", F.when(F.size("__a") > 0, begins).otherwise(F.array().cast("array<int>"))),

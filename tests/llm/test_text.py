@@ -235,6 +235,18 @@ def test_order_matters_more_than_for_sets(spark):
     assert 0.05 < agree < 0.85  # nearly all k-mers are shared, half of the pairs change order
 
 
+def test_one_inserted_character_changes_little_of_a_text_without_spaces(spark):
+    rng = random.Random(3)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1500)) + "".join(rng.choice("abcXYZ019😀") for _ in range(1500))
+    # The same with enough short words behind it that words are short on the average.
+    mixed = text + " " + " ".join(f"w{rng.randint(0, 999)}" for _ in range(200))
+    pairs = [(text, text[:5] + "x" + text[5:]), (mixed, mixed[:5] + "x" + mixed[5:]), (text, mixed)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i INT, a STRING, b STRING")
+    prints = order_minhash.with_fingerprint(order_minhash.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = {r.i: r.x for r in prints.select("i", order_minhash.likeness(F.col("fa"), F.col("fb")).alias("x")).collect()}
+    assert got[0] > 0.9 and got[1] > 0.9 and got[2] > 0.7
+
+
 def test_minhash_of_awkward_rows(awkward, nothing):
     rows = order_minhash.fingerprints_with_neighbours(awkward).collect()
     assert len(rows) == awkward.count()
