@@ -16,6 +16,8 @@ import numpy as np
 
 # Words remembered before the memory is emptied: about 250 MB.
 MAX_REMEMBERED = 700_000
+# The same for their ids, which few huge words may fill: 32 MB.
+MAX_IDS = 8_000_000
 # Letters that NFC leaves alone, and marks that both vocabularies cut off as one piece.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r".,;:!?&$#%*()\"+=/\-"
@@ -114,21 +116,28 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        if len(self.index) > MAX_REMEMBERED:
+        if len(self.index) > MAX_REMEMBERED or len(self.flat) > MAX_IDS:
             self.forget()
         picked, words = array("q"), []
+        # Whole texts count as one word each, held for this call only: -1, -2, ...
+        held, held_lengths = array("I"), []
         for text in texts:
             keys = self.words(text)
             if keys is None:
-                # The whole text counts as one word that is not kept in the index.
-                picked.append(self.keep(self.whole(text)))
+                own = self.whole(text)
+                held.frombytes(own)
+                held_lengths.append(len(own) // 4)
+                picked.append(-len(held_lengths))
                 words.append(1)
             else:
                 picked.extend(map(self.index.__getitem__, keys))
                 words.append(len(keys))
         number = np.array(picked, dtype=np.int64)
-        lengths, starts = np.array(self.lengths)[number], np.array(self.starts)[number]
-        flat = np.array(self.flat, dtype=np.uint32)
+        number = np.where(number < 0, len(self.starts) - 1 - number, number)
+        extra = np.array(held_lengths, dtype=np.int64)
+        lengths = np.concatenate((np.array(self.lengths), extra))[number]
+        starts = np.concatenate((np.array(self.starts), len(self.flat) + np.cumsum(extra) - extra))[number]
+        flat = np.concatenate((np.array(self.flat, dtype=np.uint32), np.array(held, dtype=np.uint32)))
         ends = np.cumsum(lengths)
         source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
         bounds = np.concatenate(([0], np.cumsum(words))).astype(np.int64)

@@ -276,6 +276,26 @@ def test_encoder_equals_the_library(spark, awkward, sf_dir, name, drops_space):
         assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name, drops_space", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_does_not_keep_whole_texts(name, drops_space):
+    path = public_tokenizers.path(name)
+    encoder, plain = encoding.Encoder(path, drops_space), Tokenizer.from_file(path)
+    texts = [f"<|{i} paragraph  one\n\nand two " * 20 for i in range(50)]
+    for text in texts:
+        ids, counts = encoder.encode([text, "plain words", text])
+        own = [plain.encode(t, add_special_tokens=False).ids for t in (text, "plain words", text)]
+        assert ids.tolist() == sum(own, []) and counts.tolist() == list(map(len, own))
+    assert len(encoder.flat) < 20
+
+
+def test_encoder_forgets_by_ids_as_well(monkeypatch):
+    monkeypatch.setattr(encoding, "MAX_IDS", 1000)
+    encoder = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+    for i in range(30):
+        encoder.encode([f"{i}-" * 100])
+    assert len(encoder.flat) < 2000
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 5, 1000):
