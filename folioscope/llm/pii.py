@@ -2,7 +2,7 @@
 
 Four rules give the base spans. Wider patterns propose overlapping candidate spans; a candidate
 that shares characters with a base span is an example of personal data, any other one is not. Gradient
-boosted trees learn from format and context of about `EXAMPLES` candidates, the rest of which calibrate,
+boosted trees learn from format and context of at most about `EXAMPLES` candidates; all others calibrate,
 per kind, the lowest score at which nearly all selected candidates are real. Candidates at or above
 it that lie clear of the base spans are added. The trees are turned into column expressions, so scoring runs
 inside each row without a shuffle.
@@ -38,10 +38,11 @@ CANDIDATES = {
 # Words that announce a number, looked for in the characters before a candidate.
 ANNOUNCE = r"(?i)(phone|tel|call|fax|mobile|card|visa|credit|mail|contact|host|addr|\bip\b)"
 BEFORE = 24
-# Candidates that are learned from or calibrated on, about; chosen by hash.
+# Candidates of which one half, chosen by hash, is learned from, about; all others calibrate.
 EXAMPLES = 20_000
 TREES, DEPTH = 12, 3
-# Share of real candidates among the selected that the calibration asks for, and the least number of examples.
+# Share of real candidates among the selected that the calibration asks for, and the least number of examples;
+# a kind with fewer takes the threshold of all kinds together.
 PRECISION, LEAST = 0.995, 50
 
 _SPAN = "struct<kind:string,s:int,e:int,text:string>"
@@ -205,27 +206,43 @@ def fit(docs: DataFrame, examples: int = EXAMPLES, seed: int = 1) -> Model:
     n = rows.count()
     names = rows.columns[5:]
     draw = F.pmod(F.xxhash64("doc_id", "s", F.lit(seed)), F.lit(share))
-    kept = rows.withColumn("draw", draw).filter(F.col("draw") < min(share, examples * share // max(n, 1) + 1))
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(kept)
-    train, check = (vectors.filter(F.col("draw") % 2 == part) for part in (0, 1))
+    kept = rows.withColumn("draw", draw)
+    learned = (F.col("draw") < min(share, examples * share // max(n, 1) + 1)) & (F.col("draw") % 2 == 0)
+    train = VectorAssembler(inputCols=names, outputCol="features").transform(kept.filter(learned))
     sorts = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if min(sorts) == 0:
         return Model([], [], names, {})
     booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.3)
     fitted = booster.fit(train.select("features", "label"))
     model = Model([t._call_java("rootNode") for t in fitted.trees], fitted.treeWeights, names, {})
-    scored = check.withColumn("score", model.score(F.struct(*names)))
+    scored = kept.filter(~learned).withColumn("score", model.score(F.struct(*names)))
     # Few distinct scores: trees have at most 2 ** DEPTH leaves each and features are mostly flags.
     steps = scored.groupBy("kind", F.round("score", 3).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("real")).collect()
-    thresholds = {}
-    for kind in KINDS:
-        n_all = n_real = 0
-        for step in sorted((s for s in steps if s.kind == kind), key=lambda s: -s.score):
-            n_all, n_real = n_all + step.n, n_real + step.real
-            if n_all >= LEAST and n_real >= PRECISION * n_all:
-                thresholds[kind] = step.score - 0.0005
-    return Model(model.trees, model.weights, names, thresholds)
+    return Model(model.trees, model.weights, names, thresholds_of([(s.kind, s.score, s.n, s.real) for s in steps]))
+
+
+def thresholds_of(steps: list[tuple[str, float, int, float]]) -> dict[str, float]:
+    """Lowest score per kind at which the selected are real, from a histogram (kind, score, n, real).
+
+    Kinds of fewer than LEAST examples take the threshold of all kinds pooled, whatever their number.
+    """
+    def lowest(own: list, least: int) -> float | None:
+        found, n_all, n_real = None, 0, 0
+        by_score = {}
+        for _, score, n, real in own:
+            before = by_score.get(score, (0, 0))
+            by_score[score] = (before[0] + n, before[1] + real)
+        for score in sorted(by_score, reverse=True):
+            n_all, n_real = n_all + by_score[score][0], n_real + by_score[score][1]
+            if n_all >= least and n_real >= PRECISION * n_all:
+                found = score - 0.0005
+        return found
+
+    pooled = lowest(steps, 1)
+    own = {kind: [s for s in steps if s[0] == kind] for kind in KINDS}
+    found = {kind: lowest(x, LEAST) if sum(s[2] for s in x) >= LEAST else pooled for kind, x in own.items()}
+    return {kind: t for kind, t in found.items() if t is not None}
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:

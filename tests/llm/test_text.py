@@ -158,6 +158,23 @@ def test_trees_find_what_the_rules_miss_and_leave_other_numbers(spark):
     assert all(len(r.spans) == r.doc_id % 2 for r in found)
 
 
+def test_thresholds_do_not_depend_on_the_size_of_the_sample(spark):
+    """Neither a small table nor a small sample of a large one leaves a kind without a threshold."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [f"tel +1 ({digits(3)}) 555-{digits(4)} and" if i % 2 else f"item {digits(3)} {digits(3)} {digits(4)} of" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id INT, text STRING")
+    for docs, examples in ((df, 60), (df.filter("doc_id < 60"), pii.EXAMPLES)):
+        assert "phone" in pii.fit(docs, examples).thresholds
+
+
+def test_rare_kinds_take_the_pooled_threshold():
+    common = [("phone", 2.0, 1000, 1000.0), ("phone", 1.0, 1000, 500.0), ("card", 2.5, 400, 100.0)]
+    got = pii.thresholds_of([*common[:2], ("email", 2.0, 20, 20.0)])
+    assert got == {kind: 1.9995 for kind in pii.KINDS}
+    assert "card" not in pii.thresholds_of(common)
+
+
 def test_model_trees_equal_the_library(spark):
     """Trees as column expressions decide as the fitted model does."""
     from pyspark.ml.classification import GBTClassifier
