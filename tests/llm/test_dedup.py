@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from folioscope.llm import exact_dedup, line_dedup, shingle_dedup, simhash, suffix_dedup
+from folioscope.llm import exact_dedup, line_dedup, simhash, suffix_dedup
 from folioscope.llm.components import star_components
 from folioscope.llm.suffix_array import suffix_array
 
@@ -164,12 +164,10 @@ def near_copies(seed=12):
     return rows + [(len(rows), " "), (len(rows) + 1, "\n"), (len(rows) + 2, None)]
 
 
-@pytest.mark.parametrize("seen", [3, 10**9])
-def test_near_duplicates_reach_the_likeness(spark, monkeypatch, seen):
-    """All pairs of five-word-shingle Jaccard >= 0.8 are linked and no others, whatever the order of shingles."""
-    monkeypatch.setattr(shingle_dedup, "LEAST_SEEN", seen)
+def test_pipeline_stage_links_within_four_bits(spark):
+    """The stage keeps the smallest id of every component of four-word SimHashes within four bits."""
     rows = near_copies()
-    sets = [shingles_by_hand(t, 5) for _, t in rows]
+    prints = [simhash_by_hand(t, 4) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -177,25 +175,22 @@ def test_near_duplicates_reach_the_likeness(spark, monkeypatch, seen):
             i = parent[i]
         return i
 
-    far = 0
     for i in range(len(rows)):
         for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-                far += bin(simhash_by_hand(rows[i][1], 5) ^ simhash_by_hand(rows[j][1], 5)).count("1") > 4
-    assert far > 10
+    kept = [i for i in range(len(rows)) if root(i) == i]
+    assert len(kept) < len(rows) - 10
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
-    assert got == [i for i in range(len(rows)) if root(i) == i]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == kept
 
 
-@pytest.mark.parametrize("keep", [simhash.one_per_component, shingle_dedup.one_per_component])
-def test_rows_that_repeat_id_and_text_leave_one(spark, keep):
+def test_rows_that_repeat_id_and_text_leave_one(spark):
     texts = ["one text of six words here", "some quite different words of another kind", "a third that has no company at all"]
     rows = [(None, texts[0])] * 40 + [(3, texts[1])] * 3 + [(9, texts[2])]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-    assert sorted(r.text for r in keep(docs).collect()) == sorted(texts)
+    assert sorted(r.text for r in simhash.one_per_component(docs).collect()) == sorted(texts)
 
 
 # -- lines ---------------------------------------------------------------------------
