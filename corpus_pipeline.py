@@ -1,8 +1,12 @@
 """From raw documents to packed training sequences: five stages, each written and read again.
 
 Language ID drops documents without a determined language, line dedup cuts repeated passages of
-lines (documents of which nothing is left go), near-dedup on word shingles keeps one document of each group,
+lines (documents of which nothing is left go), SimHash near-dedup keeps one document of each group,
 mixing takes documents to target weights, packing lays their tokens into sequences.
+
+Every stage takes NULLs in any column, empty and very long texts, repeated rows and further columns
+(a column named like one the operators add for themselves, `__llm_*` or `__mix_*`, is not allowed),
+and an empty table comes out empty.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import language_id, line_dedup, mixing, packing, shingle_dedup
+from folioscope.llm import language_id, line_dedup, mixing, packing, simhash
 from folioscope.llm.common import documents
 from folioscope.llm.queries import DOMAIN, WEIGHTS
 from folioscope.runtime import stage
@@ -47,8 +51,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by five-word-shingle Jaccard of 0.8 or more."""
-    return shingle_dedup.one_per_component(docs, shingle=5)
+    """The document with the smallest id of every group of SimHashes (four-word shingles) linked within four bits.
+
+    NULL and empty texts have the fingerprint of no words and are one group; of rows that repeat an id
+    and text one stays.
+    """
+    return simhash.one_per_component(docs, shingle=4, radius=4)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
