@@ -1,4 +1,4 @@
-"""The thin queries: one per operator over the whole documents table."""
+"""The thin queries: one per operator over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
-    exact_dedup, language_id, line_dedup, mixing, order_minhash, packing, pii, simhash, suffix_dedup, token_files,
+    exact_dedup, language_id, lexical_search, line_dedup, mixing, order_minhash, packing, pii, simhash, suffix_dedup,
+    token_alignment, token_files, vector_dedup,
 )
 from folioscope.llm.common import documents
 from folioscope.llm.registry import query
@@ -132,3 +133,37 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", F.col("__mix_domain").alias("domain"), "lang", "source", F.col("__mix_tokens").alias("n_tokens"),
         F.col("__mix_budget").alias("leaf_budget"), F.col("__mix_times").alias("times"))
+
+
+_ITEM_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op11_lexical_search", f"""
+WITH dt AS (SELECT doc_id, unnest({_ITEM_TERMS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+dn AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM dn),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * docs) // words) AS m FROM dn, s),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY ALL), s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_ITEM_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 10""")
+def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_token_alignment")
+def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = token_alignment.default_paths()
+    rows = token_alignment.staged_alignment(documents(spark, sf_dir), a, b)
+    return token_alignment.with_link_counts(rows, token_alignment.b_size(b)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_vector_dedup")
+def dedup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
