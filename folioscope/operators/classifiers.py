@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,98 +16,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import as_double, concat_features
+from folioscope.operators.scoring import Blocks, Scorer, all_scores, flat_lists, term_block
 from folioscope.runtime import stage
 
 # Weights of one block of classes, held by a worker at a time: 64 MB of doubles.
 BLOCK_CELLS = 8_000_000
-# Classes of one block; bounds the scores of an Arrow batch.
-BLOCK_CLASSES = 512
-
-
-def class_blocks(n_classes: int, width: int) -> list[tuple[int, int]]:
-    """Ranges of classes whose weights fit a worker; one range for all but very wide models."""
-    step = max(1, min(BLOCK_CLASSES, BLOCK_CELLS // max(width, 1)))
-    return [(a, min(a + step, n_classes)) for a in range(0, n_classes, step)]
-
-
-def _score_blocks(df: DataFrame, n_classes: int, width: int, block_scores: Callable[[int, int], Column],
-                  out_col: str) -> DataFrame:
-    """Add ARRAY<DOUBLE> `out_col` of n_classes scores, one block of classes after the other.
-
-    With several blocks the rows are staged in between, so no worker holds two of them.
-    """
-    blocks = class_blocks(n_classes, width)
-    for number, (a, b) in enumerate(blocks):
-        scores = block_scores(a, b)
-        if number:
-            df = stage(df, "scored").withColumn("__block", scores)
-            df = df.withColumn(out_col, F.concat(out_col, "__block")).drop("__block")
-        else:
-            df = df.withColumn(out_col, scores)
-    return df if blocks else df.withColumn(out_col, F.array().cast("array<double>"))
 
 
 @dataclass(frozen=True)
 class NaiveBayes:
-    """Multinomial naive Bayes as counts: (label_idx, docs, words) and (label_idx, idx, n)."""
+    """Multinomial naive Bayes as counts: (label_idx, fold, docs, words) and (label_idx, idx, fold, n).
+
+    With folds 1..n_folds the same counts hold n_folds more models, each without the rows of its fold.
+    """
 
     classes: DataFrame
     counts: DataFrame
     n_classes: int
     width: int
     smoothing: float
+    n_folds: int = 0
 
 
 def fit_naive_bayes(train: DataFrame, label_col: str, n_classes: int, width: int, sequence_col: str = "sequence",
-                    smoothing: float = 1.0) -> NaiveBayes:
-    """Counts of word indices 1..width by class; a class without training rows keeps its slot."""
+                    smoothing: float = 1.0, fold: Column | None = None, n_folds: int = 0) -> NaiveBayes:
+    """Counts of word indices 1..width by class; a class without training rows keeps its slot.
+
+    With `fold` (0..n_folds-1) the counts are kept by fold, which is all that cross-fitting needs: one
+    pass over the training rows whatever the number of folds.
+    """
     label = F.col(label_col).cast("int").alias("label_idx")
-    rows = train.filter(F.col(label_col).isNotNull())
-    classes = rows.groupBy(label).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(F.size(sequence_col).cast("bigint")).alias("words"))
-    counts = rows.select(label, F.explode(sequence_col).alias("idx")).groupBy("label_idx", "idx").agg(
+    part = (F.lit(0) if fold is None else fold.cast("int") + 1).alias("fold")
+    rows = train.filter(F.col(label_col).isNotNull()).select(label, part, F.col(sequence_col).alias("sequence"))
+    classes = rows.groupBy("label_idx", "fold").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence").cast("bigint")).alias("words"))
+    counts = rows.select("label_idx", "fold", F.explode("sequence").alias("idx")).groupBy("label_idx", "idx", "fold").agg(
         F.count(F.lit(1)).alias("n"))
-    return NaiveBayes(stage(classes, "class-sizes"), stage(counts, "class-words"), n_classes, width, smoothing)
+    return NaiveBayes(stage(classes, "class-sizes"), stage(counts, "class-words"), n_classes, width, smoothing, n_folds)
+
+
+def class_ranges(sizes: dict[int, int], n_classes: int, cells: int) -> list[tuple[int, int]]:
+    """Consecutive classes with about `cells` weights each; `sizes` are the weights of the classes that have any."""
+    ranges, first, held = [], 0, 0
+    for c in range(n_classes):
+        own = sizes.get(c, 0) + 1
+        if held and held + own > cells:
+            ranges.append((first, c))
+            first, held = c, 0
+        held += own
+    return [*ranges, (first, n_classes)] if n_classes else []
 
 
-def score_naive_bayes(model: NaiveBayes, df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
-    """Add `scores` (log prior plus log likelihoods) and `probabilities`, both n_classes long.
+def naive_bayes_scorer(model: NaiveBayes, sequence: Column, fold: Column | None = None) -> Scorer:
+    """Log prior plus log likelihoods; rows of a fold (0..n_folds-1, else NULL) are scored without it.
 
-    A class without training rows scores as one with no documents and no words; its prior is the
-    smoothing alone.
+    Only words a class has seen have a weight, so blocks hold as many cells as there are counts. A class
+    without training rows scores as one with no documents and no words; its prior is the smoothing alone.
     """
-    total = model.classes.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    context = df.sparkSession.sparkContext
-
-    def block_scores(a: int, b: int) -> Column:
-        inside = F.col("label_idx").between(a, b - 1)
-        docs, words = np.zeros(b - a), np.zeros(b - a)
-        sizes = model.classes.filter(inside).toArrow()
-        at = sizes["label_idx"].to_numpy() - a
-        docs[at], words[at] = sizes["docs"].to_numpy(), sizes["words"].to_numpy()
-        cells = model.counts.filter(inside).toArrow()  # at most BLOCK_CELLS rows
-        theta = np.full((b - a, model.width + 1), model.smoothing)
-        theta[cells["label_idx"].to_numpy() - a, cells["idx"].to_numpy()] += cells["n"].to_numpy()
-        theta = np.log(theta) - np.log(words + model.smoothing * max(model.width, 1))[:, None]
-        prior = np.log(docs + model.smoothing) - np.log(total + model.smoothing * model.n_classes)
-        shared = context.broadcast((prior, theta))
-
-        @F.arrow_udf("array<double>")
-        def sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            prior, theta = shared.value
-            for lists in batches:
-                words = lists.flatten().to_numpy(zero_copy_only=False)
-                bounds = lists.offsets.to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(lists)), np.diff(bounds))
-                scores = np.empty((len(lists), len(prior)))
-                for c in range(len(prior)):
-                    scores[:, c] = prior[c] + np.bincount(row, weights=theta[c][words], minlength=len(lists))
-                ends = np.arange(0, scores.size + 1, len(prior), dtype="int32")
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))
-
-        return sums(F.col(sequence_col))
-
-    scored = _score_blocks(df, model.n_classes, model.width, block_scores, "scores")
+    context = model.classes.sparkSession.sparkContext
+    models, n_classes, width = model.n_folds + 1, model.n_classes, model.width
+    table = model.classes.toArrow()  # one row per class and fold
+    label, part = table["label_idx"].to_numpy(), table["fold"].to_numpy()
+    docs, words = np.zeros((models, n_classes)), np.zeros((models, n_classes))
+    for out, name in ((docs, "docs"), (words, "words")):
+        np.add.at(out[0], label, table[name].to_numpy())
+        out[1:] = out[0]
+        np.subtract.at(out[1:], (part[part > 0] - 1, label[part > 0]), table[name].to_numpy()[part > 0])
+    per_class = {r.label_idx: r.n * models for r in model.counts.groupBy("label_idx").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = []
+    for a, b in class_ranges(per_class, n_classes, BLOCK_CELLS):
+        cells = model.counts.filter(F.col("label_idx").between(a, b - 1)).toArrow()  # about BLOCK_CELLS / models rows
+        block = term_block(
+            models, width, model.smoothing, docs[:, a:b], words[:, a:b], docs.sum(axis=1), n_classes,
+            cells["label_idx"].to_numpy() - a, *(cells[c].to_numpy() for c in ("idx", "fold", "n")))
+        parts.append((a, b, context.broadcast(block)))
+    blocks = Blocks(parts)
+
+    def scores(arrays: list[pa.Array]) -> np.ndarray:
+        words, lengths = flat_lists(arrays[0])
+        number = arrays[1].to_numpy(zero_copy_only=False)
+        out = np.empty((len(lengths), n_classes))
+        for a, b, block in blocks.each():
+            for own in np.unique(number):
+                mine = number == own
+                out[mine, a:b] = block.scores(words[np.repeat(mine, lengths)], lengths[mine], int(own))
+        return out
+
+    number = F.lit(0) if fold is None else F.coalesce(fold.cast("int") + 1, F.lit(0))
+    return Scorer([sequence, number], n_classes, scores)
+
+
+def score_naive_bayes(model: NaiveBayes, df: DataFrame, sequence_col: str = "sequence", fold: Column | None = None) -> DataFrame:
+    """Add `scores` (log prior plus log likelihoods) and `probabilities`, both n_classes long, in one pass.
+
+    For many classes take `best_classes` instead, which leaves the scores inside the task.
+    """
+    scored = df.withColumn("scores", all_scores(naive_bayes_scorer(model, F.col(sequence_col), fold)))
     return scored.withColumn("probabilities", softmax(F.col("scores")))
 
 
@@ -157,41 +161,43 @@ def fit_centroids(train: DataFrame, vector_col: str, label_col: str) -> DataFram
     )
 
 
-def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_col: str,
-                    out_col: str = "scores") -> DataFrame:
-    """Add the dot product with every class centroid as ARRAY<DOUBLE> by class index.
-
-    Centroids are taken in blocks of classes; rows are scored in Arrow batches by one matrix product
-    per block. A class without centroid scores -inf, behind all others. Vectors must be present and
-    of equal width.
-    """
-    first = df.select(F.size(vector_col)).head(1)
-    width = first[0][0] if first else 0
-    context = df.sparkSession.sparkContext
+def centroid_scorer(centroids: DataFrame, n_classes: int, vector: Column, width: int) -> Scorer:
+    """Dot product with every class centroid; a class without centroid scores -inf, behind all others."""
+    context = centroids.sparkSession.sparkContext
     table = stage(centroids, "centroids")
-
-    def block_scores(a: int, b: int) -> Column:
+    step = max(1, BLOCK_CELLS // max(width, 1))
+    parts = []
+    for a in range(0, n_classes, step):
+        b = min(a + step, n_classes)
         known = table.filter(F.col("label_idx").between(a, b - 1)).toArrow()  # at most b - a rows
         matrix, missing = np.zeros((b - a, width)), np.ones(b - a, dtype=bool)
         at = known["label_idx"].to_numpy() - a
         if len(at):
             matrix[at] = known["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             missing[at] = False
-        shared = context.broadcast((matrix.T, missing))
+        parts.append((a, b, context.broadcast((matrix.T, missing))))
+    blocks = Blocks(parts)
 
-        @F.arrow_udf("array<double>")
-        def products(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            weights, missing = shared.value
-            for vectors in batches:
-                rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-                scores = rows @ weights
-                scores[:, missing] = -np.inf
-                ends = np.arange(0, scores.size + 1, len(missing), dtype="int32")
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))
+    def scores(arrays: list[pa.Array]) -> np.ndarray:
+        rows = flat_lists(arrays[0])[0].reshape(len(arrays[0]), -1)
+        out = np.empty((len(rows), n_classes))
+        for a, b, (weights, missing) in blocks.each():
+            out[:, a:b] = rows @ weights
+            out[:, a:b][:, missing] = -np.inf
+        return out
 
-        return products(as_double(F.col(vector_col)))
+    return Scorer([as_double(vector)], n_classes, scores)
 
-    return _score_blocks(df, n_classes, width, block_scores, out_col)
+
+def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_col: str,
+                    out_col: str = "scores") -> DataFrame:
+    """Add the dot product with every class centroid as ARRAY<DOUBLE> by class index, in one pass.
+
+    Vectors must be present and of equal width.
+    """
+    first = df.select(F.size(vector_col)).head(1)
+    width = first[0][0] if first else 0
+    return df.withColumn(out_col, all_scores(centroid_scorer(centroids, n_classes, F.col(vector_col), width)))
 
 
 def class_rows(scored: DataFrame, *keys: str, scores_col: str = "scores", value: str = "score") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from folioscope.functions.text import MAX_WORDS
 from folioscope.functions.vectors import argmax, as_double, concat_features, l2_normalise
 from folioscope.operators import classifiers as clf
 from folioscope.operators import evaluation as ev
+from folioscope.operators import scoring
+from folioscope.operators import training
 from folioscope.operators import vocabulary as voc
 from folioscope.operators.splits import split_by_key
 from folioscope.plans import sql, text
@@ -83,6 +87,35 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.recommendations(vector_scores(spark, sf_dir), "vec_id", 3)
 
 
+def nearest_scorer(spark: SparkSession, rows: DataFrame, n_classes: int) -> scoring.Scorer:
+    """A scorer of the user's own: minus the squared distance to the mean vector of each class."""
+    means = clf.fit_centroids(rows.filter(F.col("split") == "train"), "embedding", "label_idx").toArrow().to_pylist()  # one row per class
+    table = {r["label_idx"]: np.array(r["centroid"]) for r in means}
+
+    def scores(arrays: list[pa.Array]) -> np.ndarray:
+        vectors = scoring.flat_lists(arrays[0])[0].reshape(len(arrays[0]), -1)
+        out = np.full((len(vectors), n_classes), -np.inf)
+        for c, mean in table.items():
+            out[:, c] = -((vectors - mean) ** 2).sum(axis=1)
+        return out
+
+    return scoring.Scorer([as_double(F.col("embedding"))], n_classes, scores)
+
+
+@query("m10_user_scorer", sql.with_(sql.VECTOR_MODELS, body="""
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS INTEGER) AS rank, CAST(c AS INTEGER) AS class_idx,
+  round(s, 6) AS score
+FROM (SELECT v.vec_id, w.c, -sum((v.v - w.w) * (v.v - w.w)) AS s FROM base v JOIN cb w USING (dim) GROUP BY 1, 2)
+QUALIFY rank <= 3"""))
+def recommend_by_user_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best classes by a scoring function the library does not know."""
+    rows = split_vectors(spark, sf_dir)
+    best = scoring.best_classes(rows, nearest_scorer(spark, rows, n_vector_classes(spark, sf_dir)), 3)
+    return best.select("vec_id", F.posexplode("best").alias("pos", "cell")).select(
+        "vec_id", (F.col("pos") + 1).alias("rank"), F.col("cell")["class_idx"].alias("class_idx"),
+        F.round(F.col("cell")["score"], 6).alias("score"))
+
+
 @query("m12_pca")
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First five principal components of all vectors."""
@@ -173,6 +206,12 @@ def term_scores(features: TextFeatures, label_col: str, n_classes: int, rows: Da
     return clf.score_naive_bayes(model, rows)
 
 
+def best_by_terms(features: TextFeatures, label_col: str, n_classes: int, k: int) -> DataFrame:
+    """All rows with the k best classes of naive Bayes and the rank of the label; made for thousands of classes."""
+    model = clf.fit_naive_bayes(features.rows.filter(F.col("split") == "train"), label_col, n_classes, features.width)
+    return scoring.best_classes(features.rows, clf.naive_bayes_scorer(model, F.col("sequence")), k, label_col)
+
+
 def _classified(scored: DataFrame, label_col: str) -> DataFrame:
     best = F.array_max("scores")
     return scored.select(
@@ -223,7 +262,20 @@ def impact_band_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m7_journal_classifier", sql.with_(TEXT_SQL, _JOURNAL_SQL, body=_BEST.format("nbj")))
 def journal_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = text_features(spark, sf_dir)
-    return _classified(term_scores(features, "journal_idx", features.n_journals), "journal_idx")
+    best = best_by_terms(features, "journal_idx", features.n_journals, 1)
+    first = F.get("best", F.lit(0))
+    return best.select(
+        "doc_id", "split", F.col("journal_idx").alias("label_idx"), first["class_idx"].alias("predicted"),
+        F.round(first["score"], 4).alias("score"))
+
+
+@query("m7_journal_ranks", sql.with_(TEXT_SQL, _JOURNAL_SQL, body="""
+SELECT doc_id, split, label_idx, CAST(r AS INTEGER) AS true_rank FROM nbj WHERE c = label_idx"""))
+def journal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of every article's journal among all journals."""
+    features = text_features(spark, sf_dir)
+    best = best_by_terms(features, "journal_idx", features.n_journals, 1)
+    return best.select("doc_id", "split", F.col("journal_idx").alias("label_idx"), "true_rank")
 
 
 @query("m10_journal_recommendations", sql.with_(TEXT_SQL, _JOURNAL_SQL, body="""
@@ -232,7 +284,7 @@ JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS c FROM (SELECT D
 def journal_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best journals, by name, for every abstract."""
     features = text_features(spark, sf_dir)
-    best = ev.recommendations(term_scores(features, "journal_idx", features.n_journals), "doc_id", 3)
+    best = scoring.recommended(best_by_terms(features, "journal_idx", features.n_journals, 3), "doc_id")
     return voc.decode_labels(best, features.journals, "class_idx", "journal").select("doc_id", "rank", "journal")
 
 
@@ -250,14 +302,23 @@ def multi_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("prob", F.round("prob", 6))
 
 
-def with_helper_probabilities(features: TextFeatures) -> DataFrame:
-    """Add `hidden`: topic and impact-band probabilities side by side, scored in one pass over the rows."""
+def with_helper_probabilities(features: TextFeatures, folds: int = 0) -> DataFrame:
+    """Add `hidden`: topic and impact-band probabilities side by side, scored in one pass over the rows.
+
+    With `folds` every training row is scored by helpers that have not seen its fold, so that what is
+    trained on the probabilities does not learn from helpers that know the answers; the folds share one
+    set of counts.
+    """
     train = features.rows.filter(F.col("split") == "train")
-    topic = clf.fit_naive_bayes(train, "topic_idx", features.n_topics, features.width)
-    band = clf.fit_naive_bayes(train, "band", BANDS, features.width)
-    scored = clf.score_naive_bayes(topic, features.rows).withColumnRenamed("probabilities", "topic_probabilities").drop("scores")
-    hidden = concat_features(F.col("topic_probabilities"), F.col("probabilities"))
-    return clf.score_naive_bayes(band, scored).withColumn("hidden", hidden).drop("topic_probabilities", "probabilities", "scores")
+    fold = F.pmod("doc_id", F.lit(folds)) if folds else None
+    own = F.when(F.col("split") == "train", fold) if folds else None
+
+    def add(rows: DataFrame, label_col: str, n_classes: int, name: str) -> DataFrame:
+        model = clf.fit_naive_bayes(train, label_col, n_classes, features.width, fold=fold, n_folds=folds)
+        return clf.score_naive_bayes(model, rows, fold=own).withColumnRenamed("probabilities", name).drop("scores")
+
+    both = add(add(features.rows, "topic_idx", features.n_topics, "__topic"), "band", BANDS, "__band")
+    return both.withColumn("hidden", concat_features("__topic", "__band")).drop("__topic", "__band")
 
 
 _HIDDEN = """hidden AS (SELECT doc_id, CAST(c AS BIGINT) AS dim, prob AS v FROM nbt
@@ -272,13 +333,13 @@ def hidden_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("value", F.round("value", 6))
 
 
-def stacked_scores(spark: SparkSession, sf_dir: str, features: TextFeatures) -> DataFrame:
+def stacked_scores(spark: SparkSession, sf_dir: str, features: TextFeatures, folds: int = 0) -> DataFrame:
     """(doc_id, split, label_idx, scores): journal centroids over document vectors plus helper probabilities.
 
     All features of a row come from its word indices: one vocabulary, one token pass, no join.
     """
     table = text.embedding_table_of(spark, sf_dir, features.vocabulary)
-    rows = voc.with_mean_vectors(with_helper_probabilities(features), table, text.WIDTH, "sequence", "base")
+    rows = voc.with_mean_vectors(with_helper_probabilities(features, folds), table, text.WIDTH, "sequence", "base")
     rows = stage(rows.select(
         "doc_id", "split", F.col("journal_idx").alias("label_idx"), concat_features("base", "hidden").alias("vector")), "stacked")
     return centroid_scores(rows, features.n_journals, "vector")
@@ -301,6 +362,110 @@ def stacked_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("score", F.round("score", 6))
 
 
+def folded_naive_bayes_sql(label: str, name: str, n_classes: str, folds: int) -> str:
+    """`naive_bayes_sql` with one more model per fold (m = 1..folds) that leaves the fold's rows out; training
+    rows take the model of their fold, all others the whole one (m = 0)."""
+    return f"""{name}_m AS (SELECT CAST(unnest(range(0, {folds + 1})) AS INTEGER) AS m),
+{name}_y AS (SELECT CAST(unnest(range(0, {n_classes})) AS INTEGER) AS y),
+{name}_k AS (SELECT CAST(count(*) AS DOUBLE) AS k, (SELECT count(*) FROM top) AS v FROM {name}_y),
+{name}_tr AS (SELECT doc_id, {label} AS y, 1 + doc_id % {folds} AS fold FROM targets WHERE split = 'train' AND {label} IS NOT NULL),
+{name}_tot AS (SELECT m, count(doc_id) AS total FROM {name}_m LEFT JOIN {name}_tr ON fold <> m GROUP BY m),
+{name}_n AS (SELECT m, c.y, count(doc_id) AS docs FROM {name}_m CROSS JOIN {name}_y c LEFT JOIN {name}_tr t ON t.y = c.y AND fold <> m GROUP BY m, c.y),
+{name}_cwf AS (SELECT y, fold, word, sum(c) AS c FROM cnt JOIN {name}_tr USING (doc_id) GROUP BY ALL),
+{name}_cw AS (SELECT m, y, word, sum(c) AS c FROM {name}_cwf JOIN {name}_m ON fold <> m GROUP BY ALL),
+{name}_t AS (SELECT m, y, coalesce(sum(c), 0) AS c FROM {name}_n LEFT JOIN {name}_cw USING (m, y) GROUP BY m, y),
+{name}_pi AS (SELECT m, y, ln(docs + 1.0::DOUBLE) - ln(total + k) AS pi FROM {name}_n JOIN {name}_tot USING (m) CROSS JOIN {name}_k),
+{name}_th AS (SELECT t.m, t.y, w.word, ln(coalesce(cw.c, 0) + 1.0::DOUBLE) - ln(t.c + CAST(v AS DOUBLE)) AS theta
+  FROM {name}_t t CROSS JOIN top w CROSS JOIN {name}_k LEFT JOIN {name}_cw cw ON cw.m = t.m AND cw.y = t.y AND cw.word = w.word),
+{name}_d AS (SELECT doc_id, split, {label} AS label_idx, CASE WHEN split = 'train' THEN 1 + doc_id % {folds} ELSE 0 END AS m FROM targets),
+{name}_dw AS (SELECT doc_id, th.y, sum(cnt.c * theta) AS s FROM cnt JOIN {name}_d USING (doc_id) JOIN {name}_th th USING (m, word) GROUP BY 1, 2),
+{name}_raw AS (SELECT d.doc_id, d.split, d.label_idx, p.y AS c, p.pi + coalesce(s, 0) AS raw
+  FROM {name}_d d JOIN {name}_pi p USING (m) LEFT JOIN {name}_dw dw ON dw.doc_id = d.doc_id AND dw.y = p.y),
+{name}_e AS (SELECT *, exp(raw - max(raw) OVER (PARTITION BY doc_id)) AS e FROM {name}_raw),
+{name} AS (SELECT doc_id, split, label_idx, c, raw, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM {name}_e)"""
+
+
+FOLDS = 5
+
+
+@query("m9_out_of_fold", sql.with_(
+    TEXT_SQL, folded_naive_bayes_sql("topic_idx", "nbt", "(SELECT count(DISTINCT lang) FROM documents)", FOLDS),
+    folded_naive_bayes_sql("band", "nbb", str(BANDS), FOLDS), _HIDDEN, _STACKED_SQL, body="""
+SELECT doc_id, split, CAST(c AS INTEGER) AS class_idx, round(s, 6) AS score FROM sts JOIN targets USING (doc_id)"""))
+def out_of_fold_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stacked classifier on helper predictions of models that have not seen the row (cross-fitting)."""
+    scores = stacked_scores(spark, sf_dir, text_features(spark, sf_dir), FOLDS)
+    return clf.class_rows(scores, "doc_id", "split").withColumn("score", F.round("score", 6))
+
+
+# Passes, step and decay of the trained classifiers.
+PASSES, RATE, DECAY = 2, 8.0, 1e-4
+
+
+def descent_sql(label: str, name: str, n_classes: str) -> str:
+    """CTEs ending in {name} (pass, doc_id, split, label_idx, c, raw, r) and {name}_acc (pass, n, accuracy on dev)."""
+    parts = [f"""{name}_x AS (SELECT doc_id, word, CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY doc_id) AS DOUBLE) AS v FROM cnt),
+{name}_tr AS (SELECT doc_id, {label} AS y FROM targets WHERE split = 'train' AND {label} IS NOT NULL),
+{name}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {name}_tr),
+{name}_y AS (SELECT CAST(unnest(range(0, {n_classes})) AS INTEGER) AS c),
+{name}_p0 AS (SELECT doc_id, c, 1.0::DOUBLE / CAST((SELECT count(*) FROM {name}_y) AS DOUBLE) AS p FROM targets CROSS JOIN {name}_y),
+{name}_w0 AS (SELECT c, '' AS word, 0.0::DOUBLE AS w FROM {name}_y)"""]
+    for number in range(1, PASSES + 1):
+        a, b = f"{name}_{{}}{number - 1}", f"{name}_{{}}{number}"
+        parts.append(f"""{b.format('r')} AS (SELECT doc_id, c, p - CASE WHEN y = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r
+  FROM {a.format('p')} JOIN {name}_tr USING (doc_id)),
+{b.format('g')} AS (SELECT c, word, sum(r * v) AS g FROM {b.format('r')} JOIN {name}_x USING (doc_id) GROUP BY 1, 2
+  UNION ALL SELECT c, '', sum(r) FROM {b.format('r')} GROUP BY 1),
+{b.format('w')} AS (SELECT c, word, sum(w) AS w FROM (SELECT c, word, w * (1 - {RATE}::DOUBLE * {DECAY}::DOUBLE) AS w FROM {a.format('w')}
+  UNION ALL SELECT c, word, -{RATE}::DOUBLE * g / n FROM {b.format('g')} CROSS JOIN {name}_n) GROUP BY 1, 2),
+{b.format('s')} AS (SELECT doc_id, c, sum(v * w) AS s FROM {name}_x JOIN {b.format('w')} USING (word) GROUP BY 1, 2),
+{b.format('z')} AS (SELECT t.doc_id, split, {label} AS label_idx, w.c, w.w + coalesce(s, 0) AS raw FROM targets t CROSS JOIN {b.format('w')} w
+  LEFT JOIN {b.format('s')} s ON s.doc_id = t.doc_id AND s.c = w.c WHERE w.word = ''),
+{b.format('e')} AS (SELECT *, exp(raw - max(raw) OVER (PARTITION BY doc_id)) AS e FROM {b.format('z')}),
+{b.format('p')} AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM {b.format('e')})""")
+    every = " UNION ALL ".join(f"SELECT {i} AS pass, * FROM {name}_z{i}" for i in range(1, PASSES + 1))
+    parts.append(f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY pass, doc_id ORDER BY raw DESC, c) AS r FROM ({every})),
+{name}_acc AS (SELECT pass, count(*) AS n, avg(CASE WHEN c = label_idx THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+  FROM {name} WHERE r = 1 AND split = 'dev' AND label_idx IS NOT NULL GROUP BY pass)""")
+    return ",\n".join(parts)
+
+
+_TOPIC_DESCENT = descent_sql("topic_idx", "gdt", "(SELECT count(DISTINCT lang) FROM documents)")
+_BAND_DESCENT = descent_sql("band", "gdb", str(BANDS))
+
+
+def trained(features: TextFeatures, label_col: str, n_classes: int, passes: int = PASSES, patience: int | None = None) -> training.Trained:
+    split = F.col("split")
+    return training.train_softmax(
+        features.rows.filter(split == "train"), features.rows.filter(split == "dev"), label_col, n_classes, features.width,
+        passes=passes, rate=RATE, decay=DECAY, patience=patience)
+
+
+@query("m13_training_passes", sql.with_(TEXT_SQL, _TOPIC_DESCENT, _BAND_DESCENT, body="""
+SELECT 'category' AS task, CAST(pass AS INTEGER) AS pass, n, round(accuracy, 6) AS accuracy FROM gdt_acc
+UNION ALL SELECT 'if', CAST(pass AS INTEGER), n, round(accuracy, 6) FROM gdb_acc"""))
+def training_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy on the dev rows after every pass of training, for both helper classifiers."""
+    features = text_features(spark, sf_dir)
+    tasks = {"category": ("topic_idx", features.n_topics), "if": ("band", BANDS)}
+    rows = [(task, *row) for task, (label, n) in tasks.items() for row in trained(features, label, n).history]
+    found = spark.createDataFrame(rows, "task STRING, pass INT, n BIGINT, accuracy DOUBLE")
+    return found.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("m5_descent_topic", sql.with_(TEXT_SQL, _TOPIC_DESCENT, body="""
+SELECT doc_id, split, label_idx, CAST(c AS INTEGER) AS predicted, round(raw, 6) AS score FROM gdt
+WHERE r = 1 AND pass = (SELECT pass FROM gdt_acc ORDER BY accuracy DESC, pass LIMIT 1)"""))
+def descent_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by the weights of the pass that did best on the dev rows."""
+    features = text_features(spark, sf_dir)
+    model = trained(features, "topic_idx", features.n_topics)
+    scorer = training.softmax_scorer(model.weights, model.n_classes, model.width, F.col("sequence"))
+    first = F.get("best", F.lit(0))
+    return scoring.best_classes(features.rows, scorer, 1).select(
+        "doc_id", "split", F.col("topic_idx").alias("label_idx"), first["class_idx"].alias("predicted"), F.round(first["score"], 6).alias("score"))
+
+
 @query("m13_dev_validation", sql.with_(TEXT_SQL, _TOPIC_SQL, _BAND_SQL, body="""
 SELECT 'category' AS task, split, count(*) AS n, round(avg(CASE WHEN c = label_idx THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy
 FROM nbt WHERE r = 1 GROUP BY split
