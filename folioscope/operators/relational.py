@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.numeric import nan_to_null
 from folioscope.functions.records import first_value, has_fields
 from folioscope.functions.text import blank_to_null, contains_word, tokens, year_prefix
-from folioscope.operators.row_index import with_row_index
+from folioscope.operators.quantiles import quantile_bounds  # noqa: F401
 from folioscope.runtime import broadcast_if_small, stage
 
 # Fields an article must carry, oldest accepted age, minimum articles per journal.
@@ -167,34 +167,6 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     )
 
 
-def quantile_bounds(df: DataFrame, col: str, *groups: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Two linearly interpolated quantiles per group; NULL for a group without values.
-
-    Rows are numbered in the order of group and value by a range shuffle, so no task holds a group; the
-    quantiles are read off at most four numbered rows of each.
-    """
-    values = df.select(*groups, F.col(col).cast("double").alias("__x"))
-    ordered = with_row_index(values, *groups, F.asc_nulls_last("__x"), name="__row")
-    sizes = ordered.groupBy(*groups).agg(F.min("__row").alias("__start"), F.count("__x").alias("__n"))
-    last = F.col("__n") - 1
-    at = [F.when(F.col("__n") > 0, F.col("__start") + last * F.lit(q)) for q in (low, high)]
-    ends = F.array(*[
-        F.struct(F.lit(i).alias("q"), F.lit(k).alias("end"), f(x).cast("bigint").alias("row"), (x - F.floor(x)).alias("part"))
-        for i, x in enumerate(at) for k, f in enumerate((F.floor, F.ceil))])
-    wanted = stage(sizes.select(*groups, F.explode(ends).alias("e")).select(*groups, "e.*"), "quantile-rows")
-    rows = wanted.select("row").distinct()
-    found = ordered.join(broadcast_if_small(rows), F.col("__row") == F.col("row")).select("row", "__x")
-    picked = wanted.join(broadcast_if_small(stage(found, "quantile-values")), "row", "left")
-
-    def value(i: int, k: int) -> Column:
-        return F.max(F.when((F.col("q") == i) & (F.col("end") == k), F.col("__x")))
-
-    def quantile(i: int) -> Column:
-        return value(i, 0) + (value(i, 1) - value(i, 0)) * F.max(F.when(F.col("q") == i, F.col("part")))
-
-    return picked.groupBy(*groups).agg(quantile(0).alias("q_low"), quantile(1).alias("q_high"))
-
-
 # -- topics ------------------------------------------------------------------------------------
 
 def search_terms(documents: DataFrame, terms: list[tuple[str, list[str], list[str]]],

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.numeric import half_even, impact_band
 from folioscope.functions.records import first_value, has_fields
-from folioscope.functions.text import query_string, raw_tokens, year_prefix
+from folioscope.functions.text import query_string, raw_tokens, tokens, year_prefix
+from folioscope.operators import quantiles as quant
 from folioscope.operators import relational as ops
+from folioscope.operators import sketches
+from folioscope.operators.inverted_index import TERMS as INDEX_TERMS
+from folioscope.operators.inverted_index import build_index, search_index
 from folioscope.operators.vocabulary import distinct_raw_tokens, encode_labels, staged_label_dictionary
 from folioscope.plans import sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import TERMS, TOPICS, article_fields, articles, impact_list, journals, load, masters, texts
-from folioscope.runtime import broadcast_if_small, stage
+from folioscope.runtime import broadcast_if_small, new_path, stage
 from folioscope.sources.journal_list import with_any_issn
 
 LANGUAGES = {"en": "English", "fr": "French", "de": "German"}
@@ -151,9 +155,30 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.search_terms(texts(spark, sf_dir), TERMS)
 
 
+def _search(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
+    """Terms against an index of all texts, built and saved for the query."""
+    index = build_index(texts(spark, sf_dir), new_path(spark, "index"))
+    return search_index(index, terms)
+
+
 @query("f11_term_search", sql.with_(_term_sql(), body="SELECT topic, term_no, doc_id FROM hits"))
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir)
+    rows = [(topic, number, required, excluded, False) for number, (topic, required, excluded) in enumerate(TERMS)]
+    return _search(spark, sf_dir, spark.createDataFrame(rows, INDEX_TERMS))
+
+
+@query("f11_vocabulary_terms", sql.with_(sql.TOKENS, body="""
+SELECT DISTINCT word AS topic, CAST(length(word) AS INTEGER) AS term_no, doc_id FROM tok
+JOIN (SELECT word FROM tok GROUP BY word HAVING count(DISTINCT doc_id) BETWEEN 3 AND 20) USING (word)
+WHERE doc_id NOT IN (SELECT doc_id FROM tok WHERE word = 'the')"""))
+def vocabulary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of 3 to 20 texts as a term of its own: a table of thousands of terms."""
+    docs = texts(spark, sf_dir)
+    words = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    terms = words.filter(F.col("n").between(3, 20)).select(
+        F.col("word").alias("topic"), F.length("word").alias("term_no"), F.array("word").alias("required"),
+        F.array(F.lit("the")).alias("excluded"), F.lit(False).alias("phrase"))
+    return _search(spark, sf_dir, terms)
 
 
 # Search terms as a user writes them, several per topic.
@@ -173,15 +198,21 @@ def _term_string_sql(phrases: bool) -> str:
     return sql.with_(sql.TOKENS, words, body="\nUNION ALL ".join(parts))
 
 
+def _term_strings(spark: SparkSession, phrases: bool) -> DataFrame:
+    listed = [(topic, *ops.parse_term(term), phrases) for topic, terms in TERM_STRINGS.items() for term in terms]
+    rows = [(topic, number, *rest) for number, (topic, *rest) in enumerate(listed)]
+    return spark.createDataFrame(rows, INDEX_TERMS)
+
+
 @query("f11_term_strings", _term_string_sql(False))
 def term_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.search_term_strings(texts(spark, sf_dir), TERM_STRINGS)
+    return _search(spark, sf_dir, _term_strings(spark, False))
 
 
 @query("f11_term_phrases", _term_string_sql(True))
 def term_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The required words of a term as a phrase."""
-    return ops.search_term_strings(texts(spark, sf_dir), TERM_STRINGS, phrases=True)
+    return _search(spark, sf_dir, _term_strings(spark, True))
 
 
 @query("j4_anti_join", sql.with_(_term_sql(), body="""
@@ -313,6 +344,18 @@ def distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_raw_tokens(texts(spark, sf_dir)).agg(journals_.alias("journals"), F.count(F.lit(1)).alias("raw_tokens"))
 
 
+@query("a4_distinct_sketch", sql.with_(sql.TOKENS, body="""
+SELECT lang, count(DISTINCT word) AS words, true AS within FROM tok JOIN documents USING (doc_id) GROUP BY lang"""))
+def distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words per language, exact and from states kept per source and merged: within 3 % of each other."""
+    docs = load(spark, sf_dir, "documents").select("lang", "source", F.explode(tokens(F.col("text"))).alias("word"))
+    states = stage(sketches.distinct_states(docs, "word", "lang", "source"), "distinct-states")
+    estimates = sketches.distinct_estimates(sketches.merge_distinct(states, "lang"), "lang")
+    exact = docs.distinct().select("lang", "word").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("words"))
+    close = F.abs(F.col("n") - F.col("words")) <= F.greatest(F.lit(0.03) * F.col("words"), F.lit(1))
+    return exact.join(estimates, exact["lang"].eqNullSafe(estimates["lang"])).select(exact["lang"], "words", close.alias("within"))
+
+
 _HIST = """
 , lim AS (SELECT min({col}) AS lo, max({col}) AS hi, (max({col}) - min({col})) / 29 AS w FROM {table}),
 o AS (SELECT *, w / 2 + floor((lo - w / 2) / w) * w AS origin FROM lim),
@@ -367,10 +410,29 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.05), 4) AS q_low, round(quantile_cont(o_totalprice, 0.95), 4) AS q_high
 FROM orders GROUP BY o_orderpriority""")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = ops.quantile_bounds(load(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+    bounds = quant.quantile_bounds(load(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
     return bounds.withColumns({"q_low": F.round("q_low", 4), "q_high": F.round("q_high", 4)})
 
 
+@query("d4_quantile_sketch", """
+SELECT o_orderpriority, count(*) AS n, true AS low_within, true AS high_within FROM orders GROUP BY o_orderpriority""")
+def quantile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches kept per status and merged: each is within 1 % of its rank in the rows."""
+    orders = load(spark, sf_dir, "orders")
+    parts = stage(quant.quantile_sketches(orders, "o_totalprice", "o_orderpriority", "o_orderstatus"), "sketches")
+    merged = quant.sketched_quantiles(quant.merge_quantile_sketches(parts, "o_orderpriority"), "o_orderpriority")
+    merged = broadcast_if_small(stage(merged, "sketched"))
+    price = F.col("o_totalprice")
+    below = orders.join(merged, "o_orderpriority").groupBy("o_orderpriority", "n").agg(*[
+        F.avg((price < F.col(q)).cast("double")).alias(f"{q}_under") for q in ("q_low", "q_high")], *[
+        F.avg((price <= F.col(q)).cast("double")).alias(f"{q}_upto") for q in ("q_low", "q_high")])
+
+    def within(q: str, share: float) -> Column:
+        return (F.col(f"{q}_under") <= share + 0.01) & (F.col(f"{q}_upto") >= share - 0.01)
+
+    return below.select("o_orderpriority", "n", within("q_low", 0.05).alias("low_within"), within("q_high", 0.95).alias("high_within"))
+
+
 # -- scalar functions --------------------------------------------------------------------------
 
 @query("f1_strings", """
