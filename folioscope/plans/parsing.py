@@ -14,7 +14,7 @@ from folioscope.plans.tables import (
     articles, impact_list, journals, listing_pages, load, master_lines, master_records, masters, record_text, texts,
 )
 from folioscope.runtime import new_path
-from folioscope.sources import html, tabular
+from folioscope.sources import commit_log, html, tabular
 from folioscope.sources.article_records import RECORD_SEPARATOR, read_article_records
 from folioscope.sources.journal_list import assemble_records, parse_record_rows, tagged_lines
 
@@ -31,6 +31,17 @@ def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("pmid", F.md5("abstract").alias("abstract_md5"), "category", "journal_abbrev", "impact_factor")
 
 
+@query("s1_single_file", sql.with_(sql.ARTICLES, body="""
+SELECT category, count(*) AS n, count(DISTINCT pmid) AS ids, CAST(sum(length(abstract)) AS BIGINT) AS chars FROM articles GROUP BY category"""))
+def single_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles in one file with line breaks inside values, read in ranges by several tasks."""
+    path = new_path(spark, "articles-one-file")
+    tabular.write_delimited(articles(spark, sf_dir).select(*ARTICLE_COLUMNS).coalesce(1), path)
+    back = tabular.read_delimited(spark, path, tabular.ARTICLE_SCHEMA)
+    return back.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("pmid").alias("ids"), F.sum(F.length("abstract").cast("bigint")).alias("chars"))
+
+
 @query("s3_csv_scan", sql.with_(sql.MASTERS, body="""
 SELECT full_name, NULLIF(issn_print, '') AS issn, CAST(n AS DOUBLE) / 8 AS impact_factor FROM masters"""))
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +90,19 @@ def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("k2_logged_append", sql.with_(sql.ARTICLES, body="""
+SELECT category, count(*) AS n, CAST(sum(length(abstract)) AS BIGINT) AS chars FROM articles GROUP BY category"""))
+def logged_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two batches as appends that may be run again: the first one is, and counts once."""
+    table = new_path(spark, "articles-batches")
+    rows = articles(spark, sf_dir)
+    known, other = rows.filter(F.col("impact_factor").isNotNull()), rows.filter(F.col("impact_factor").isNull())
+    for batch, part in (("known", known), ("other", other), ("known", known)):
+        commit_log.append_batch(part, table, batch)
+    return commit_log.read_batches(spark, table, rows.schema).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("abstract").cast("bigint")).alias("chars"))
+
+
 @query("k3_write_if_absent", sql.with_(sql.TOKENS, body="SELECT word, count(*) AS n FROM tok GROUP BY word"))
 def write_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second write is skipped, so the table keeps the first result."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.runtime import new_path
+from folioscope.sources.quoted import read_quoted
 
 ARTICLE_SCHEMA = (
     "abstract STRING, pmid BIGINT, category STRING, journal_abbrev STRING, impact_factor DOUBLE"
@@ -25,12 +26,14 @@ _NULL_MARK = "\u0000"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", multiline: bool = True) -> DataFrame:
-    """Header table with an explicit schema.
+    """Header table with an explicit schema; a file of any size is read by many tasks.
 
-    Files with line breaks inside values cannot be split, so writers should produce many files;
-    pass multiline=False for tables of plain one-line values to get splittable scans.
+    With line breaks inside values the files are read twice, once to find which breaks end a record;
+    pass multiline=False for tables of plain one-line values to read them once.
     """
-    return spark.read.options(**_DELIMITED).csv(path, schema=schema, sep=sep, multiLine=multiline, nullValue=_NULL_MARK)
+    if multiline:
+        return read_quoted(spark, path, schema, {**_DELIMITED, "nullValue": _NULL_MARK}, sep)
+    return spark.read.options(**_DELIMITED).csv(path, schema=schema, sep=sep, nullValue=_NULL_MARK)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite") -> None:
