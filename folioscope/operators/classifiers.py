@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -207,19 +206,18 @@ def class_rows(scored: DataFrame, *keys: str, scores_col: str = "scores", value:
 
 
 def multi_task(features: DataFrame, train: Column, tasks: dict[str, tuple[str, int]], width: int, id_col: str) -> DataFrame:
-    """(task, id, class_idx, prob): one classifier per target on one shared feature table.
+    """(task, id, class_idx, prob): one classifier per target, all scored in one pass over the shared feature table.
 
     `tasks` maps task name to (label-index column, number of classes); rows without a label are
     scored but not fitted.
     """
-    parts = []
+    shares = []
     for task, (label_col, n_classes) in tasks.items():
         model = fit_naive_bayes(features.filter(train), label_col, n_classes, width)
-        parts.append(
-            class_rows(score_naive_bayes(model, features), id_col, scores_col="probabilities", value="prob")
-            .withColumn("task", F.lit(task))
-        )
-    return reduce(DataFrame.unionByName, parts)
+        probabilities = softmax(all_scores(naive_bayes_scorer(model, F.col("sequence"))))
+        shares.append(F.struct(F.lit(task).alias("task"), probabilities.alias("probabilities")))
+    rows = features.select(id_col, F.explode(F.array(*shares)).alias("__t"))
+    return rows.select("__t.task", id_col, F.posexplode("__t.probabilities").alias("class_idx", "prob"))
 
 
 def stacked_vectors(base: DataFrame, extras: list[DataFrame], id_col: str, vector_col: str = "vector") -> DataFrame:
@@ -229,13 +227,3 @@ def stacked_vectors(base: DataFrame, extras: list[DataFrame], id_col: str, vecto
         joined = joined.join(extra.select(id_col, F.col(vector_col).alias(f"__v{number}")), id_col)
     columns = [F.col(f"__v{number}") for number in range(len(extras) + 1)]
     return joined.select(id_col, concat_features(*columns).alias(vector_col))
-
-
-def pca_projection(df: DataFrame, vector_col: str, k: int = 5) -> tuple[DataFrame, object]:
-    """Add `components`: projection of the centred vectors on the first k principal components."""
-    prepared = df.withColumn("__vector", array_to_vector(as_double(F.col(vector_col))))
-    centring = StandardScaler(withMean=True, withStd=False, inputCol="__vector", outputCol="__centred").fit(prepared)
-    centred = centring.transform(prepared)
-    model = PCA(k=k, inputCol="__centred", outputCol="__components").fit(centred)
-    projected = model.transform(centred).withColumn("components", vector_to_array("__components"))
-    return projected.drop("__vector", "__centred", "__components"), model

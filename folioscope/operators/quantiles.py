@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.runtime import broadcast_if_small, stage
+from folioscope.runtime import BROADCAST_BYTES, measured_bytes, stage
 
 # Ranges a histogram divides an interval into.
 BINS = 4096
@@ -20,68 +20,56 @@ def quantile_bounds(df: DataFrame, col: str, *groups: str, low: float = 0.05, hi
     finer ranges, with their smallest and largest value, and goes on with those that still hold several
     values. Rows are only read and counted: nothing is sorted, and what is staged are counts per group.
     """
-    infinite = float("inf")
-    x = F.col("__x")
+    keys = [f"`{g}`" for g in groups]
     values = df.select(*groups, F.col(col).cast("double").alias("__x"))
-    finite = ~F.isnan(x) & (F.abs(x) < infinite)
-    sizes = values.groupBy(*groups).agg(
-        F.count("__x").alias("n"), F.count_if(x == -infinite).alias("lowest"), F.count_if(finite).alias("inner"),
-        F.count_if(x == infinite).alias("highest"), F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi"))
-    last = F.col("n") - 1
-    ends = F.array(*[
-        F.struct(F.lit(i).alias("q"), F.lit(k).alias("end"), f(last * F.lit(q)).cast("bigint").alias("rank"),
-                 (last * F.lit(q) - F.floor(last * F.lit(q))).alias("part"))
-        for i, q in enumerate((low, high)) for k, f in enumerate((F.floor, F.ceil))])
-    inside = F.col("rank") - F.col("lowest")
-    known = F.when(F.col("n") == 0, F.lit(None)).when(inside < 0, -infinite).when(inside < F.col("inner"), F.when(F.col("lo") == F.col("hi"), F.col("lo"))).when(
-        inside < F.col("inner") + F.col("highest"), infinite).otherwise(F.lit(float("nan")))
-    open_ = (F.col("n") > 0) & (inside >= 0) & (inside < F.col("inner")) & (F.col("lo") < F.col("hi"))
-    wanted = stage(
-        sizes.withColumn("e", F.explode(ends)).select("*", "e.*").drop("e")
-        .select(*groups, "q", "end", "part", inside.alias("rank"), "lo", "hi", known.alias("value"), open_.alias("open")), "quantile-ranks")
-    done, rest = wanted.filter(~F.col("open")), wanted.filter("open")
+    sizes = values.groupBy(*groups).agg(*map(F.expr, [
+        "count(__x) AS n", f"count_if(__x = -{_INFINITE}) AS lowest", f"count_if({_FINITE}) AS inner",
+        f"count_if(__x = {_INFINITE}) AS highest", f"min(CASE WHEN {_FINITE} THEN __x END) AS lo", f"max(CASE WHEN {_FINITE} THEN __x END) AS hi"]))
+    ends = ", ".join(
+        f"struct({i} AS q, {k} AS end, CAST({f}((n - 1) * {float(q)!r}D) AS BIGINT) AS rank, (n - 1) * {float(q)!r}D - floor((n - 1) * {float(q)!r}D) AS part)"
+        for i, q in enumerate((low, high)) for k, f in enumerate(("floor", "ceil")))
+    placed = sizes.selectExpr("*", f"inline(array({ends}))").selectExpr(
+        *keys, "q", "end", "part", "rank - lowest AS rank", "lo", "hi",
+        f"""CASE WHEN n = 0 THEN NULL WHEN rank < lowest THEN -{_INFINITE}
+            WHEN rank < lowest + inner THEN CASE WHEN lo = hi THEN lo END
+            WHEN rank < lowest + inner + highest THEN {_INFINITE} ELSE double('NaN') END AS value""",
+        "n > 0 AND rank >= lowest AND rank < lowest + inner AND lo < hi AS open")
+    wanted = stage(placed, "quantile-ranks")
+    size = measured_bytes(wanted)
+    small = size is not None and size <= BROADCAST_BYTES  # later rounds only have fewer ranks
+    done, rest = wanted.filter("NOT open"), wanted.filter("open")
     while not rest.isEmpty():
-        rest = stage(_refine(values.filter(finite), rest, groups), "quantile-ranks")
+        rest = stage(_refine(values.filter(_FINITE), rest, keys, small), "quantile-ranks")
         done, rest = done.unionByName(rest.filter("NOT open")), rest.filter("open")
-    return _interpolated(done, groups)
+    picked = [f"max(CASE WHEN q = {i} AND end = {k} THEN value END) AS v{i}{k}" for i in (0, 1) for k in (0, 1)]
+    parts = [f"max(CASE WHEN q = {i} THEN part END) AS p{i}" for i in (0, 1)]
+    found = done.groupBy(*groups).agg(*map(F.expr, picked + parts))
+    return found.selectExpr(*keys, *[
+        f"CASE WHEN p{i} = 0 THEN v{i}0 ELSE v{i}0 + (v{i}1 - v{i}0) * p{i} END AS {name}" for i, name in enumerate(("q_low", "q_high"))])
 
 
-def _refine(values: DataFrame, rest: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+# A number, neither NaN nor infinite.
+_INFINITE = "double('Infinity')"
+_FINITE = f"(NOT isnan(__x) AND abs(__x) < {_INFINITE})"
+
+
+def _refine(values: DataFrame, rest: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """The ranks of `rest` in the range of their interval that holds them; `rank` counts from the start of the range."""
-    spans = rest.select(*groups, "lo", "hi").distinct()
-    keyed = [F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]
-    spans_ = spans.select(*keyed, "lo", "hi")
     # At most four intervals per group.
-    same = F.lit(True)
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    met = values.join(broadcast_if_small(spans_), same & F.col("__x").between(F.col("lo"), F.col("hi")))
+    spans = rest.selectExpr(*[f"{k} AS __g{i}" for i, k in enumerate(keys)], "lo", "hi").distinct()
+    same = "".join(f"{k} <=> __g{i} AND " for i, k in enumerate(keys))
+    met = values.join(F.broadcast(spans) if small else spans, F.expr(same + "__x BETWEEN lo AND hi"))
     # Halves first: the width of an interval may exceed the largest number.
-    share = (F.col("__x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    number = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-    bins = met.groupBy(*groups, "lo", "hi", number.alias("bin")).agg(
-        F.count(F.lit(1)).alias("held"), F.min("__x").alias("least"), F.max("__x").alias("most"))
-    before = F.sum("held").over(Window.partitionBy(*groups, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = stage(bins.withColumn("before", F.coalesce(before, F.lit(0))), "quantile-bins")
-    on = (F.col("w.lo") == F.col("b.lo")) & (F.col("w.hi") == F.col("b.hi"))
-    for g in groups:
-        on = on & F.col(f"w.{g}").eqNullSafe(F.col(f"b.{g}"))
-    holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("held"))
-    return rest.alias("w").join(bins.alias("b"), on & holds).select(
-        *[F.col(f"w.{g}").alias(g) for g in groups], "q", "end", "part", (F.col("rank") - F.col("before")).alias("rank"),
-        F.col("least").alias("lo"), F.col("most").alias("hi"), F.when(F.col("least") == F.col("most"), F.col("least")).alias("value"),
-        (F.col("least") < F.col("most")).alias("open"))
-
-
-def _interpolated(found: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    def value(i: int, k: int) -> Column:
-        return F.max(F.when((F.col("q") == i) & (F.col("end") == k), F.col("value")))
-
-    def quantile(i: int) -> Column:
-        part = F.max(F.when(F.col("q") == i, F.col("part")))
-        return F.when(part == 0, value(i, 0)).otherwise(value(i, 0) + (value(i, 1) - value(i, 0)) * part)
-
-    return found.groupBy(*groups).agg(quantile(0).alias("q_low"), quantile(1).alias("q_high"))
+    number = f"CAST(least(floor((__x / 2 - lo / 2) / (hi / 2 - lo / 2) * {BINS}), {BINS - 1}) AS INT) AS bin"
+    owned = [f"__g{i}" for i in range(len(keys))]
+    bins = met.selectExpr(*owned, "lo", "hi", "__x", number).groupBy(*owned, "lo", "hi", "bin").agg(
+        *map(F.expr, ["count(1) AS held", "min(__x) AS least", "max(__x) AS most"]))
+    over = f"PARTITION BY {', '.join([*owned, 'lo', 'hi'])} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    bins = bins.selectExpr("*", f"coalesce(sum(held) OVER ({over}), 0) AS before").withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
+    on = same + "lo = __lo AND hi = __hi AND rank >= before AND rank < before + held"
+    return rest.join(bins, F.expr(on)).selectExpr(
+        *keys, "q", "end", "part", "rank - before AS rank", "least AS lo", "most AS hi", "CASE WHEN least = most THEN least END AS value",
+        "least < most AS open")
 
 
 def quantile_sketches(df: DataFrame, col: str, *groups: str, size: int = SKETCH_SIZE) -> DataFrame:

@@ -17,6 +17,7 @@ from folioscope.operators import classifiers as clf
 from folioscope.operators import evaluation as ev
 from folioscope.operators import scoring
 from folioscope.operators import training
+from folioscope.operators.pca import fit_components, project
 from folioscope.operators import vocabulary as voc
 from folioscope.operators.splits import split_by_key
 from folioscope.plans import sql, text
@@ -118,13 +119,26 @@ def recommend_by_user_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m12_pca")
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First five principal components of all vectors."""
+    """First five principal components of all vectors; the largest loading of each is positive."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    projected, _ = clf.pca_projection(vectors, "embedding", 5)
+    projected = project(vectors, "embedding", fit_components(vectors, "embedding", 5))
     parts = [F.round(F.col("components")[i], 6).alias(f"pc{i + 1}") for i in range(5)]
     return projected.select("vec_id", "label", *parts)
 
 
+@query("m12_pca_energy", """
+WITH cells AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+centred AS (SELECT vec_id, dim, v - avg(v) OVER (PARTITION BY dim) AS v FROM cells)
+SELECT vec_id, round(sum(v * v), 6) AS energy FROM centred GROUP BY vec_id""")
+def pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared length of every vector along all components together: that of the centred vector."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    projected = project(vectors, "embedding", fit_components(vectors, "embedding", width))
+    energy = F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x)
+    return projected.select("vec_id", F.round(energy, 6).alias("energy"))
+
+
 # -- text classifiers --------------------------------------------------------------------------
 
 

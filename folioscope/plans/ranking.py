@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import argmax, concat_features, one_hot, ranked_classes, top_k
-from folioscope.operators import splits
+from folioscope.operators import sketches, splits
 from folioscope.operators.relational import top_n
 from folioscope.operators.vocabulary import fit_vocabulary, label_dictionary
 from folioscope.plans import sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import load, texts
+from folioscope.runtime import stage
 
 _SCORES = """cells AS (SELECT vec_id, label, unnest(embedding) AS p, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS class_idx
   FROM embeddings),
@@ -52,6 +53,22 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(words, "word", 100)
 
 
+@query("w3_frequent_words", sql.with_(sql.TOKENS, body="""
+SELECT word, count(*) AS n, true AS found, true AS within FROM tok GROUP BY word HAVING count(*) * 200 >= (SELECT count(*) FROM tok)"""))
+def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that make up at least 0.5 % of all words: the summary finds each and bounds its count."""
+    from folioscope.functions.text import tokens
+
+    words = texts(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("word"))
+    summary = stage(sketches.merge_frequent(sketches.frequent_summaries(words, "word")), "frequent-words")
+    counts = stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    least = F.col("n") * 200 >= counts.agg(F.sum("n")).scalar()
+    found = sketches.frequent_values(summary, 1).withColumnRenamed("value", "word")
+    return counts.filter(least).join(found, "word", "left").select(
+        "word", "n", F.col("low").isNotNull().alias("found"),
+        F.coalesce(F.col("n").between(F.col("low"), F.col("high")), F.lit(False)).alias("within"))
+
+
 @query("w5_positional_split", sql.with_(sql.split("documents", "doc_id", 300), body="SELECT doc_id, chunk, split FROM splits"))
 def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id")

@@ -10,7 +10,9 @@ from folioscope.plans import sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import article_fields_of, journals, load, numbered_factor
 from folioscope.runtime import new_path
-from folioscope.streaming.incremental import latest_word_counts, run_append, run_word_counts, stream_table
+from folioscope.streaming.incremental import (
+    latest_vocabulary, latest_word_counts, run_append, run_vocabulary, run_word_counts, stream_table,
+)
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,18 @@ def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_word_counts(spark, out)
 
 
+@query("t1_incremental_vocabulary", sql.with_(sql.TOKENS, sql.vocabulary(), body="SELECT word, n, idx FROM vocab"))
+def incremental_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary index kept up to date over three micro-batches and a restart."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    source, out, state = (new_path(spark, name) for name in ("stream-docs", "vocabulary", "vocabulary-state"))
+    for part in range(3):
+        docs.filter(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
+        if part:
+            run_vocabulary(stream_table(spark, source, docs.schema, max_files=1), out, state)
+    return latest_vocabulary(spark, out)
+
+
 @query("t2_incremental_append", sql.with_(sql.ARTICLES, body="""
 SELECT a.pmid, lower(a.journal_abbrev) AS journal_abbrev, a.year, md5(a.abstract) AS abstract_md5, j.n AS journal_row,
   CASE WHEN j.n % 5 <> 0 THEN round(CAST(j.n AS DOUBLE) * CAST(0.9 AS DOUBLE) + CAST(0.5 AS DOUBLE), 3) END AS impact_factor

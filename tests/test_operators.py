@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from folioscope.operators import relational as ops
 from folioscope.operators import splits
 from folioscope.operators import vocabulary as voc
-from folioscope.operators import classifiers
+from folioscope.operators import classifiers, pca
 from folioscope.operators.classifiers import (
-    class_rows, fit_centroids, fit_naive_bayes, fit_softmax, pca_projection, score, score_centroids, score_naive_bayes,
+    class_rows, fit_centroids, fit_naive_bayes, fit_softmax, score, score_centroids, score_naive_bayes,
     stacked_vectors, term_features,
 )
 from folioscope.operators.row_index import with_row_index
@@ -315,17 +315,29 @@ def test_stacked_vectors_join_by_id(spark):
     assert {r.id: r.vector for r in stacked_vectors(a, [b], "id").collect()} == {1: [1.0, 10.0, 11.0], 2: [2.0, 20.0, 21.0]}
 
 
-def test_pca_components_are_centred_ordered_and_orthonormal(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    projected, model = pca_projection(vectors, "embedding", 5)
-    x = np.array([r.components for r in projected.select("components").collect()])
-    assert np.allclose(x.mean(axis=0), 0, atol=1e-9)
-    assert list(x.var(axis=0)) == sorted(x.var(axis=0), reverse=True)
-    loadings = model.pc.toArray()
-    assert np.allclose(loadings.T @ loadings, np.eye(5), atol=1e-9)
-    raw = np.array([r.embedding for r in vectors.select("embedding").collect()], dtype=float)
-    top = np.linalg.eigvalsh(np.cov(raw.T))[::-1][:5]
-    assert np.allclose(x.var(axis=0, ddof=1), top)
+@pytest.mark.parametrize("width", [pca.EXACT_WIDTH, 2])
+def test_principal_components(spark, monkeypatch, width):
+    """In one pass and by iteration: the eigenvectors of the covariance, largest loading positive."""
+    monkeypatch.setattr(pca, "EXACT_WIDTH", width)
+    rng = np.random.default_rng(6)
+    raw = rng.normal(size=(400, 20)) * 1.7 ** -np.arange(20) @ np.linalg.qr(rng.normal(size=(20, 20)))[0] + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(raw)] + [(400, None)], "id INT, v ARRAY<DOUBLE>").repartition(3)
+    found = pca.fit_components(df, "v", 4)
+    assert (found.passes == 1) == (width > 20)
+    values, vectors = np.linalg.eigh(np.cov(raw.T, ddof=0))
+    want = pca.with_signs(vectors[:, ::-1][:, :4].T)
+    assert np.allclose(found.directions, want, atol=1e-6) and np.allclose(found.variance, values[::-1][:4])
+    assert all(d[np.abs(d).argmax()] > 0 for d in found.directions)
+    got = {r.id: r.components for r in pca.project(df, "v", found).collect()}
+    assert got[400] is None
+    assert np.allclose([got[i] for i in range(400)], (raw - raw.mean(axis=0)) @ want.T, atol=1e-5)
+
+
+def test_components_of_nothing_and_of_narrow_vectors(spark):
+    none = spark.createDataFrame([], "id INT, v ARRAY<DOUBLE>")
+    assert len(pca.fit_components(none, "v").directions) == 0
+    two = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "id INT, v ARRAY<DOUBLE>")
+    assert np.allclose(pca.fit_components(two, "v", 5).directions[0], [1, 0])
 
 
 # -- sources, sinks, runtime -------------------------------------------------------

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators.vocabulary import token_counts
+from folioscope.operators.vocabulary import fit_vocabulary, token_counts
 from folioscope.runtime import new_path
-from folioscope.streaming.incremental import latest_word_counts, run_append, run_word_counts, stream_table
+from folioscope.streaming.incremental import (
+    latest_vocabulary, latest_word_counts, run_append, run_vocabulary, run_word_counts, stream_table,
+)
 
 
 def test_word_counts_over_several_batches(spark, docs):
@@ -19,6 +21,16 @@ def test_word_counts_over_several_batches(spark, docs):
     assert got == {tuple(r) for r in token_counts(everything).collect()}
 
 
+def test_vocabulary_follows_the_batches(spark, docs):
+    """Words of later batches, earlier first appearances and a restart."""
+    source, out, state = (new_path(spark, n) for n in ("docs", "vocabulary", "state"))
+    for part in ("doc_id > 5", "doc_id <= 5 AND doc_id > 1", "doc_id = 1"):
+        docs.filter(part).repartition(2).write.mode("append").parquet(source)
+        run_vocabulary(stream_table(spark, source, docs.schema, max_files=1), out, state)
+        want = {tuple(r) for r in fit_vocabulary(spark.read.parquet(source)).collect()}
+        assert {tuple(r) for r in latest_vocabulary(spark, out).collect()} == want
+
+
 def test_append_continues_where_it_stopped(spark, docs):
     source, out, state = (new_path(spark, n) for n in ("docs", "clean", "state"))
     docs.repartition(3).write.parquet(source)
