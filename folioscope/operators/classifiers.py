@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import as_double, concat_features
+from folioscope.operators.row_index import with_row_index
 from folioscope.operators.scoring import Blocks, Scorer, all_scores, flat_lists, term_block
 from folioscope.runtime import stage
 
 # Weights of one block of classes, held by a worker at a time: 64 MB of doubles.
 BLOCK_CELLS = 8_000_000
+# Classes that are scored between two looks at the bound.
+NORM_STEP = 128
 
 
 @dataclass(frozen=True)
@@ -199,6 +202,62 @@ def score_centroids(df: DataFrame, centroids: DataFrame, n_classes: int, vector_
     return df.withColumn(out_col, all_scores(centroid_scorer(centroids, n_classes, F.col(vector_col), width)))
 
 
+def bounded_best_classes(df: DataFrame, centroids: DataFrame, n_classes: int, vector_col: str, k: int, counter=None) -> DataFrame:
+    """Add `best`, the k best classes by dot product as (class_idx, score), without scoring all classes.
+
+    Centroids are taken in the order of falling length, NORM_STEP at a time. No product exceeds the
+    product of both lengths, so a row is done once that bound is below its k-th score so far. Ties go to
+    the lower class; classes without centroid come last, at -inf. `counter` (an accumulator) adds up the
+    rows that met each step. Vectors must be present and of equal width.
+    """
+    context = df.sparkSession.sparkContext
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda total, x: total + x * x))
+    ordered = with_row_index(centroids.withColumn("length", length), F.desc("length"), F.asc("label_idx"), name="no")
+    ordered = stage(ordered, "centroids-by-length")
+    first = df.select(F.size(vector_col)).head(1)
+    known = {r.label_idx for r in ordered.select("label_idx").collect()}  # one row per class
+    rest = np.array([c for c in range(n_classes) if c not in known][:k], dtype=np.int64)
+    size, parts = max(1, BLOCK_CELLS // max(first[0][0] if first else 0, 1)), []
+    for a in range(0, len(known), size):
+        block = ordered.filter(F.col("no").between(a, a + size - 1)).sort("no").toArrow()  # at most BLOCK_CELLS weights
+        weights = np.array(block["centroid"].to_pylist(), dtype=np.float64)
+        parts.append((a, a + len(weights), context.broadcast((weights, block["length"].to_numpy(), block["label_idx"].to_numpy()))))
+    blocks, step, most = Blocks(parts), NORM_STEP, min(k, n_classes)
+
+    def best(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.sqrt((x * x).sum(axis=1))
+        scores = np.full((len(x), most + len(rest)), -np.inf)
+        labels = np.full(scores.shape, n_classes, dtype=np.int64)
+        labels[:, most:] = rest
+        open_ = np.arange(len(x))
+        for _, _, (weights, lengths, names) in blocks.each():
+            for at in range(0, len(names), step):
+                # A little over the bound, for rounding.
+                open_ = open_[own[open_] * lengths[at] * (1 + 1e-9) >= scores[open_, most - 1]]
+                if not len(open_):
+                    break
+                if counter is not None:
+                    counter.add(len(open_))
+                found = x[open_] @ weights[at:at + step].T
+                every = np.hstack((scores[open_], found))
+                whose = np.hstack((labels[open_], np.broadcast_to(names[at:at + step], found.shape)))
+                order = np.lexsort((whose, -every), axis=-1)[:, :scores.shape[1]]
+                scores[open_], labels[open_] = np.take_along_axis(every, order, axis=1), np.take_along_axis(whose, order, axis=1)
+        return labels[:, :most], scores[:, :most]
+
+    @F.arrow_udf("array<struct<class_idx: int, score: double>>")
+    def ranked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            x = flat_lists(vectors)[0].reshape(len(vectors), -1)
+            found = [best(x[at:at + 4096]) for at in range(0, len(x), 4096)] if most and len(x) else []
+            cells = [np.concatenate([f[side].ravel() for f in found]) if found else np.empty(0) for side in (0, 1)]
+            ends = pa.array(np.arange(len(vectors) + 1, dtype="int32") * (most if found else 0))
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(
+                [pa.array(cells[0].astype(np.int32)), pa.array(cells[1], pa.float64())], names=["class_idx", "score"]))
+
+    return df.withColumn("best", ranked(as_double(F.col(vector_col))))
+
+
 def class_rows(scored: DataFrame, *keys: str, scores_col: str = "scores", value: str = "score") -> DataFrame:
     """Long form: one row per key and class that has a score."""
     rows = scored.select(*keys, F.posexplode(scores_col).alias("class_idx", value))

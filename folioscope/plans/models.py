@@ -88,6 +88,16 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.recommendations(vector_scores(spark, sf_dir), "vec_id", 3)
 
 
+@query("m10_bounded_recommendations", sql.with_(sql.VECTOR_MODELS, body="""
+SELECT vec_id, CAST(r AS INTEGER) AS rank, CAST(c AS INTEGER) AS class_idx FROM ordered WHERE model = 'baseline' AND r <= 3"""))
+def bounded_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best classes of every item, classes by falling length until no other can reach them."""
+    rows = split_vectors(spark, sf_dir)
+    centroids = clf.fit_centroids(rows.filter(F.col("split") == "train"), "embedding", "label_idx")
+    best = clf.bounded_best_classes(rows, centroids, n_vector_classes(spark, sf_dir), "embedding", 3)
+    return scoring.recommended(best, "vec_id")
+
+
 def nearest_scorer(spark: SparkSession, rows: DataFrame, n_classes: int) -> scoring.Scorer:
     """A scorer of the user's own: minus the squared distance to the mean vector of each class."""
     means = clf.fit_centroids(rows.filter(F.col("split") == "train"), "embedding", "label_idx").toArrow().to_pylist()  # one row per class

@@ -141,3 +141,26 @@ def test_training_stops_when_the_dev_rows_gain_nothing(spark):
     assert [a for *_, a in found.history] == [1.0, 1.0, 1.0] and found.best_pass == 1
     nobody = training.train_softmax(df, df.filter("id < 0"), "y", 2, 2, passes=2)
     assert [(n, a) for _, n, a in nobody.history] == [(0, None)] * 2 and nobody.best_pass == 1
+
+
+@pytest.mark.parametrize("cells, step, k", [(classifiers.BLOCK_CELLS, 128, 3), (700, 10, 5), (50, 7, 400)])
+def test_bounds_spare_most_classes(spark, monkeypatch, cells, step, k):
+    """The same answer as scoring every class; rows stop early where lengths differ."""
+    monkeypatch.setattr(classifiers, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(classifiers, "NORM_STEP", step)
+    rng = np.random.default_rng(2)
+    means = rng.normal(size=(300, 5)) * np.exp(rng.normal(size=(300, 1)) * 2)
+    means[40] = means[3]
+    asked = [(i, rng.normal(size=5).tolist()) for i in range(60)] + [(60, [0.0] * 5)]
+    centroids = spark.createDataFrame([(c, m.tolist()) for c, m in enumerate(means) if c % 50 != 7], "label_idx INT, centroid ARRAY<DOUBLE>")
+    df = spark.createDataFrame(asked, "id INT, v ARRAY<DOUBLE>").repartition(2)
+    met = spark.sparkContext.accumulator(0)
+    got = {r.id: r.best for r in classifiers.bounded_best_classes(df, centroids, 300, "v", k, met).collect()}
+    for i, v in asked:
+        scores = means @ np.array(v)
+        scores[7::50] = -np.inf
+        order = np.lexsort((np.arange(300), -scores.round(9)))[:k]
+        assert [c.class_idx for c in got[i]] == order.tolist()
+        assert np.allclose([c.score for c in got[i]], scores[order])
+    if k < 300:
+        assert met.value < 0.7 * len(asked) * -(-294 // step) or step == 128
