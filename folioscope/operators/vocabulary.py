@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import MAX_SEQUENCE_LENGTH, MAX_WORDS, pad_sequence, raw_tokens, tokens
 from folioscope.functions.vectors import as_double, l2_normalise, zero_vector
 from folioscope.operators.row_index import with_row_index
+from folioscope.operators.scoring import Blocks
 from folioscope.runtime import BROADCAST_BYTES, broadcast_if_small, measured_bytes, stage
 
 # Tokens whose vectors a task adds up in one numpy step.
@@ -159,33 +160,42 @@ def document_vectors(docs: DataFrame, embeddings: DataFrame, width: int, id_col:
     return docs.select(id_col, means(_all_words(text_col)).alias("vector"))
 
 
-def with_mean_vectors(rows: DataFrame, embeddings: DataFrame, width: int, sequence_col: str, out_col: str) -> DataFrame:
+def with_mean_vectors(rows: DataFrame, embeddings: DataFrame, width: int, sequence_col: str, out_col: str,
+                      max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add the mean embedding of an ARRAY<INT> of word indices; indices without a row in `embeddings`
-    (idx, vector; at most MAX_WORDS rows) do not count, zeros where none is left."""
-    table = embeddings.filter(F.col("idx") <= MAX_WORDS).select("idx", "vector").toArrow()
-    top = int(pc.max(table["idx"]).as_py() or 0)
-    matrix, known = np.zeros((top + 1, width)), np.zeros(top + 1, dtype=bool)
-    at = table["idx"].to_numpy()
-    if len(at):
-        matrix[at] = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    known[at] = True
-    shared = rows.sparkSession.sparkContext.broadcast((matrix, known))
-    slice_size = TOKEN_SLICE
+    (idx, vector) do not count, zeros where none is left.
+
+    The vectors travel in ranges of word indices of at most `max_bytes`, of which a task holds one at a time.
+    """
+    context = rows.sparkSession.sparkContext
+    top = embeddings.agg(F.max("idx")).first()[0] or 0
+    step, parts = max(1, max_bytes // (8 * max(width, 1))), []
+    for a in range(0, top + 1, step):
+        table = embeddings.filter(F.col("idx").between(a, a + step - 1)).select("idx", "vector").toArrow()  # at most `step` rows
+        matrix, known = np.zeros((min(step, top + 1 - a), width)), np.zeros(min(step, top + 1 - a), dtype=bool)
+        at = table["idx"].to_numpy() - a
+        if len(at):
+            matrix[at] = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        known[at] = True
+        parts.append((a, a + len(known), context.broadcast((matrix, known))))
+    blocks, slice_size = Blocks(parts), TOKEN_SLICE
 
     @F.arrow_udf("array<double>")
     def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vectors, known = shared.value
         for lists in batches:
             words = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
-            inside = (words < len(known)) & known[np.minimum(words, len(known) - 1)]
-            row, words = row[inside], words[inside]
-            result = np.zeros((len(lists), width))
-            for at in range(0, len(words), slice_size):
-                own = row[at:at + slice_size]
-                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                result[own[starts]] += np.add.reduceat(vectors[words[at:at + slice_size]], starts)
-            result /= np.maximum(np.bincount(row, minlength=len(lists)), 1)[:, None]
+            result, found = np.zeros((len(lists), width)), np.zeros(len(lists))
+            for first, end, (vectors, known) in blocks.each():
+                near = (words >= first) & (words < end)
+                near[near] = known[words[near] - first]
+                own_row, own_words = row[near], words[near] - first
+                found += np.bincount(own_row, minlength=len(lists))
+                for at in range(0, len(own_words), slice_size):
+                    own = own_row[at:at + slice_size]
+                    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    result[own[starts]] += np.add.reduceat(vectors[own_words[at:at + slice_size]], starts)
+            result /= np.maximum(found, 1)[:, None]
             ends = np.arange(0, len(lists) * width + 1, width, dtype="int32")
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel()))
 

@@ -36,6 +36,7 @@ embtab AS (
 @query("f4_tokenise", sql.with_(sql.TOKENS, body="""
 SELECT doc_id, count(*) AS n_words, md5(string_agg(word, ' ' ORDER BY pos)) AS words_md5 FROM tok GROUP BY doc_id"""))
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and fingerprint of the words of every text that has any; NULL texts and texts without words have no row."""
     words = texts(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("words"))
     return words.filter(F.size("words") > 0).select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5")

@@ -302,10 +302,11 @@ def test_softmax_learns_a_separable_label_and_gives_probabilities(spark):
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in scored)
 
 
-def test_mean_vectors_of_sequences(spark):
+@pytest.mark.parametrize("max_bytes", [1 << 28, 32])
+def test_mean_vectors_of_sequences(spark, max_bytes):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (3, [3.0, 4.0])], "idx INT, vector ARRAY<DOUBLE>")
     df = spark.createDataFrame([(0, [1, 3, 3, 2, 9]), (1, []), (2, [2])], "id INT, sequence ARRAY<INT>")
-    got = {r.id: r.v for r in voc.with_mean_vectors(df, table, 2, "sequence", "v").collect()}
+    got = {r.id: r.v for r in voc.with_mean_vectors(df, table, 2, "sequence", "v", max_bytes).collect()}
     assert np.allclose(got[0], [7 / 3, 8 / 3]) and got[1] == [0.0, 0.0] and got[2] == [0.0, 0.0]
 
 
