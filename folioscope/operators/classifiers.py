@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import as_double, concat_features
 from folioscope.operators.row_index import with_row_index
-from folioscope.operators.scoring import Blocks, Scorer, all_scores, flat_lists, term_block
-from folioscope.runtime import stage
+from folioscope.operators.scoring import Blocks, Scorer, all_scores, flat_lists, term_block, term_scores
+from folioscope.runtime import ship, stage
+
+ship(__name__)
 
 # Weights of one block of classes, held by a worker at a time: 64 MB of doubles.
 BLOCK_CELLS = 8_000_000
@@ -101,7 +103,7 @@ def naive_bayes_scorer(model: NaiveBayes, sequence: Column, fold: Column | None
         for a, b, block in blocks.each():
             for own in np.unique(number):
                 mine = number == own
-                out[mine, a:b] = block.scores(words[np.repeat(mine, lengths)], lengths[mine], int(own))
+                out[mine, a:b] = term_scores(block, words[np.repeat(mine, lengths)], lengths[mine], int(own))
         return out
 
     number = F.lit(0) if fold is None else F.coalesce(fold.cast("int") + 1, F.lit(0))

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import tokens
-from folioscope.runtime import broadcast_if_small, stage
+from folioscope.runtime import broadcast_if_small, ship, stage
+
+ship(__name__)
 
 # Documents and words of one block of postings.
 BLOCK_DOCS, BLOCK_WORDS = 16_384, 8_000_000

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import as_double
 from folioscope.operators.scoring import flat_lists
-from folioscope.runtime import stage
+from folioscope.runtime import ship, stage
+
+ship(__name__)
 
 # Directions iterated beside the wanted ones, change of a component at which it counts as found, most iterations.
 SPARE, TOLERANCE, MAX_PASSES = 8, 1e-9, 300

@@ -18,6 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.runtime import ship
+
+ship(__name__)
+
 # Scores of one chunk of rows: 32 MB.
 CHUNK_CELLS = 4_000_000
 # Weights looked up at a time.
@@ -131,38 +135,33 @@ def recommended(best: DataFrame, id_col: str) -> DataFrame:
 
 # -- naive Bayes -----------------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class TermBlock:
-    """Sparse weights of a range of classes for one or several models (rows of `prior`, `floor`, `gain`).
-
-    A word a class has not seen costs `floor`; only words it has seen have a cell, with what the word
-    gains over that. Cells of word w are slice [starts[w], starts[w + 1]) of `classes` and `gain`.
-    """
-
-    prior: np.ndarray
-    floor: np.ndarray
-    starts: np.ndarray
-    classes: np.ndarray
-    gain: np.ndarray
-
-    def scores(self, words: np.ndarray, lengths: np.ndarray, model: int) -> np.ndarray:
-        n, width = len(lengths), self.prior.shape[1]
-        out = self.prior[model] + lengths[:, None] * self.floor[model]
-        degree = self.starts[words + 1] - self.starts[words]
-        ends = np.cumsum(lengths)
-        looked = np.concatenate(([0], np.cumsum(degree)))[np.concatenate(([0], ends))]
-        row = 0
-        while row < n:
-            # Whole rows with a bounded number of cells; a longer row is alone.
-            stop = max(row + 1, int(np.searchsorted(looked, looked[row] + LOOKUPS, side="right")) - 1)
-            part = slice(ends[row] - lengths[row], ends[stop - 1])
-            count = degree[part]
-            source = np.arange(count.sum()) + np.repeat(self.starts[words[part]] - (np.cumsum(count) - count), count)
-            place = np.repeat(np.repeat(np.arange(stop - row), lengths[row:stop]), count) * width + self.classes[source]
-            sums = np.bincount(place, weights=self.gain[model][source], minlength=(stop - row) * width)
-            out[row:stop] += sums.reshape(stop - row, width)
-            row = stop
-        return out
+# Sparse weights of a range of classes for one or several models: (prior, floor, starts, classes, gain).
+# A word a class has not seen costs `floor`; only words it has seen have a cell, with what the word gains
+# over that. `prior`, `floor` and `gain` have a row per model; the cells of word w are slice
+# [starts[w], starts[w + 1]) of `classes` and `gain`.
+TermBlock = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def term_scores(block: TermBlock, words: np.ndarray, lengths: np.ndarray, model: int) -> np.ndarray:
+    """Scores of rows whose words stand in a row."""
+    prior, floor, starts, classes, gain = block
+    n, width = len(lengths), prior.shape[1]
+    out = prior[model] + lengths[:, None] * floor[model]
+    degree = starts[words + 1] - starts[words]
+    ends = np.cumsum(lengths)
+    looked = np.concatenate(([0], np.cumsum(degree)))[np.concatenate(([0], ends))]
+    row = 0
+    while row < n:
+        # Whole rows with a bounded number of cells; a longer row is alone.
+        stop = max(row + 1, int(np.searchsorted(looked, looked[row] + LOOKUPS, side="right")) - 1)
+        part = slice(ends[row] - lengths[row], ends[stop - 1])
+        count = degree[part]
+        source = np.arange(count.sum()) + np.repeat(starts[words[part]] - (np.cumsum(count) - count), count)
+        place = np.repeat(np.repeat(np.arange(stop - row), lengths[row:stop]), count) * width + classes[source]
+        sums = np.bincount(place, weights=gain[model][source], minlength=(stop - row) * width)
+        out[row:stop] += sums.reshape(stop - row, width)
+        row = stop
+    return out
 
 
 def term_block(n_models: int, width: int, smoothing: float, docs: np.ndarray, words: np.ndarray, totals: np.ndarray, n_classes: int,
@@ -182,7 +181,7 @@ def term_block(n_models: int, width: int, smoothing: float, docs: np.ndarray, wo
         left_out = cell_model == model
         without = 0 if model == 0 else np.bincount(place[left_out], weights=cell_count[left_out], minlength=len(keys))
         gain[model] = np.log1p((every - without) / smoothing)
-    return TermBlock(
+    return (
         np.log(docs + smoothing) - np.log(totals[:, None] + smoothing * n_classes),
         np.log(smoothing) - np.log(words + smoothing * max(width, 1)),
         np.searchsorted(keys, np.arange(width + 2, dtype=np.int64) * size), (keys % size).astype(np.int32), gain)

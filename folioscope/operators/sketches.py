@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.runtime import ship
+
+ship(__name__)
+
 # Logarithm of the number of cells of a distinct-count state: relative error about 1.04 / sqrt(2 ** 14), 0.8 %.
 DISTINCT_BITS = 14
 # Counters of a frequent-values summary: a value is missed, or undercounted, by at most rows / (COUNTERS + 1).

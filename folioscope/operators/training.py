@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import classifiers
 from folioscope.operators.scoring import CHUNK_CELLS, Blocks, Scorer, best_classes, flat_lists
-from folioscope.runtime import stage
+from folioscope.runtime import ship, stage
+
+ship(__name__)
 
 _WEIGHTS = "label_idx int, idx int, weight double"
 

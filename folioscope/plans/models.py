@@ -18,12 +18,15 @@ from folioscope.operators import evaluation as ev
 from folioscope.operators import scoring
 from folioscope.operators import training
 from folioscope.operators.pca import fit_components, project
+from folioscope.operators.scoring import flat_lists
 from folioscope.operators import vocabulary as voc
 from folioscope.operators.splits import split_by_key
 from folioscope.plans import sql, text
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load, texts
-from folioscope.runtime import stage
+from folioscope.runtime import ship, stage
+
+ship(__name__)
 
 BANDS = len(IMPACT_BAND_BOUNDS) + 1
 
@@ -104,7 +107,7 @@ def nearest_scorer(spark: SparkSession, rows: DataFrame, n_classes: int) -> scor
     table = {r["label_idx"]: np.array(r["centroid"]) for r in means}
 
     def scores(arrays: list[pa.Array]) -> np.ndarray:
-        vectors = scoring.flat_lists(arrays[0])[0].reshape(len(arrays[0]), -1)
+        vectors = flat_lists(arrays[0])[0].reshape(len(arrays[0]), -1)
         out = np.full((len(vectors), n_classes), -np.inf)
         for c, mean in table.items():
             out[:, c] = -((vectors - mean) ** 2).sum(axis=1)

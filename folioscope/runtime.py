@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,11 @@ _own_dirs: dict[str, str] = {}
 _own_paths: dict[str, list[str]] = {}
 
 
+def ship(module: str) -> None:
+    """Send the functions and classes of a module to tasks as they are, so that executors need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def build_session(app: str, cores: str = "*", **conf: str) -> SparkSession:
     """Session for tests and benchmarks; on a cluster spark-submit supplies the settings."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

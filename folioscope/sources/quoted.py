@@ -16,7 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.runtime import broadcast_if_small, stage
+from folioscope.runtime import broadcast_if_small, ship, stage
+
+ship(__name__)
 
 # What a range holds of a record: all of it, its end, a part without either end, its beginning.
 WHOLE, END, MIDDLE, BEGINNING = range(4)

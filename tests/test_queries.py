@@ -44,9 +44,11 @@ module = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(module)
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
-for name in ("m4_document_vectors", "f5_text_sequences", "m7_centroid_scores", "e6_bootstrap_multinomial", "m5_topic_classifier"):
+for name in ("m4_document_vectors", "f5_text_sequences", "m7_centroid_scores", "e6_bootstrap_multinomial", "m5_topic_classifier",
+             "f11_term_phrases", "s1_tsv_scan", "m12_pca", "w3_frequent_words", "m10_user_scorer", "m10_bounded_recommendations", "m5_descent_topic",
+             "m9_out_of_fold"):
     assert module.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 print("done")
 """
-    result = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    result = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert "done" in result.stdout, result.stderr[-2000:]
