@@ -5,8 +5,10 @@ of equal ones); equal windows choose equal anchors at equal places. Runs of wind
 form a context. Anchors that occur once anywhere are done with. Of the others, occurrences with the
 same context are repeats of the first as a whole; the different contexts of one anchor are laid
 side by side, their suffixes are sorted by linear grouping, and neighbours that agree in 100 bytes are
-repeats too. The contexts of an anchor with very many different ones are first cut to parts of
-few windows each, which are kept apart by the bytes all windows of a part have in common.
+repeats too. Only the stretch of a context that another one shares around the anchor is sorted. The
+contexts of an anchor with very many different ones are first cut in two, the windows that begin near
+the anchor and those that begin far before it, each kept apart by the 66 bytes that all its windows
+hold; where very many still share these, they are cut to parts of fewer windows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ GRAM = 32
 BLOCK = 1 << 20
 # Different contexts of one anchor that are sorted together; beyond, contexts are cut to smaller parts.
 KINDS = 500
-# Window starts of a part. A part of one window has no different contexts.
-PARTS = (9, 1)
+# Window starts of a part. Two parts of the first size make up a context; a part of one window has no
+# different contexts.
+HALF = (LENGTH - GRAM) // 2 + 1
+PARTS = (HALF, 9, 1)
 
 
 def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,47 +151,73 @@ def earlier_windows(contexts: list[bytes], places: list[tuple]) -> list[list[lis
     return runs
 
 
-def may_share(contexts: list[bytes], at: list[int]) -> list[int]:
-    """Contexts (with the anchor at these places) that may have a window of another one.
+def _alike(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
-    A window holds its anchor and either what is around it up to half a window more to the left or
-    to the right; a context alone in both halves is out.
+
+def _most_alike(strings: list[bytes]) -> list[int]:
+    """Per string the longest beginning that another one has too: that of a neighbour in sorted order."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    best = [0] * len(strings)
+    for x, y in zip(order, order[1:]):
+        own = _alike(strings[x], strings[y])
+        best[x], best[y] = max(best[x], own), own
+    return best
+
+
+def shared_stretches(contexts: list[bytes], at: list[int]) -> list[tuple[int, int]]:
+    """Per context (with the anchor at these places) the bytes from begin to end that others may have around the anchor.
+
+    Windows of two contexts can only be equal at the same distance from the anchor, so what they share
+    lies within these bytes.
     """
-    half = (LENGTH - GRAM) // 2
-    seen: dict[tuple, int] = {}
-    keys = []
-    for context, q in zip(contexts, at):
-        own = []
-        if q > half:
-            own.append((0, context[q - half:q + GRAM]))
-        if len(context) - q >= GRAM + half:
-            own.append((1, context[q:q + GRAM + half]))
-        keys.append(own)
-        for key in own:
-            seen[key] = seen.get(key, 0) + 1
-    return [k for k, own in enumerate(keys) if any(seen[key] > 1 for key in own)]
+    left = _most_alike([c[:q][::-1] for c, q in zip(contexts, at)])
+    right = _most_alike([c[q:] for c, q in zip(contexts, at)])
+    return [(q - x, q + y) for q, x, y in zip(at, left, right)]
 
 
 def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, [(c, context, last, doc_id, h, place)]) to rows (anchor, c, runs) of contexts with repeats."""
     for batch in batches:
         anchors, ids, found = [], [], []
-        for anchor, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            near = may_share([k["context"] for k in kinds], [k["place"] >> 8 & 255 for k in kinds])
+        lists = batch.column(1)
+        flat = lists.flatten()
+        bounds = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy())))).tolist()
+        contexts, place = flat.field("context").to_pylist(), flat.field("place").to_numpy()
+        names, last, doc, h = (flat.field(c) for c in ("c", "last", "doc_id", "h"))
+        before, position = (place >> 8 & 255).tolist(), (place >> 16).tolist()
+        for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            near = [(a + k, x, y) for k, (x, y) in enumerate(shared_stretches(contexts[a:b], before[a:b])) if y - x >= LENGTH]
             if len(near) < 2:
                 continue
-            kinds = [kinds[k] for k in near]
-            places = [(k["last"], 0 if k["last"] else k["doc_id"], k["h"], (k["place"] >> 16) - (k["place"] >> 8 & 255)) for k in kinds]
-            for kind, runs in zip(kinds, earlier_windows([k["context"] for k in kinds], places)):
+            places = [(last[k].as_py(), 0 if last[k].as_py() else doc[k].as_py(), h[k].as_py(), position[k] - before[k] + x) for k, x, _ in near]
+            for (k, x, _), runs in zip(near, earlier_windows([contexts[k][x:y] for k, x, y in near], places)):
                 if runs:
-                    anchors.append(anchor)
-                    ids.append(kind["c"])
-                    found.append(runs)
+                    anchors.append(batch.column(0)[row].as_py())
+                    ids.append(names[k].as_py())
+                    found.append([[s + x, e + x] for s, e in runs])
         yield pa.RecordBatch.from_arrays(
             [pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int64())))],
             names=["anchor", "c", "runs"])
 
 
+def halves(contexts: DataFrame) -> DataFrame:
+    """Contexts in two parts of HALF window starts, as `cut_parts` makes them, by expressions."""
+    before, least = (F.shiftright("place", by).bitwiseAND(F.lit(255)).cast("int") for by in (8, 0))
+    parts = []
+    for part in (0, 1):
+        near, far = F.greatest(least, F.lit(part * HALF)), F.least(before, F.lit(part * HALF + HALF - 1))
+        shared = F.substring("context", before - part * HALF + 1, F.lit(LENGTH - HALF + 1))
+        place = F.shiftleft(F.shiftright("place", 16), 16).bitwiseOR(F.shiftleft(far.cast("bigint"), 8)).bitwiseOR(near.cast("bigint"))
+        parts.append(contexts.filter(near <= far).select(
+            F.xxhash64(shared, F.lit(part)).alias("anchor"), "doc_id", "h", place.alias("place"),
+            F.substring("context", before - far + 1, far - near + LENGTH).alias("context")))
+    return parts[0].unionByName(parts[1])
+
+
 def cut_parts(size: int):
     """Task function: (doc_id, h, place, context) to rows (anchor, doc_id, h, place, context) of parts.
 
@@ -273,7 +303,8 @@ def repeated_bytes(texts: DataFrame, kinds: int = KINDS) -> DataFrame:
         found.append(spans)
         if size is None or rest.isEmpty():
             break
-        parts = rest.select("doc_id", "h", "place", "context").mapInArrow(cut_parts(size), schema)
+        rest = rest.select("doc_id", "h", "place", "context")
+        parts = halves(rest) if size == HALF else rest.mapInArrow(cut_parts(size), schema)
         contexts = stage_once(parts.withColumn("c", F.xxhash64("context")), "context-parts")
     return reduce(DataFrame.unionByName, found)
 

@@ -282,6 +282,33 @@ def test_repeated_strings_in_cut_up_passages(spark, kinds):
     check_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), rows, kinds)
 
 
+@pytest.mark.parametrize("kinds", [500, 20])
+def test_one_anchor_of_thousands_of_contexts(spark, kinds):
+    """A passage in all documents, shorter and longer than a window, between other bytes."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    rows = []
+    for i in range(2500):
+        a, b = rng.choice([(0, 50), (0, 85), (10, 120), (0, 130)])
+        side = lambda: "".join(rng.choice("uvwxyz") for _ in range(rng.randint(0, 90)))
+        rows.append((i, side() + line[a:b] + side()))
+    check_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), rows, kinds)
+
+
+def test_stretches_hold_all_shared_windows():
+    rng = random.Random(5)
+    for _ in range(200):
+        anchor = bytes(rng.choices(b"ab", k=32))
+        at = [rng.randint(0, 68) for _ in range(rng.randint(2, 6))]
+        contexts = [bytes(rng.choices(b"ab", [9, 1], k=q)) + anchor + bytes(rng.choices(b"ab", [9, 1], k=rng.randint(68, 100))) for q in at]
+        for k, (x, y) in enumerate(suffix_dedup.shared_stretches(contexts, at)):
+            for j in range(len(contexts)):
+                for p in range(min(at[k], at[j]) + 1):
+                    own, other = (c[q - p:q - p + 100] for c, q in ((contexts[k], at[k]), (contexts[j], at[j])))
+                    if j != k and own == other and len(own) == 100:
+                        assert x <= at[k] - p and at[k] - p + 100 <= y
+
+
 def test_repeated_strings_with_awkward_rows(awkward, nothing):
     got = suffix_dedup.without_repeats(awkward).collect()
     assert len(got) == awkward.count()
