@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.runtime import new_path
+from folioscope.runtime import new_path, shared_dir
 
 # The ASCII white space all contracts name, as a character class.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -71,3 +71,13 @@ def stage_once(df: DataFrame, label: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+
+
+def release(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more, because what was made of it is written."""
+    spark = staged.sparkSession
+    context, shared = spark.sparkContext, shared_dir(spark).split(":")[-1].lstrip("/")
+    for folder in {name.rsplit("/", 1)[0] for name in staged.inputFiles()}:
+        if folder.split(":")[-1].lstrip("/").startswith(shared + "/"):
+            target = context._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

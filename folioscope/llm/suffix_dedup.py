@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keyed_texts, same_document, stage_once
+from folioscope.llm.common import keyed_texts, release, same_document, stage_once
 from folioscope.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -291,12 +291,14 @@ def repeated_bytes(texts: DataFrame, kinds: int = KINDS) -> DataFrame:
         find_anchors, f"anchor bigint, doc_id {id_type}, h bigint, place bigint"), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     candidates = stage_once(anchors.join(repeated, "anchor"), "repeated-anchors")
+    release(anchors)
     lists = candidates.groupBy("doc_id", "h").agg(F.collect_set(F.struct("anchor", "place")).alias("found"))
     with_text = binary.join(lists, same_document(binary, lists)).select(
         binary["doc_id"], binary["h"], "text", "found")
     key = f"anchor bigint, doc_id {id_type}, h bigint, place bigint"
     schema = f"anchor bigint, doc_id {id_type}, h bigint, place bigint, context binary"
     contexts = stage_once(with_text.mapInArrow(cut_contexts, schema).withColumn("c", F.xxhash64("context")), "contexts")
+    release(candidates)
     found = []
     for size in (*PARTS, None):
         spans, rest = _resolve(contexts, kinds if size else None)
