@@ -27,11 +27,37 @@ def suffix_array(symbols: list[int]) -> list[int]:
     for g, own in enumerate(members):
         for i in own:
             group[i] = g
+    size = [len(own) for own in members]
     done = [False] * (n + 1)
     smaller = [-1] * (n + 1)     # previous position of a smaller group
     skip = list(range(-1, n))    # where to look next on the left of a processed position
     current = len(members) - 1
     while current > 0:
+        if size[current] == 1:
+            # A group of one: at most one position is pointed to, and if it is alone it stays.
+            i = members[current][0] if len(members[current]) == 1 else next(i for i in members[current] if group[i] == current)
+            done[i] = True
+            j = skip[i]
+            while j >= 0 and done[j]:
+                j = skip[j]
+            k = i
+            while k >= 0 and done[k] and skip[k] != j:
+                skip[k], k = j, skip[k]
+            smaller[i] = j
+            if j >= 0:
+                old = group[j]
+                if size[old] > 1:
+                    new, up = len(members), above[old]
+                    members.append([j])
+                    size.append(1)
+                    size[old] -= 1
+                    below.append(old)
+                    above.append(up)
+                    above[old] = new
+                    below[up] = new
+                    group[j] = new
+            current = below[current]
+            continue
         own = [i for i in members[current] if group[i] == current]
         members[current] = own
         for i in own:
@@ -60,19 +86,22 @@ def suffix_array(symbols: list[int]) -> list[int]:
                     if new is None:
                         new = fresh[old] = len(members)
                         members.append([])
+                        size.append(0)
                         up = above[old]
                         below.append(old)
                         above.append(up)
                         above[old] = new
                         below[up] = new
                     members[new].append(j)
+                    size[new] += 1
+                    size[old] -= 1
                     group[j] = new
         current = below[current]
     # Places of the groups, in ascending order.
     place, at, g = [0] * len(members), 0, 0
     while g >= 0:
         place[g] = at
-        at += sum(1 for i in members[g] if group[i] == g)
+        at += size[g]
         g = above[g]
     order, placed = [-1] * (n + 1), [False] * (n + 1)
     order[0], placed[n] = n, True

@@ -98,19 +98,34 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text, [(anchor, place)]) to rows (anchor, doc_id, h, place, context)."""
+    """(doc_id, h, text, [(anchor, place)]) to rows (anchor, doc_id, h, place, context); a place counts once."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            found = batch.column(3)[row].values
+        rows, anchors, places, contexts = [], [], [], []
+
+        def closed():
+            keys = batch.select([0, 1]).take(pa.array(np.concatenate(rows)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(anchors)), *keys.columns, pa.array(np.concatenate(places)), pa.array(contexts, pa.binary())],
+                names=["anchor", "doc_id", "h", "place", "context"])
+
+        lists = batch.column(3)
+        flat, ends = lists.flatten(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+        every_anchor, every_place = flat.field("anchor").to_numpy(), flat.field("place").to_numpy()
+        for row, end in enumerate(ends.tolist()):
+            own = slice(0 if row == 0 else int(ends[row - 1]), end)
+            place, first = np.unique(every_place[own], return_index=True)
             data = batch.column(2)[row].as_buffer().to_pybytes()
-            place = found.field("place").to_numpy()
             at = place >> 16
-            begins, ends = (at - (place >> 8 & 255)).tolist(), (at - (place & 255) + LENGTH).tolist()
-            keys = batch.select([0, 1]).take(pa.array(np.full(len(place), row)))
-            yield pa.RecordBatch.from_arrays(
-                [found.field("anchor"), *keys.columns, found.field("place"),
-                 pa.array([data[b:e] for b, e in zip(begins, ends)], pa.binary())],
-                names=["anchor", "doc_id", "h", "place", "context"])
+            begins, stops = (at - (place >> 8 & 255)).tolist(), (at - (place & 255) + LENGTH).tolist()
+            rows.append(np.full(len(place), row))
+            anchors.append(every_anchor[own][first])
+            places.append(place)
+            contexts += [data[b:e] for b, e in zip(begins, stops)]
+            if len(contexts) > 50_000:
+                yield closed()
+                rows, anchors, places, contexts = [], [], [], []
+        if contexts:
+            yield closed()
 
 
 def earlier_windows(contexts: list[bytes], places: list[tuple]) -> list[list[list[int]]]:
@@ -119,25 +134,29 @@ def earlier_windows(contexts: list[bytes], places: list[tuple]) -> list[list[lis
     `places[k]` is the place of the first window of context k, its last part the position.
     """
     marks = len(contexts)
-    symbols, owner, inner = [], [], []
+    symbols: list[int] = []
     for k, context in enumerate(contexts):
-        symbols.extend(byte + marks for byte in context)
+        symbols += [byte + marks for byte in context]
         symbols.append(k)  # end marks differ and sort before all bytes
-        owner.extend([k] * (len(context) + 1))
-        inner.extend(range(len(context) + 1))
-    starts = [i for i in suffix_array(symbols) if inner[i] <= len(contexts[owner[i]]) - LENGTH]
-    windows = [contexts[owner[i]][inner[i]:inner[i] + LENGTH] for i in starts]
+    sizes = np.array([len(context) for context in contexts])
+    opens = np.cumsum(sizes + 1) - sizes - 1
+    order = np.array(suffix_array(symbols))
+    holder = np.searchsorted(opens, order, side="right") - 1
+    inside = order - opens[holder]
+    full = inside <= sizes[holder] - LENGTH
+    owners, inner = holder[full].tolist(), inside[full].tolist()
+    windows = [contexts[k][i:i + LENGTH] for k, i in zip(owners, inner)]
     found: list[list[int]] = [[] for _ in contexts]
     begin = 0
-    for end in range(1, len(starts) + 1):
-        if end < len(starts) and windows[end] == windows[begin]:
+    for end in range(1, len(windows) + 1):
+        if end < len(windows) and windows[end] == windows[begin]:
             continue
         if end - begin > 1:
-            own = [(*places[owner[i]][:-1], places[owner[i]][-1] + inner[i]) for i in starts[begin:end]]
+            own = [(*places[owners[i]][:-1], places[owners[i]][-1] + inner[i]) for i in range(begin, end)]
             first = min(own)
-            for i, place in zip(starts[begin:end], own):
+            for i, place in zip(range(begin, end), own):
                 if place != first:
-                    found[owner[i]].append(inner[i])
+                    found[owners[i]].append(inner[i])
         begin = end
     runs = []
     for own in found:
@@ -292,7 +311,7 @@ def repeated_bytes(texts: DataFrame, kinds: int = KINDS) -> DataFrame:
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     candidates = stage_once(anchors.join(repeated, "anchor"), "repeated-anchors")
     release(anchors)
-    lists = candidates.groupBy("doc_id", "h").agg(F.collect_set(F.struct("anchor", "place")).alias("found"))
+    lists = candidates.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
     with_text = binary.join(lists, same_document(binary, lists)).select(
         binary["doc_id"], binary["h"], "text", "found")
     key = f"anchor bigint, doc_id {id_type}, h bigint, place bigint"
