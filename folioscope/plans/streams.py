@@ -16,8 +16,9 @@ from folioscope.streaming.incremental import (
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a stream, be it one file or a folder of files: a pattern stands for both."""
     schema = load(spark, sf_dir, "documents").schema
-    return stream_table(spark, sf_dir, schema, glob="documents.parquet")
+    return stream_table(spark, f"{sf_dir}/documents.parque[t]", schema, glob="*")
 
 
 @query("t1_incremental_counts", sql.with_(sql.TOKENS, body="SELECT word, count(*) AS n FROM tok GROUP BY word"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.operators.vocabulary import fit_vocabulary, token_counts
+from folioscope.plans import streams
 from folioscope.runtime import new_path
 from folioscope.streaming.incremental import (
     latest_vocabulary, latest_word_counts, run_append, run_vocabulary, run_word_counts, stream_table,
@@ -45,3 +46,13 @@ def test_append_continues_where_it_stopped(spark, docs):
     docs.filter("doc_id = 7").write.mode("append").parquet(source)
     run()
     assert spark.read.parquet(out).count() == 7
+
+
+def test_documents_may_be_a_folder_of_files(spark):
+    """One table as one file and as a folder of several: the same rows reach the streams."""
+    folder = new_path(spark, "tables")
+    rows = [(i, f"word{i % 3} The cat", "en", f"src{i % 4}", 15) for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars INT")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    assert {tuple(r) for r in streams.incremental_counts(spark, folder).collect()} == {tuple(r) for r in token_counts(docs).collect()}
+    assert streams.incremental_append(spark, folder).count() > 0
