@@ -18,6 +18,8 @@ from folioscope.sources import commit_log, html, tabular
 from folioscope.sources.article_records import RECORD_SEPARATOR, read_article_records
 from folioscope.sources.journal_list import assemble_records, parse_record_rows, tagged_lines
 
+# Text that one task writes to a file: several ranges of a scan.
+FILE_BYTES = 512 * 1024 * 1024
 ARTICLE_COLUMNS = ["abstract", "pmid", "category", "journal_abbrev", "impact_factor"]
 
 
@@ -34,9 +36,12 @@ def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s1_single_file", sql.with_(sql.ARTICLES, body="""
 SELECT category, count(*) AS n, count(DISTINCT pmid) AS ids, CAST(sum(length(abstract)) AS BIGINT) AS chars FROM articles GROUP BY category"""))
 def single_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All articles in one file with line breaks inside values, read in ranges by several tasks."""
+    """All articles in one file with line breaks inside values, read in ranges by several tasks.
+
+    A table above FILE_BYTES goes to several such files, as one task writes a file.
+    """
     path = new_path(spark, "articles-one-file")
-    tabular.write_delimited(articles(spark, sf_dir).select(*ARTICLE_COLUMNS).coalesce(1), path)
+    tabular.write_few_files(articles(spark, sf_dir).select(*ARTICLE_COLUMNS), path, FILE_BYTES)
     back = tabular.read_delimited(spark, path, tabular.ARTICLE_SCHEMA)
     return back.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("pmid").alias("ids"), F.sum(F.length("abstract").cast("bigint")).alias("chars"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.runtime import new_path
+from folioscope.runtime import measured_bytes, new_path
 from folioscope.sources.quoted import read_quoted
 
 ARTICLE_SCHEMA = (
@@ -40,6 +40,15 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "over
     df.write.mode(mode).options(**_DELIMITED).csv(path, sep=sep)
 
 
+def write_few_files(df: DataFrame, path: str, file_bytes: int, sep: str = "\t") -> None:
+    """`write_delimited` to as few files as `file_bytes` of values per file allow: one for a small table.
+
+    A file is written by one task, so their number has to follow the size of the table.
+    """
+    files = max(1, -(-(measured_bytes(df) or 0) // file_bytes))
+    write_delimited(df.coalesce(files), path, sep)
+
+
 def read_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """One row per line, or per record when the record separator is given."""
     reader = spark.read

@@ -119,3 +119,20 @@ def test_frequent_values_are_bounded(spark, counters):
     got = {r.value: (r.low, r.high) for r in sketches.frequent_values(merged, least).collect()}
     assert {v for v, n in count.items() if n >= least} <= set(got)
     assert all(low <= count[v] <= high for v, (low, high) in got.items())
+
+
+def test_a_large_table_goes_to_several_single_task_files(spark, monkeypatch):
+    """One task writes a file, so files follow the size; every row comes back whole, line breaks included."""
+    from folioscope.plans import parsing
+
+    table, paths = new_path(spark, "tables"), []
+    rows = [(i, f'line {i}\n"quoted"\tand more', f"l{i % 2}", f"src{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    docs.repartition(4).write.parquet(f"{table}/documents.parquet")
+    monkeypatch.setattr(parsing, "new_path", lambda *a: paths.append(new_path(*a)) or paths[-1])
+    for size, files in ((1 << 29, 1), (1500, None)):
+        monkeypatch.setattr(parsing, "FILE_BYTES", size)
+        got = {r.category: (r.n, r.ids, r.chars) for r in parsing.single_file_scan(spark, table).collect()}
+        assert got == {f"l{k}": (30, 30, sum(len(t) for i, t, *_ in rows if i % 2 == k)) for k in range(2)}
+        written = len(spark.read.text(paths[-1]).inputFiles())
+        assert written == files if files else written > 1
