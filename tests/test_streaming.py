@@ -56,3 +56,13 @@ def test_documents_may_be_a_folder_of_files(spark):
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     assert {tuple(r) for r in streams.incremental_counts(spark, folder).collect()} == {tuple(r) for r in token_counts(docs).collect()}
     assert streams.incremental_append(spark, folder).count() > 0
+
+
+def test_vocabulary_batches_are_written_by_many_tasks(spark, monkeypatch):
+    paths, folder = {}, new_path(spark, "tables")
+    docs = spark.createDataFrame([(i, f"word{i % 5} the word{i}") for i in range(90)], "doc_id BIGINT, text STRING")
+    docs.repartition(8).write.option("parquet.block.size", 1).parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(streams, "new_path", lambda spark, name: paths.setdefault(name, new_path(spark, name)))
+    monkeypatch.setattr(streams, "load", lambda spark, d, name: spark.read.parquet(f"{d}/{name}.parquet").repartition(5))
+    assert {tuple(r) for r in streams.incremental_vocabulary(spark, folder).collect()} == {tuple(r) for r in fit_vocabulary(docs).collect()}
+    assert len(spark.read.parquet(paths["stream-docs"]).inputFiles()) > 3
