@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import as_double, concat_features
 from folioscope.operators.row_index import with_row_index
-from folioscope.operators.scoring import Blocks, Scorer, all_scores, flat_lists, term_block, term_scores
+from folioscope.operators.scoring import Blocks, Scorer, all_probabilities, all_scores, flat_lists, shares, term_block, term_scores
 from folioscope.runtime import ship, stage
 
 ship(__name__)
@@ -123,14 +123,12 @@ def softmax(scores: Column) -> Column:
     """Probabilities of log scores, row by row in Arrow batches."""
 
     @F.arrow_udf("array<double>")
-    def shares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-            e = np.exp(values - values.max(axis=1, keepdims=True)) if values.size else values
-            e = e / e.sum(axis=1, keepdims=True) if e.size else e
-            yield pa.ListArray.from_arrays(lists.offsets, pa.array(e.ravel()))
+            yield pa.ListArray.from_arrays(lists.offsets, pa.array(shares(values).ravel()))
 
-    return shares(scores)
+    return probabilities(scores)
 
 
 def term_features(sequences: DataFrame, width: int, sequence_col: str = "sequence") -> DataFrame:
@@ -272,12 +270,12 @@ def multi_task(features: DataFrame, train: Column, tasks: dict[str, tuple[str, i
     `tasks` maps task name to (label-index column, number of classes); rows without a label are
     scored but not fitted.
     """
-    shares = []
+    tables = []
     for task, (label_col, n_classes) in tasks.items():
         model = fit_naive_bayes(features.filter(train), label_col, n_classes, width)
-        probabilities = softmax(all_scores(naive_bayes_scorer(model, F.col("sequence"))))
-        shares.append(F.struct(F.lit(task).alias("task"), probabilities.alias("probabilities")))
-    rows = features.select(id_col, F.explode(F.array(*shares)).alias("__t"))
+        probabilities = all_probabilities(naive_bayes_scorer(model, F.col("sequence")))
+        tables.append(F.struct(F.lit(task).alias("task"), probabilities.alias("probabilities")))
+    rows = features.select(id_col, F.explode(F.array(*tables)).alias("__t"))
     return rows.select("__t.task", id_col, F.posexplode("__t.probabilities").alias("class_idx", "prob"))
 
 

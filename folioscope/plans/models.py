@@ -340,12 +340,12 @@ def with_helper_probabilities(features: TextFeatures, folds: int = 0) -> DataFra
     fold = F.pmod("doc_id", F.lit(folds)) if folds else None
     own = F.when(F.col("split") == "train", fold) if folds else None
 
-    def add(rows: DataFrame, label_col: str, n_classes: int, name: str) -> DataFrame:
+    def helper(label_col: str, n_classes: int) -> scoring.Scorer:
         model = clf.fit_naive_bayes(train, label_col, n_classes, features.width, fold=fold, n_folds=folds)
-        return clf.score_naive_bayes(model, rows, fold=own).withColumnRenamed("probabilities", name).drop("scores")
+        return clf.naive_bayes_scorer(model, F.col("sequence"), own)
 
-    both = add(add(features.rows, "topic_idx", features.n_topics, "__topic"), "band", BANDS, "__band")
-    return both.withColumn("hidden", concat_features("__topic", "__band")).drop("__topic", "__band")
+    both = scoring.all_probabilities(helper("topic_idx", features.n_topics), helper("band", BANDS))
+    return features.rows.withColumn("hidden", both)
 
 
 _HIDDEN = """hidden AS (SELECT doc_id, CAST(c AS BIGINT) AS dim, prob AS v FROM nbt

@@ -164,3 +164,52 @@ def test_bounds_spare_most_classes(spark, monkeypatch, cells, step, k):
         assert np.allclose([c.score for c in got[i]], scores[order])
     if k < 300:
         assert met.value < 0.7 * len(asked) * -(-294 // step) or step == 128
+
+
+def test_functions_get_bounded_lists(spark, monkeypatch):
+    """However long the texts of a batch are, a chunk holds few of their words; a longer text is alone."""
+    monkeypatch.setattr(scoring, "CHUNK_VALUES", 100)
+    rows = [(i, [1] * (i % 40)) for i in range(300)] + [(300, [1] * 250), (301, None)]
+    df = spark.createDataFrame(rows, "id INT, sequence ARRAY<INT>").coalesce(1)
+
+    def words(arrays):
+        return np.full((len(arrays[0]), 1), float(len(arrays[0].flatten())))
+
+    scorer = scoring.Scorer([F.col("sequence")], 1, words)
+    found = {r.id: r.s[0] for r in df.select("id", scoring.all_scores(scorer).alias("s")).collect()}
+    assert len(found) == len(rows) and found[300] == 250 and max(v for i, v in found.items() if i != 300) <= 100
+    best = scoring.best_classes(df, scorer, 1).collect()
+    assert len(best) == len(rows) and max(r.best[0].score for r in best if r.id != 300) <= 100
+
+
+def test_text_functions_in_short_slices(spark, monkeypatch):
+    from folioscope.operators import vocabulary as voc
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9))) for i in range(100)], "doc_id INT, text STRING").coalesce(1)
+    known = spark.createDataFrame([(f"w{j}", j + 1, [float(j), 1.0]) for j in range(6)], "word STRING, idx INT, vector ARRAY<DOUBLE>")
+
+    def both():
+        ids = voc.text_sequences(docs, known, 5)
+        means = voc.with_mean_vectors(ids, known, 2, "sequence", "mean")
+        return sorted(means.collect()), sorted(voc.document_vectors(docs, known, 2).collect())
+
+    whole = both()
+    monkeypatch.setattr(voc, "CHUNK_VALUES", 7)
+    assert both() == whole
+
+
+def test_helper_probabilities_take_one_function(spark, sf_dir):
+    """Probabilities of both helpers come from one Python worker per task and equal those taken one by one."""
+    from folioscope.plans import models
+
+    features = models.text_features(spark, sf_dir)
+    hidden = models.with_helper_probabilities(features, 3)
+    assert plan_of(hidden).count("ArrowEvalPython") == 1
+    train, fold = features.rows.filter("split = 'train'"), F.pmod("doc_id", F.lit(3))
+    own = F.when(F.col("split") == "train", fold)
+    want = {}
+    for label, n in (("topic_idx", features.n_topics), ("band", models.BANDS)):
+        model = fit_naive_bayes(train, label, n, features.width, fold=fold, n_folds=3)
+        for r in score_naive_bayes(model, features.rows, fold=own).collect():
+            want.setdefault(r.doc_id, []).extend(r.probabilities)
+    assert {r.doc_id: r.hidden for r in hidden.collect()} == want
