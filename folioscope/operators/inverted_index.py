@@ -21,8 +21,8 @@ from folioscope.runtime import broadcast_if_small, ship, stage
 
 ship(__name__)
 
-# Documents and words of one block of postings.
-BLOCK_DOCS, BLOCK_WORDS = 16_384, 8_000_000
+# Documents and words of one block of postings; a worker needs about 100 bytes per word while it makes a block.
+BLOCK_DOCS, BLOCK_WORDS = 16_384, 1_000_000
 # Words that are handed to the scan as a filter; more are joined only.
 PUSHED_WORDS = 1000
 # Terms that share the postings they read.
@@ -52,14 +52,14 @@ def undo_steps(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def segment(ids: np.ndarray, words: pa.Array, lengths: np.ndarray, block: int) -> pa.RecordBatch:
     """Postings of one block: ids of its documents, all their words in a row, and each document's number of words."""
     order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), dtype=np.int64)
+    rank = np.empty(len(ids), dtype=np.int32)
     rank[order] = np.arange(len(ids))
     ids = ids[order]
     coded = words.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    code = coded.indices.to_numpy(zero_copy_only=False)
     doc = np.repeat(rank, lengths)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    sort = np.lexsort((place, doc, code))
+    place = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    sort = np.lexsort((doc, code))  # the words of a document are in order already
     code, doc, place = code[sort], doc[sort], place[sort]
     opens = np.flatnonzero(np.concatenate((np.ones(min(len(code), 1), bool), (np.diff(code) != 0) | (np.diff(doc) != 0))))
     first = np.flatnonzero(np.diff(code[opens], prepend=-1))
@@ -101,12 +101,17 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             return segment(whole.column("id").to_numpy(), lists.flatten(), lengths, block)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                held.append(part)
-                n_docs += part.num_rows
-                n_words += len(part.column(1).flatten())
-                if n_docs >= block_docs or n_words >= block_words:
+            sizes = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:
+                # As many documents as the block has room for; one that is longer than a block is alone.
+                done = sizes[start - 1] if start else 0
+                stop = min(int(np.searchsorted(sizes, done + block_words - n_words, side="right")), start + block_docs - n_docs)
+                if stop > start or not n_docs:
+                    stop = max(stop, start + 1)
+                    held.append(batch.slice(start, stop - start))
+                    n_docs, n_words, start = n_docs + stop - start, n_words + int(sizes[stop - 1] - done), stop
+                if start < batch.num_rows or n_docs >= block_docs or n_words >= block_words:
                     yield out()
                     block, held, n_docs, n_words = block + 1, [], 0, 0
         if n_docs:
@@ -199,19 +204,25 @@ def search_index(index: DataFrame, terms: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         postings, required, excluded, figures = Postings(table), {}, {}, {}
-        for row, listed in enumerate(table.column("uses").to_pylist()):
-            for use in listed:
-                figures[use["term"]] = use["needed"], use["phrase"]
-                if use["role"] == 0:
-                    required.setdefault(use["term"], {})[use["at"]] = row
-                else:
-                    excluded.setdefault(use["term"], []).append(row)
+        listed = table.column("uses").combine_chunks()
+        row = np.repeat(np.arange(len(listed)), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        uses = [a.to_numpy(zero_copy_only=False) for a in listed.flatten().flatten()]
+        term, role, _, needed, _ = uses
+        # Most terms of a slot miss a word in the block and are done here.
+        own, first, n = np.unique(term[role == 0], return_index=True, return_counts=True)
+        whole = own[n == needed[role == 0][first]]
+        for i in np.flatnonzero(np.isin(term, whole)):
+            key, kind, at, _, phrase = (u[i].item() for u in uses)
+            figures[key] = phrase
+            if kind == 0:
+                required.setdefault(key, {})[at] = int(row[i])
+            else:
+                excluded.setdefault(key, []).append(int(row[i]))
         hits, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for term, (needed, phrase) in figures.items():
-            if len(required.get(term, ())) == needed:
-                found = postings.matches(required[term], excluded.get(term, []), phrase)
-                hits.append(found)
-                numbers.append(np.full(len(found), term))
+        for term, phrase in figures.items():
+            found = postings.matches(required[term], excluded.get(term, []), phrase)
+            hits.append(found)
+            numbers.append(np.full(len(found), term))
         return pa.table({"term": np.concatenate(numbers), "doc_id": np.concatenate(hits)})
 
     hits = met.groupBy("slot", "block").applyInArrow(run, "term bigint, doc_id bigint")

@@ -67,6 +67,22 @@ def test_index_reads_only_the_words_asked(spark):
     assert index.filter("word = 'word7'").count() == 1
 
 
+@pytest.mark.parametrize("size", [50, 3])
+def test_blocks_hold_bounded_words(spark, monkeypatch, size):
+    """However many documents arrive at once; only a document that is longer than a block is over it, alone."""
+    monkeypatch.setattr(inv, "BLOCK_WORDS", size)
+    docs = [(i, " ".join(["a", "b"] * (i % 4))) for i in range(700)] + [(1000, "a " * 120)]
+    index = inv.build_index(spark.createDataFrame(docs, "doc_id BIGINT, text STRING").coalesce(1), new_path(spark, "test-index"))
+    words = index.filter("word <> ''").selectExpr("block", "aggregate(counts, 0, (s, n) -> s + n) AS n").groupBy("block").sum("n")
+    ids = index.filter("word = ''").selectExpr("block", "size(ids) AS docs")
+    rows = words.join(ids, "block", "right").collect()
+    assert sum(r["sum(n)"] or 0 for r in rows) == sum(len(t.split()) for _, t in docs) and sum(r.docs for r in rows) == len(docs)
+    assert all((r["sum(n)"] or 0) <= size or r.docs == 1 for r in rows)
+    terms = [("p", 1, ["a", "b", "a"], [], True), ("x", 2, ["a"], ["b"], False)]
+    found = inv.search_index(index, spark.createDataFrame(terms, inv.TERMS))
+    assert sorted(tuple(r) for r in found.collect()) == search_by_hand(docs, terms)
+
+
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id BIGINT, text STRING")
     index = inv.build_index(none, new_path(spark, "test-index"))
