@@ -6,9 +6,10 @@ form a context. Anchors that occur once anywhere are done with. Of the others, o
 same context are repeats of the first as a whole; the different contexts of one anchor are laid
 side by side, their suffixes are sorted by linear grouping, and neighbours that agree in 100 bytes are
 repeats too. Only the stretch of a context that another one shares around the anchor is sorted. The
-contexts of an anchor with very many different ones are first cut in two, the windows that begin near
-the anchor and those that begin far before it, each kept apart by the 66 bytes that all its windows
-hold; where very many still share these, they are cut to parts of fewer windows.
+different contexts of an anchor with very many of them are first cut in two, the windows that begin near
+the anchor and those that begin far before it, each kept apart by the 65 bytes that all its windows
+hold; where very many still share these, the parts are cut to thirds and fourths. A context that was there
+before is a repeat as a whole and is never cut, so each cut works on different strings only.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import keyed_texts, release, same_document, stage_once
 from folioscope.llm.suffix_array import suffix_array
+from folioscope.runtime import broadcast_if_small
 
 LENGTH = 100
 GRAM = 32
@@ -30,10 +32,9 @@ GRAM = 32
 BLOCK = 1 << 20
 # Different contexts of one anchor that are sorted together; beyond, contexts are cut to smaller parts.
 KINDS = 500
-# Window starts of a part. Two parts of the first size make up a context; a part of one window has no
-# different contexts.
-HALF = (LENGTH - GRAM) // 2 + 1
-PARTS = (HALF, 9, 1)
+# Window starts of a part, each a multiple of the next. Two parts of the first size make up a context; a part
+# of one window has no different contexts.
+PARTS = (36, 12, 4, 1)
 
 
 def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -223,47 +224,25 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["anchor", "c", "runs"])
 
 
-def halves(contexts: DataFrame) -> DataFrame:
-    """Contexts in two parts of HALF window starts, as `cut_parts` makes them, by expressions."""
-    before, least = (F.shiftright("place", by).bitwiseAND(F.lit(255)).cast("int") for by in (8, 0))
-    parts = []
-    for part in (0, 1):
-        near, far = F.greatest(least, F.lit(part * HALF)), F.least(before, F.lit(part * HALF + HALF - 1))
-        shared = F.substring("context", before - part * HALF + 1, F.lit(LENGTH - HALF + 1))
-        place = F.shiftleft(F.shiftright("place", 16), 16).bitwiseOR(F.shiftleft(far.cast("bigint"), 8)).bitwiseOR(near.cast("bigint"))
-        parts.append(contexts.filter(near <= far).select(
-            F.xxhash64(shared, F.lit(part)).alias("anchor"), "doc_id", "h", place.alias("place"),
-            F.substring("context", before - far + 1, far - near + LENGTH).alias("context")))
-    return parts[0].unionByName(parts[1])
-
-
-def cut_parts(size: int):
-    """Task function: (doc_id, h, place, context) to rows (anchor, doc_id, h, place, context) of parts.
+def cut_parts(contexts: DataFrame, size: int, whole: int) -> DataFrame:
+    """(doc_id, h, place, context) with windows of one part of `whole` to (anchor, doc_id, h, place, context) of parts of `size`.
 
     Part r has the windows that start from size * r to size * (r + 1) - 1 bytes before the anchor; its
     own anchor is a hash of r and of the bytes that all of these windows hold.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            rows, anchors, places, contexts = [], [], [], []
-            for row, (place, context) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                q, before, least = place >> 16, place >> 8 & 255, place & 255
-                for part in range(least // size, before // size + 1):
-                    near, far = max(least, part * size), min(before, part * size + size - 1)
-                    # The anchor is `before` bytes into the context; windows lie `near` to `far` before it.
-                    contexts.append(context[before - far:before - near + LENGTH])
-                    shared = context[max(before - part * size, 0):before - part * size - size + 1 + LENGTH]
-                    anchors.append(xxhash.xxh3_64_intdigest(shared, part) - (1 << 63))
-                    places.append(q << 16 | far << 8 | near)
-                    rows.append(row)
-            keys = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors, pa.int64()), *keys.columns, pa.array(places, pa.int64()), pa.array(contexts, pa.binary())],
-                names=["anchor", "doc_id", "h", "place", "context"])
-
-    return run
+    before, least = (F.shiftright("place", by).bitwiseAND(F.lit(255)).cast("int") for by in (8, 0))
+    first = F.floor(least / whole).cast("int") * (whole // size)
+    cut = []
+    for k in range(whole // size):
+        part = first + k
+        near, far = F.greatest(least, part * size), F.least(before, part * size + size - 1)
+        # The anchor is `before` bytes into the context; windows lie `near` to `far` before it.
+        shared = F.substring("context", before - part * size + 1, F.lit(LENGTH - size + 1))
+        place = F.shiftleft(F.shiftright("place", 16), 16).bitwiseOR(F.shiftleft(far.cast("bigint"), 8)).bitwiseOR(near.cast("bigint"))
+        cut.append(contexts.filter(near <= far).select(
+            F.xxhash64(shared, part).alias("anchor"), "doc_id", "h", place.alias("place"),
+            F.substring("context", before - far + 1, far - near + LENGTH).alias("context")))
+    return reduce(DataFrame.unionByName, cut)
 
 
 def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,25 +293,23 @@ def repeated_bytes(texts: DataFrame, kinds: int = KINDS) -> DataFrame:
     lists = candidates.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
     with_text = binary.join(lists, same_document(binary, lists)).select(
         binary["doc_id"], binary["h"], "text", "found")
-    key = f"anchor bigint, doc_id {id_type}, h bigint, place bigint"
     schema = f"anchor bigint, doc_id {id_type}, h bigint, place bigint, context binary"
     contexts = stage_once(with_text.mapInArrow(cut_contexts, schema).withColumn("c", F.xxhash64("context")), "contexts")
     release(candidates)
-    found = []
+    found, whole = [], 2 * PARTS[0]
     for size in (*PARTS, None):
         spans, rest = _resolve(contexts, kinds if size else None)
         found.append(spans)
         if size is None or rest.isEmpty():
             break
-        rest = rest.select("doc_id", "h", "place", "context")
-        parts = halves(rest) if size == HALF else rest.mapInArrow(cut_parts(size), schema)
-        contexts = stage_once(parts.withColumn("c", F.xxhash64("context")), "context-parts")
+        contexts = stage_once(cut_parts(rest, size, whole).withColumn("c", F.xxhash64("context")), "context-parts")
+        whole = size
     return reduce(DataFrame.unionByName, found)
 
 
 def _resolve(contexts: DataFrame, kinds: int | None) -> tuple[DataFrame, DataFrame]:
     """Spans of repeated strings among contexts whose anchor has at most `kinds` different ones (None: any
-    number), and the contexts of the other anchors."""
+    number), and of all later copies of a context; the different contexts of the other anchors, once each."""
     last = F.col("doc_id").isNull().alias("last")
     # An anchor's hash and the context's name a context; the first of it is found before the shuffle.
     distinct = stage_once(contexts.groupBy("anchor", "c").agg(
@@ -344,14 +321,16 @@ def _resolve(contexts: DataFrame, kinds: int | None) -> tuple[DataFrame, DataFra
     groups = distinct.join(several, "anchor").groupBy("anchor").agg(
         F.collect_list(F.struct("c", "context", "first.last", "first.doc_id", "first.h", "first.place")).alias("kinds"))
     runs = stage_once(groups.mapInArrow(sort_contexts, "anchor bigint, c bigint, runs array<array<bigint>>"), "repeated-runs")
-    firsts = distinct.select("anchor", "c", "first").join(many, "anchor", "left_anti").join(runs, ["anchor", "c"], "left")
+    firsts = distinct.select("anchor", "c", "first").join(runs, ["anchor", "c"], "left")
     placed = contexts.select("anchor", "c", "doc_id", "h", "place").join(firsts, ["anchor", "c"])
     own = F.struct(last, "doc_id", "h", "place")
     whole = F.array(F.array(F.lit(0).cast("bigint"), _end(F.col("place")) - LENGTH - _first_start(F.col("place"))))
     cut = F.when(own.eqNullSafe(F.col("first")), F.col("runs")).otherwise(whole)
     spans = placed.select("doc_id", "h", _first_start(F.col("place")).alias("at"), F.explode(cut).alias("run")).select(
         "doc_id", "h", (F.col("at") + F.col("run")[0]).alias("s"), (F.col("at") + F.col("run")[1] + LENGTH).alias("e"))
-    return spans, contexts.join(many, "anchor")
+    # An anchor of many holds over `kinds` contexts, so there are far fewer such anchors than contexts.
+    rest = stage_once(distinct.join(broadcast_if_small(many), "anchor").select("first.doc_id", "first.h", "first.place", "context"), "hot-contexts")
+    return spans, rest
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: int = KINDS) -> DataFrame:

@@ -295,6 +295,49 @@ def test_one_anchor_of_thousands_of_contexts(spark, kinds):
     check_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), rows, kinds)
 
 
+def test_copies_of_contexts_are_not_cut(spark, monkeypatch):
+    """Near copies: many different contexts of an anchor and far more copies of them; only the different ones go on."""
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = []
+    for i in range(900):
+        k = rng.randint(0, 399)
+        rows.append((i, text if i % 9 else text[:k] + rng.choice("XYZ") + text[k + 1:]))
+    cut, seen = suffix_dedup.cut_parts, []
+
+    def counted(contexts, *rest):
+        seen.append((contexts.count(), contexts.select("context").distinct().count()))
+        return cut(contexts, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "cut_parts", counted)
+    check_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), rows, 5)
+    assert seen and all(n < 1.5 * different for n, different in seen), seen
+
+
+@pytest.mark.parametrize("size, whole", [(36, 72), (12, 36), (4, 12), (1, 4)])
+def test_parts_hold_every_window_once(spark, size, whole):
+    """A cut keeps all windows of a context, each in one part that is named by bytes every window of the part holds."""
+    rng = random.Random(size)
+    contexts, windows = [], []
+    for i in range(60):
+        lowest = 0 if whole == 72 else rng.randrange(0, 69, 1) // whole * whole
+        least = rng.randint(lowest, min(lowest + whole - 1, 68))
+        before = rng.randint(least, min(lowest + whole - 1, 68))
+        data = bytes(rng.choices(b"abc", k=before - least + 100))
+        contexts.append((i, i, 1000 << 16 | before << 8 | least, data))
+        windows += [(i, 1000 - before + p, data[p:p + 100]) for p in range(before - least + 1)]
+    df = spark.createDataFrame(contexts, "doc_id BIGINT, h BIGINT, place BIGINT, context BINARY")
+    found, named = [], {}
+    for r in suffix_dedup.cut_parts(df, size, whole).collect():
+        q, before, least = r.place >> 16, r.place >> 8 & 255, r.place & 255
+        assert before // size == least // size and len(r.context) == before - least + 100
+        found += [(r.doc_id, q - before + p, bytes(r.context[p:p + 100])) for p in range(before - least + 1)]
+        part = before // size
+        shared = bytes(r.context[before - part * size:][:101 - size])
+        assert len(shared) == 101 - size and named.setdefault((part, shared), r.anchor) == r.anchor
+    assert sorted(found) == sorted(windows) and len(set(named.values())) == len(named)
+
+
 def test_stretches_hold_all_shared_windows():
     rng = random.Random(5)
     for _ in range(200):
