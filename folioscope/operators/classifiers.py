@@ -7,17 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folioscope.functions.vectors import as_double, concat_features
 from folioscope.operators.row_index import with_row_index
-from folioscope.operators.scoring import Blocks, Scorer, all_probabilities, all_scores, flat_lists, shares, term_block, term_scores
-from folioscope.runtime import ship, stage
+from folioscope.operators.scoring import (
+    CHUNK_VALUES, Blocks, Scorer, all_probabilities, all_scores, flat_lists, row_ranges, shares, term_block, term_scores,
+)
+from folioscope.runtime import new_path, ship, stage
 
 ship(__name__)
 
@@ -132,11 +136,34 @@ def softmax(scores: Column) -> Column:
 
 
 def term_features(sequences: DataFrame, width: int, sequence_col: str = "sequence") -> DataFrame:
-    """Add `features`, sparse counts of the word indices 1..width, for MLlib models."""
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(1, width + 1)], inputCol="__words", outputCol="features")
-    words = sequences.withColumn("__words", F.col(sequence_col).cast("array<string>"))
-    return counter.transform(words).drop("__words")
+    """Add `features`, sparse counts of the word indices 1..width, for MLlib models.
+
+    The rows are written with their counts, in the form MLlib keeps a vector in, and read back as vectors, so that a model
+    that goes over them several times does not count again.
+    """
+    udt = VectorUDT()
+
+    @F.arrow_udf(udt.sqlType())
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for a, b in row_ranges(lists, CHUNK_VALUES):
+                part = lists.slice(a, b - a)
+                lengths = flat_lists(part)[1]
+                words = pc.fill_null(part.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(part)), lengths)
+                known = (words >= 1) & (words <= width)
+                cells, n = np.unique(row[known] * width + words[known] - 1, return_counts=True)
+                ends = np.searchsorted(cells, np.arange(len(part) + 1) * width).astype(np.int32)
+                columns = {
+                    "type": pa.array(np.zeros(len(part), dtype=np.int8)), "size": pa.array(np.full(len(part), width, dtype=np.int32)),
+                    "indices": pa.ListArray.from_arrays(ends, pa.array((cells % max(width, 1)).astype(np.int32))),
+                    "values": pa.ListArray.from_arrays(ends, pa.array(n.astype(np.float64)))}
+                yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+    spark, path = sequences.sparkSession, new_path(sequences.sparkSession, "term-features")
+    sequences.withColumn("features", counted(F.col(sequence_col))).write.parquet(path)
+    fields = [field for field in sequences.schema.fields if field.name != "features"]
+    return spark.read.schema(StructType([*fields, StructField("features", udt)])).parquet(path)
 
 
 def fit_softmax(train: DataFrame, label_col: str, features_col: str = "features", max_iter: int = 100, reg: float = 1e-4):

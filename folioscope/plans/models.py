@@ -276,7 +276,7 @@ def missing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def softmax_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multinomial logistic regression on the same words."""
     features = text_features(spark, sf_dir)
-    rows = clf.term_features(features.rows, features.width)
+    rows = clf.term_features(features.rows.select("doc_id", "split", "topic_idx", "sequence"), features.width)
     model = clf.fit_softmax(rows.filter(F.col("split") == "train"), "topic_idx")
     return _classified(clf.score(model, rows), "topic_idx")
 

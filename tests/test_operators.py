@@ -302,6 +302,27 @@ def test_softmax_learns_a_separable_label_and_gives_probabilities(spark):
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in scored)
 
 
+def test_term_features_are_counted_once(spark):
+    """Counts by hand, words outside 1..width left out; passes over the rows read what was written."""
+    data = [(0, [3, 1, 3, 9, 0, -2]), (1, []), (2, [5]), (3, [7, 8]), (4, [2, None, 2, 2]), (5, list(range(5, 0, -1)) * 3)]
+    called = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def seen(words):
+        called.add(1)
+        return words
+
+    rows = spark.createDataFrame(data, "doc_id INT, words ARRAY<INT>")
+    features = term_features(rows.select("doc_id", seen("words").alias("words")), 5, "words")
+    got = {r.doc_id: r.features for r in features.collect()}
+    assert features.filter("doc_id = 2").first().words == [5] and features.columns == ["doc_id", "words", "features"]
+    for i, words in data:
+        expected = {w - 1: float(words.count(w)) for w in sorted(set(words) - {None}) if 1 <= w <= 5}
+        assert got[i].size == 5 and dict(zip(got[i].indices.tolist(), got[i].values.tolist())) == expected
+        assert got[i].indices.tolist() == sorted(expected)
+    assert called.value == len(data)
+
+
 @pytest.mark.parametrize("max_bytes", [1 << 28, 32])
 def test_mean_vectors_of_sequences(spark, max_bytes):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (3, [3.0, 4.0])], "idx INT, vector ARRAY<DOUBLE>")
