@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ DOCS_PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 1_000
 SMOOTHING = 0.5
 UNDETERMINED = "und"
-# Documents and code points counted at a time.
-_ROWS, _CODES = 256, 1 << 20
+# Documents counted at a time, and code points at which they are fewer; a longer text is cut at _CODES.
+_ROWS, _FEWER, _CODES = 64, 1 << 17, 1 << 20
+# Documents turned into Python strings at a time, whatever the size of the Arrow batches.
+_SLICE = 256
 _GRAIN = 1 << 20
 
 
@@ -68,10 +71,11 @@ def bucket_counts(rows: list[np.ndarray], bits: int) -> np.ndarray:
     return total
 
 
-def blocks(texts: list, letters: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def blocks(texts: pa.Array, letters: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """(document numbers, their codes) in pieces of bounded size; a long text is cut with overlap."""
     numbers, rows, size = [], [], 0
-    for number, text in enumerate(texts):
+    slices = (texts.slice(at, _SLICE).to_pylist() for at in range(0, len(texts), _SLICE))
+    for number, text in enumerate(chain.from_iterable(slices)):
         codes = letter_codes(text or "", letters)
         for at in range(0, max(len(codes) - ORDERS + 1, 1), _CODES):
             # Runs of fewer than ORDERS characters inside an overlap count twice; that is harmless noise
@@ -80,7 +84,7 @@ def blocks(texts: list, letters: np.ndarray) -> Iterator[tuple[list[int], list[n
             numbers.append(number)
             rows.append(part)
             size += len(part)
-            if size >= _CODES or len(rows) == _ROWS:
+            if size >= _FEWER or len(rows) == _ROWS:
                 yield numbers, rows
                 numbers, rows, size = [], [], 0
     if rows:
@@ -115,7 +119,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         letters, total = letter_table(), {}
         for batch in batches:
             labels = batch.column(0).to_pylist()
-            for numbers, rows in blocks(batch.column(1).to_pylist(), letters):
+            for numbers, rows in blocks(batch.column(1), letters):
                 cells = bucket_counts(rows, bits).reshape(len(rows), -1)
                 for row, doc in enumerate(numbers):
                     label = labels[doc]
@@ -148,10 +152,9 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
         own, letters = shared.value, letter_table()
         languages, bits = own.languages, own.bits
         for texts in batches:
-            values = texts.to_pylist()
-            sums = np.tile(own.log_prior, (len(values), 1))
-            known = np.zeros(len(values), dtype=bool)
-            for numbers, rows in blocks(values, letters):
+            sums = np.tile(own.log_prior, (len(texts), 1))
+            known = np.zeros(len(texts), dtype=bool)
+            for numbers, rows in blocks(texts, letters):
                 counts = bucket_counts(rows, bits)
                 used = np.flatnonzero(counts)
                 row, bucket, n = used >> bits, used & ((1 << bits) - 1), counts[used]
@@ -166,7 +169,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
                 names = [languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
                 score = np.where(known, share, 0.0)
             else:
-                names, score = [UNDETERMINED] * len(values), np.zeros(len(values))
+                names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             yield pa.StructArray.from_arrays(
                 [pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -84,6 +86,22 @@ def test_long_text_is_read_to_its_end(spark, monkeypatch):
     assert row.p.lang_pred == "en"
 
 
+def test_counting_holds_little_beside_the_arrow_batch():
+    texts = ["", None, "x"] + [f"{i} der Fluss und das Haus " * 40 for i in range(3000)] + ["le fleuve " * 20_000]
+    letters, batch, seen = language_id.letter_table(), pa.array(texts), []
+    tracemalloc.start()
+    try:
+        for numbers, rows in language_id.blocks(batch, letters):
+            seen += zip(numbers, language_id.bucket_counts(rows, language_id.BITS).reshape(len(rows), -1).sum(axis=1).tolist())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    codes = [len(language_id.letter_codes(t or "", letters)) for t in texts]
+    # As many runs of 1, 2 and 3 characters as the text has.
+    assert seen == [(i, sum(max(n - k, 0) for k in range(language_id.ORDERS))) for i, n in enumerate(codes)]
+    assert most < 40e6
+
+
 def test_held_out_accuracy(spark, sf_dir):
     found = queries.identify_language(spark, sf_dir)
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
@@ -313,6 +331,25 @@ def test_encoder_forgets_by_ids_as_well(monkeypatch):
     assert len(encoder.flat) < 2000
 
 
+@pytest.mark.parametrize("name, drops_space", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_with_little_memory_gives_the_same_ids(name, drops_space):
+    path, rng = public_tokenizers.path(name), random.Random(3)
+    encoder, plain = encoding.Encoder(path, drops_space, 100, 20), Tokenizer.from_file(path)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 4))) + rng.choice(",. ").strip() for _ in range(30)) for _ in range(4)]
+        ids, counts = encoder.encode(texts)
+        own = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(own, []) and counts.tolist() == list(map(len, own))
+        assert len(encoder.pieces) <= 20 and len(encoder.index) <= 100 + 4 * 30
+
+
+def test_pieces_do_not_depend_on_what_workers_remember(plain, awkward, monkeypatch):
+    whole = [sorted(map(repr, packing.token_pieces(docs, keep_ids=True).collect())) for docs in (plain, awkward)]
+    monkeypatch.setattr(packing, "REMEMBERED", (50, 5))
+    monkeypatch.setattr(packing, "_ROWS", 3)
+    assert whole == [sorted(map(repr, packing.token_pieces(docs, keep_ids=True).collect())) for docs in (plain, awkward)]
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 5, 1000):
