@@ -37,14 +37,14 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of texts; `drops_space` tells the vocabulary that drops white space from the one that keeps it.
 
-    At most about `words` words (default MAX_REMEMBERED) and `pieces` pieces of words (default: as many
-    as come with the words) are remembered; the ids do not depend on it.
+    At most `pieces` pieces of words (default: as many as come with the words) are remembered; the ids
+    do not depend on it.
     """
 
-    def __init__(self, path: str, drops_space: bool, words: int | None = None, pieces: int | None = None):
+    def __init__(self, path: str, drops_space: bool, pieces: int | None = None):
         from tokenizers import Tokenizer
 
-        self.max_words, self.max_pieces = words, pieces
+        self.max_pieces = pieces
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.drops_space = drops_space
@@ -123,7 +123,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        if len(self.index) > (self.max_words or MAX_REMEMBERED) or len(self.flat) > MAX_IDS:
+        if len(self.index) > MAX_REMEMBERED or len(self.flat) > MAX_IDS:
             self.forget()
         picked, words = array("q"), []
         # Whole texts count as one word each, held for this call only: -1, -2, ...
@@ -152,15 +152,15 @@ class Encoder:
         return flat[source], np.diff(before[bounds])
 
 
-def shared_encoder(path: str, drops_space: bool, words: int | None = None, pieces: int | None = None) -> Encoder:
+def shared_encoder(path: str, drops_space: bool, pieces: int | None = None) -> Encoder:
     """The encoder of this worker process, made on first use: what it remembers outlives the task."""
     import sys
     import types
 
     held = vars(sys.modules.setdefault("folioscope_encoders", types.ModuleType("folioscope_encoders")))
-    key = path, drops_space, words, pieces
+    key = path, drops_space, pieces
     if key not in held:
-        held[key] = Encoder(path, drops_space, words, pieces)
+        held[key] = Encoder(path, drops_space, pieces)
     return held[key]
 
 

@@ -30,8 +30,8 @@ ROUNDS = 600
 DECAY = 20.0
 # Parts that pieces of one length are ranked in, so that a common length is not one task's work.
 PARTS = 64
-# Words, and pieces of words, whose ids a Python worker remembers from text to text: about 100 MB.
-REMEMBERED = 400_000, 50_000
+# Pieces of words whose ids a Python worker remembers; those of junk words do not come again.
+PIECES = 150_000
 # Documents turned into Python strings at a time, whatever the size of the Arrow batches.
 _ROWS = 256
 
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(path, True, *REMEMBERED)
+        encoder = shared_encoder(path, drops_space=True, pieces=PIECES)
         for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             values = batch.column(2).to_pylist()
             for part in text_groups(values):

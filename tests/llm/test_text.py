@@ -332,9 +332,10 @@ def test_encoder_forgets_by_ids_as_well(monkeypatch):
 
 
 @pytest.mark.parametrize("name, drops_space", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
-def test_encoder_with_little_memory_gives_the_same_ids(name, drops_space):
+def test_encoder_with_little_memory_gives_the_same_ids(monkeypatch, name, drops_space):
+    monkeypatch.setattr(encoding, "MAX_REMEMBERED", 100)
     path, rng = public_tokenizers.path(name), random.Random(3)
-    encoder, plain = encoding.Encoder(path, drops_space, 100, 20), Tokenizer.from_file(path)
+    encoder, plain = encoding.Encoder(path, drops_space, pieces=20), Tokenizer.from_file(path)
     for _ in range(40):
         texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 4))) + rng.choice(",. ").strip() for _ in range(30)) for _ in range(4)]
         ids, counts = encoder.encode(texts)
@@ -345,7 +346,7 @@ def test_encoder_with_little_memory_gives_the_same_ids(name, drops_space):
 
 def test_pieces_do_not_depend_on_what_workers_remember(plain, awkward, monkeypatch):
     whole = [sorted(map(repr, packing.token_pieces(docs, keep_ids=True).collect())) for docs in (plain, awkward)]
-    monkeypatch.setattr(packing, "REMEMBERED", (50, 5))
+    monkeypatch.setattr(packing, "PIECES", 5)
     monkeypatch.setattr(packing, "_ROWS", 3)
     assert whole == [sorted(map(repr, packing.token_pieces(docs, keep_ids=True).collect())) for docs in (plain, awkward)]
 
