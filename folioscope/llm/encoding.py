@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once.
+"""Token ids of whole texts by the tokenizers library, each distinct piece of a word encoded once.
 
 Both vocabularies cut a text into pieces before merging, and no piece reaches across white space:
 one drops white space, the other hangs a space on the following word. So a text is the sequence of
-its words, and the ids of a word are remembered. Words made of plain Latin letters and simple
-punctuation go to the model piece by piece; all others, and whole texts with unusual white space or
+its words. Arrow cuts the texts of a call into words and finds the distinct ones; words made of plain
+Latin letters and simple punctuation are cut into these two, go to the model piece by piece, and the
+ids of the pieces are remembered. All other words, and whole texts with unusual white space or
 anything like a special token, go through the full tokenizer.
 """
 
@@ -11,10 +12,13 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Words remembered before the memory is emptied: about 250 MB.
+# Pieces of words, and words that cannot be cut, remembered before the memory is emptied: about 100 MB.
 MAX_REMEMBERED = 700_000
 # The same for their ids, which few huge words may fill: 32 MB.
 MAX_IDS = 8_000_000
@@ -23,6 +27,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r".,;:!?&$#%*()\"+=/\-"
 _PLAIN = re.compile(f"([ \n]?)([{_LETTERS}]+)([{_MARKS}]*)")
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+# The same and all else that only the full tokenizer will do with, for Arrow.
+_ODD_TEXT = _ODD_SPACE.pattern + r"|\x00|<\||  | \n|\n |\n\n|^[ \n]|[ \n]$|^$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,7 +43,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of texts; `drops_space` tells the vocabulary that drops white space from the one that keeps it.
 
-    At most `pieces` pieces of words (default: as many as come with the words) are remembered; the ids
+    At most `pieces` pieces of words (default: `MAX_REMEMBERED`) are remembered from call to call; the ids
     do not depend on it.
     """
 
@@ -49,32 +55,42 @@ class Encoder:
         self.model = self.tokenizer.model
         self.drops_space = drops_space
         self.letters = byte_letters()
+        first = "" if drops_space else r"[\x00\n]?"
+        self.parts = f"^(?P<head>{first}[{_LETTERS}]+)(?P<tail>[{_MARKS}]*)$"
         self.forget()
 
     def forget(self) -> None:
-        owner = self
-
-        class Remembered(dict):
-            def __missing__(self, word):
-                return owner.learn(word)
-
-        self.index = Remembered()
+        self.index: dict[str, int] = {}
         self.pieces: dict[str, bytes] = {}
         self.flat = array("I")
-        self.starts = array("q")
-        self.lengths = array("q")
-
-    def learn(self, word) -> int:
-        text = word.decode("utf-8", "surrogatepass") if self.drops_space else self.chunk(word)
-        number = self.index[word] = self.keep(self.ids_of(text))
-        return number
-
-    def keep(self, ids: bytes) -> int:
-        number = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.lengths.append(len(ids) // 4)
-        self.flat.frombytes(ids)
-        return number
+        # Where the ids of every number begin, in bytes, and the end of the last.
+        self.cuts = array("q", [0])
+
+    def learn(self, keys: list[str]) -> None:
+        """Remember the ids of new keys of `numbered`, which get the next numbers."""
+        self.index.update(zip(keys, range(len(self.index), len(self.index) + len(keys))))
+        flat, cuts, tokenize, newline = self.flat, self.cuts, self.model.tokenize, array("I", self.piece("\n"))
+        space = "" if self.drops_space else self.letters[ord(" ")]
+        for key in keys:
+            if key.startswith(" \0"):
+                flat.frombytes(self.whole(key[2:] if self.drops_space else self.chunk(key[2:])))
+            else:
+                first = key[0]
+                text = key[1:] if first in " \0\n" else key
+                # ASCII letters and marks stand for themselves.
+                if not text.isascii():
+                    text = text.encode("utf-8").decode("latin-1").translate(self.letters)
+                if first == "\n":
+                    flat.extend(newline)
+                elif first not in " \0":
+                    text = space + text
+                flat.extend([token.id for token in tokenize(text)])
+            cuts.append(4 * len(flat))
+
+    def remembered(self) -> pa.Array:
+        """The ids of every number, as bytes."""
+        buffers = [None, pa.py_buffer(self.cuts), pa.py_buffer(self.flat)]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.cuts) - 1, buffers)
 
     @staticmethod
     def chunk(key: str) -> str:
@@ -107,49 +123,66 @@ class Encoder:
             head = self.piece(space + letters)
         return head + self.piece(marks) if marks else head
 
-    def words(self, text: str) -> list | None:
-        """Keys of the words of a text; None where only the full tokenizer will do."""
-        if "<|" in text:
-            return None
+    def odd(self, texts: pa.Array) -> pa.Array:
+        """Whether only the full tokenizer will do."""
+        return pc.match_substring(texts, "<|") if self.drops_space else pc.match_substring_regex(texts, _ODD_TEXT)
+
+    def words(self, texts: pa.Array) -> pa.Array:
+        """Words of texts that are not odd, each after a space or with the line break it follows; NUL begins the first."""
         if self.drops_space:
-            return text.encode("utf-8", "surrogatepass").split()
-        if _ODD_SPACE.search(text) or "\0" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-            return None
-        if not text or text[0] in " \n" or text[-1] in " \n":
-            return None
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return pc.split_pattern(pc.replace_substring_regex(texts, r"[\t-\r]", " "), " ")
+        first = pc.binary_join_element_wise(pa.scalar("\0", texts.type), texts, pa.scalar("", texts.type))
+        return pc.split_pattern(pc.replace_substring(first, "\n", " \n"), " ")
+
+    def numbered(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(numbers of the first piece of every word, of the second or NULL): letters and marks, where the keys
+        of marks have a space in front, or a word that cannot be cut, after a space and a NUL."""
+        def after(prefix: str, texts: pa.Array) -> pa.Array:
+            return pc.binary_join_element_wise(pa.scalar(prefix, texts.type), texts, pa.scalar("", texts.type))
+
+        parts = pc.extract_regex(words, self.parts)
+        head, tail = (pc.struct_field(parts, [name]) for name in ("head", "tail"))
+        if self.drops_space:
+            head = pc.utf8_lower(head)
+        marked = pc.fill_null(pc.greater(pc.binary_length(tail), 0), False)
+        first = pc.coalesce(head, after(" \0", words))
+        keys = pa.concat_arrays([first, after(" ", tail.filter(marked))]).dictionary_encode()
+        names = keys.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.index.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(known < 0)
+        known[new] = len(self.index) + np.arange(len(new))
+        self.learn([names[at] for at in new])
+        number = known[keys.indices.to_numpy()]
+        marked = marked.to_numpy(zero_copy_only=False)
+        second = np.zeros(len(words), dtype=np.int64)
+        second[marked] = number[len(words):]
+        return number[:len(words)], pa.array(second, mask=~marked)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        if len(self.index) > MAX_REMEMBERED or len(self.flat) > MAX_IDS:
+        if len(self.index) > min(MAX_REMEMBERED, self.max_pieces or MAX_REMEMBERED) or len(self.flat) > MAX_IDS:
             self.forget()
-        picked, words = array("q"), []
-        # Whole texts count as one word each, held for this call only: -1, -2, ...
-        held, held_lengths = array("I"), []
-        for text in texts:
-            keys = self.words(text)
-            if keys is None:
-                own = self.whole(text)
-                held.frombytes(own)
-                held_lengths.append(len(own) // 4)
-                picked.append(-len(held_lengths))
-                words.append(1)
-            else:
-                picked.extend(map(self.index.__getitem__, keys))
-                words.append(len(keys))
-        number = np.array(picked, dtype=np.int64)
-        number = np.where(number < 0, len(self.starts) - 1 - number, number)
-        extra = np.array(held_lengths, dtype=np.int64)
-        lengths = np.concatenate((np.array(self.lengths), extra))[number]
-        starts = np.concatenate((np.array(self.starts), len(self.flat) + np.cumsum(extra) - extra))[number]
-        flat = np.concatenate((np.array(self.flat, dtype=np.uint32), np.array(held, dtype=np.uint32)))
-        ends = np.cumsum(lengths)
-        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-        bounds = np.concatenate(([0], np.cumsum(words))).astype(np.int64)
-        before = np.concatenate(([0], ends))
-        return flat[source], np.diff(before[bounds])
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        odd = self.odd(texts)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        words = self.words(texts.filter(pc.invert(odd)))
+        found = words.flatten().dictionary_encode()
+        first, second = self.numbered(found.dictionary)
+        table, none = self.remembered(), pa.scalar(b"", pa.large_binary())
+        distinct = pc.binary_join_element_wise(table.take(pa.array(first)), pc.fill_null(table.take(second), none), none)
+        # Odd texts count as one word each, held for this call only.
+        whole = pa.array([self.whole(text.as_py()) for text in texts.filter(odd)], pa.large_binary())
+        counts = np.ones(len(texts), dtype=np.int64)
+        counts[~is_odd] = pc.list_value_length(words).to_numpy()
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        number = np.full(bounds[-1], -1)
+        number[bounds[:-1][is_odd]] = len(distinct) + np.arange(len(whole))
+        number[number < 0] = found.indices.to_numpy()
+        ids = pa.concat_arrays([distinct, whole]).take(pa.array(number))
+        _, cuts, data = ids.buffers()
+        cuts = np.frombuffer(cuts, dtype=np.int64)[:len(ids) + 1] // 4
+        return np.frombuffer(data or b"", dtype=np.uint32)[:cuts[-1]], np.diff(cuts[bounds])
 
 
 def shared_encoder(path: str, drops_space: bool, pieces: int | None = None) -> Encoder:
@@ -164,11 +197,12 @@ def shared_encoder(path: str, drops_space: bool, pieces: int | None = None) -> E
     return held[key]
 
 
-def text_groups(texts: list, size: int = 1 << 20):
-    """Slices of the list with about `size` characters each; a longer text is alone."""
+def text_groups(texts: list | pa.Array, size: int = 1 << 20):
+    """Slices with about `size` characters (of an Arrow array: bytes) each; a longer text is alone."""
+    lengths = pc.binary_length(texts).to_pylist() if isinstance(texts, pa.Array) else map(len, texts)
     begin, total = 0, 0
-    for end, text in enumerate(texts, start=1):
-        total += len(text)
+    for end, length in enumerate(lengths, start=1):
+        total += length
         if total >= size:
             yield slice(begin, end)
             begin, total = end, 0

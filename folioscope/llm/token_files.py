@@ -23,6 +23,8 @@ from folioscope.runtime import new_path
 END_ID = 0
 # Tokens after which a block is closed.
 BLOCK_TOKENS = 1 << 21
+# Bytes of text encoded at a time: the more, the more words repeat.
+GROUP_BYTES = 1 << 21
 # Ids below this are counted in a table; sparse larger ones are sorted.
 COUNTED_IDS = 1 << 22
 
@@ -45,11 +47,12 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     rank_of = np.empty(int(known.max()) + 1 if len(ids) else 0, dtype="<u4")
     rank_of[used[order] if known is ids else order] = np.arange(len(used))
     ranks = rank_of[known]
-    size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    width = int(size.max()) if len(size) else 1
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     codes[:len(ranks)] = size - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) < size[:, None]]
     return used[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
@@ -104,8 +107,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            values = batch.column(1).to_pylist()
-            for group in text_groups(values):
+            values = batch.column(1)
+            for group in text_groups(values, GROUP_BYTES):
                 own, sizes = encoder.encode(values[group])
                 ends = np.cumsum(sizes)
                 ids.append(np.insert(own, ends, np.uint32(end_id)))

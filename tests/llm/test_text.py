@@ -344,6 +344,20 @@ def test_encoder_with_little_memory_gives_the_same_ids(monkeypatch, name, drops_
         assert len(encoder.pieces) <= 20 and len(encoder.index) <= 100 + 4 * 30
 
 
+@pytest.mark.parametrize("name, drops_space", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_remembers_pieces_of_words_once(name, drops_space):
+    path, rng = public_tokenizers.path(name), random.Random(4)
+    encoder, plain = encoding.Encoder(path, drops_space), Tokenizer.from_file(path)
+    stems = ["".join(rng.choices("abcdefghé", k=9)) for _ in range(100)]
+    marks = ["", ".", ",", ";", "!", "?", "...", '."', "),"]
+    texts = [rng.choice([" ", "\n"]).join(["of", *(stem + mark for stem in rng.sample(stems, 100))]) for mark in marks for _ in range(3)]
+    ids, counts = encoder.encode(pa.array(["", *texts, "two  spaces", "don't\n(this)"]))
+    own = [plain.encode(t, add_special_tokens=False).ids for t in ["", *texts, "two  spaces", "don't\n(this)"]]
+    assert ids.tolist() == sum(own, []) and counts.tolist() == list(map(len, own))
+    # A stem after a space and after a line break, the first word, the marks, and words of the two texts at the end.
+    assert len(encoder.index) <= 2 * len(stems) + len(marks) + 5
+
+
 def test_pieces_do_not_depend_on_what_workers_remember(plain, awkward, monkeypatch):
     whole = [sorted(map(repr, packing.token_pieces(docs, keep_ids=True).collect())) for docs in (plain, awkward)]
     monkeypatch.setattr(packing, "PIECES", 5)
