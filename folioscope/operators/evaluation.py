@@ -20,6 +20,8 @@ from folioscope.runtime import broadcast_if_small, stage
 COVERAGE_STEP = 10
 K90_ACCURACY = 0.9
 RESAMPLES = 1000
+# Draws of one resample that a task makes at a time.
+DRAWS_AT_ONCE = 1 << 17
 
 
 def true_ranks(scored: DataFrame, *keep: str, scores_col: str = "scores", label_col: str = "label_idx") -> DataFrame:
@@ -134,17 +136,26 @@ def bootstrap_histogram(histogram: DataFrame, resamples: int, *groups: str, n_dr
     Drawing rows and counting their ranks is one multinomial draw, so the cost is resamples x classes,
     independent of the number of scored rows. With `draw`, position draw(b, i, n) of the n rows in
     order of true rank is the i-th one taken (for draws that other engines can repeat); that costs
-    resamples x draws. Resamples spread over tasks.
+    resamples x draws. Resamples spread over tasks: their number is given, or the few bytes of the
+    histograms would be put into one task.
     """
+    tasks = min(resamples, 4 * histogram.sparkSession.sparkContext.defaultParallelism)
     packed = histogram.groupBy(*groups).agg(
         F.array_sort(F.collect_list(F.struct("true_rank", "n"))).alias("__bars")  # one entry per class
     )
     trials = (
         packed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-        .repartition("b")
+        .repartition(tasks, "b")
         .withColumn("__ns", F.transform("__bars", lambda bar: bar["n"]))
     )
 
+    def repeated(b: int, n: np.ndarray, size: int) -> np.ndarray:
+        ends, counts = n.cumsum(), np.zeros(len(n), dtype="int64")
+        for start in range(0, size, DRAWS_AT_ONCE):
+            rows = draw(b, np.arange(start, min(start + DRAWS_AT_ONCE, size)), int(ends[-1]))
+            counts += np.bincount(np.searchsorted(ends, rows, side="right"), minlength=len(n))
+        return counts
+
     @F.pandas_udf("array<bigint>")
     def multinomial(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for numbers, counts in batches:
@@ -155,8 +166,7 @@ def bootstrap_histogram(histogram: DataFrame, resamples: int, *groups: str, n_dr
                 if draw is None:
                     drawn.append(np.random.default_rng((seed, int(b))).multinomial(size, n / n.sum()))
                 else:
-                    rows = draw(int(b), np.arange(size), int(n.sum()))
-                    drawn.append(np.bincount(np.searchsorted(n.cumsum(), rows, side="right"), minlength=len(n)))
+                    drawn.append(repeated(int(b), n, size))
             yield pd.Series(drawn, index=numbers.index, dtype="object")
 
     drawn = trials.withColumn("__drawn", multinomial("b", "__ns"))

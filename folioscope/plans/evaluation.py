@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +14,14 @@ from folioscope.operators import vocabulary as voc
 from folioscope.plans import models, sql
 from folioscope.plans.registry import query
 from folioscope.plans.tables import articles, load
-from folioscope.runtime import stage
+from folioscope.runtime import ship, stage
+
+ship(__name__)
 
-# Fixed value: rows drawn for every resample.
+# Fixed value: rows drawn for every resample of the vector models.
 N_DRAWS = 1001
+# Multiplier and mask of `_mixed`; products stay below 2^63.
+MIX, MASK = 73_244_475, 2**32 - 1
 # Areas are multiples of small decimal fractions; fewer digits would put exact ties on the rounding edge.
 DIGITS = 8
 
@@ -137,11 +144,41 @@ def k90(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- bootstrap ---------------------------------------------------------------------------------
 
-def _with_resamples(ranks: DataFrame) -> DataFrame:
-    """(model, b, true_rank, n) of the test split; b = 0 holds the estimate itself."""
+def _stepped(b: int, i: np.ndarray, n: int) -> np.ndarray:
+    """Rows of n that resample b takes in its draws i, in steps of one length; any engine can repeat this.
+
+    As many steps as rows take every row once wherever step and n have no common factor, so this is for
+    fixed numbers of draws.
+    """
+    return (b * 7919 + i * 104729 + b * i * 31) % n
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit mixing of whole numbers."""
+    x = (x ^ (x >> 16)) * MIX & MASK
+    x = (x ^ (x >> 16)) * MIX & MASK
+    return x ^ (x >> 16)
+
+
+def _mixed_sql(x: str, name: str) -> str:
+    """Columns ending in {name}: `_mixed` of the column x."""
+    return f"""(xor({x}, {x} >> 16) * {MIX}) & {MASK} AS {name}_1, (xor({name}_1, {name}_1 >> 16) * {MIX}) & {MASK} AS {name}_2,
+  xor({name}_2, {name}_2 >> 16) AS {name}"""
+
+
+def _scattered(b: int, i: np.ndarray, n: int) -> np.ndarray:
+    """Rows of n (up to 2^32) that resample b takes in its draws i, with replacement; any engine can repeat this."""
+    return _mixed(_mixed(i) + b) % n
+
+
+def _with_resamples(ranks: DataFrame, n_draws: int | None = N_DRAWS,
+                    draw: Callable[[int, np.ndarray, int], np.ndarray] = _stepped) -> DataFrame:
+    """(model, b, true_rank, n) of the test split; b = 0 holds the estimate itself.
+
+    Without `n_draws` a resample has as many rows as the model has in the test split.
+    """
     test = ev.rank_histogram(ranks.filter(F.col("split") == "test"), "model")
-    draw = lambda b, i, n: (b * 7919 + i * 104729 + b * i * 31) % n  # noqa: E731  any engine can repeat this
-    resampled = ev.bootstrap_histogram(test, ev.RESAMPLES, "model", n_draws=N_DRAWS, draw=draw)
+    resampled = ev.bootstrap_histogram(test, ev.RESAMPLES, "model", n_draws=n_draws, draw=draw)
     return test.withColumn("b", F.lit(0)).unionByName(resampled)
 
 
@@ -164,6 +201,15 @@ diffs AS (SELECT model, metric, b, value - estimate AS difference, estimate FROM
 ivals AS (SELECT model, metric, any_value(estimate) AS estimate, any_value(estimate) - quantile_cont(difference, 0.95) AS lower,
   any_value(estimate) - quantile_cont(difference, 0.05) AS upper FROM diffs GROUP BY model, metric)"""]
 _BOOT_SQL = sql.with_(sql.VECTOR_MODELS, *_BOOT_PARTS, body="{}")
+# As many draws as rows, made with replacement.
+_WHOLE_BOOT = f"""test AS (SELECT model, true_rank, row_number() OVER (PARTITION BY model ORDER BY true_rank, vec_id) - 1 AS idx
+  FROM ranks WHERE split = 'test'),
+n AS (SELECT model, count(*) AS n FROM test GROUP BY model),
+draws AS (SELECT model, n, {_mixed_sql("i", "m")} FROM (SELECT model, n, unnest(range(0, n)) AS i FROM n)),
+numbered AS (SELECT model, n, b, m + b AS s FROM draws CROSS JOIN (SELECT CAST(unnest(range(1, {ev.RESAMPLES + 1})) AS BIGINT) AS b)),
+picks AS (SELECT model, b, {_mixed_sql("s", "p")}, p % n AS idx FROM numbered),
+boot AS (SELECT model, CAST(b AS INTEGER) AS b, true_rank, count(*) AS n FROM picks JOIN test USING (model, idx) GROUP BY ALL
+  UNION ALL SELECT model, 0, true_rank, count(*) FROM test GROUP BY ALL)"""
 
 
 @query("e6_bootstrap", _BOOT_SQL.format("SELECT model, b, accuracy, auc, k90 FROM perf"))
@@ -214,9 +260,12 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stacked AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, c) AS r FROM sts),
 ranks AS (SELECT 'baseline' AS model, doc_id AS vec_id, split, r AS true_rank FROM nbj WHERE c = label_idx
   UNION ALL SELECT 'embedding', doc_id, split, r FROM stacked JOIN targets USING (doc_id) WHERE c = journal_idx),
-ncls AS (SELECT count(DISTINCT source) AS nc FROM documents)""", *_BOOT_PARTS, body=_COMPARISON))
+ncls AS (SELECT count(DISTINCT source) AS nc FROM documents)""", _WHOLE_BOOT, *_BOOT_PARTS[1:], body=_COMPARISON))
 def text_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The journal classifiers that read texts: naive Bayes on words against the stacked model."""
+    """The journal classifiers that read texts: naive Bayes on words against the stacked model.
+
+    Every resample is as large as the test split, so the intervals narrow as it grows.
+    """
     features = models.text_features(spark, sf_dir)
     scored = {
         "baseline": ev.true_ranks(
@@ -224,7 +273,7 @@ def text_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding": ev.true_ranks(models.stacked_scores(spark, sf_dir, features), "doc_id", "split"),
     }
     parts = [ranks.withColumn("model", F.lit(name)) for name, ranks in scored.items()]
-    resampled = _with_resamples(parts[0].unionByName(parts[1]))
+    resampled = _with_resamples(parts[0].unionByName(parts[1]), n_draws=None, draw=_scattered)
     return _comparison(ev.performance(resampled, features.n_journals, "model", "b", step=1, digits=DIGITS))
 
 

@@ -1,10 +1,14 @@
 """Metrics against plain Python, bootstrap properties."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from folioscope.operators import evaluation as ev
+from folioscope.plans import evaluation as plans
+from tests.compare import compare
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +97,58 @@ def test_intervals(spark):
     assert row.upper == pytest.approx(0.5 - np.quantile(deltas, 0.05))
     ordered = [r.difference for r in ev.sorted_differences(df, "model").collect()]
     assert np.allclose(ordered, sorted(deltas))
+
+
+def test_draws_of_a_resample_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ev, "DRAWS_AT_ONCE", 7)
+    hist = spark.createDataFrame([(1, 30), (3, 20)], "true_rank INT, n BIGINT")
+    drawn = ev.bootstrap_histogram(hist, 3, draw=plans._scattered)
+    want = {}
+    for b in range(1, 4):
+        for row in plans._scattered(b, np.arange(50), 50):
+            key = (b, 1 if row < 30 else 3)
+            want[key] = want.get(key, 0) + 1
+    assert {(r.b, r.true_rank): r.n for r in drawn.collect()} == want
+
+
+def test_whole_resamples_vary_like_draws_with_replacement(spark):
+    sizes = {"a": (3001, 0.3), "b": (1500, 0.1)}  # one size without and one with small factors
+    rows = [(m, i, "test", 1 if i < n * p else 2) for m, (n, p) in sizes.items() for i in range(n)]
+    ranks = spark.createDataFrame(rows + [("a", 9999, "train", 1)], "model STRING, vec_id INT, split STRING, true_rank INT")
+    found = plans._with_resamples(ranks, n_draws=None, draw=plans._scattered)
+    hits = F.sum(F.when(F.col("true_rank") == 1, F.col("n")).otherwise(0))
+    drawn = found.groupBy("model", "b").agg(F.sum("n").alias("n"), hits.alias("hits")).collect()
+    for m, (n, p) in sizes.items():
+        assert {r.n for r in drawn if r.model == m} == {n}
+        shares = np.array([r.hits / n for r in drawn if r.model == m and r.b > 0])
+        expected = np.sqrt(p * (1 - p) / n)
+        assert len(shares) == ev.RESAMPLES
+        assert abs(shares.mean() - p) < expected / 5 and 0.9 < shares.std() / expected < 1.1
+
+
+def test_text_comparison_draws_whole_test_split(spark, tmp_path):
+    """30 test rows: shares of a resample are whole thirtieths (quantiles 49.95 and 949.05 lie between two of them
+    by twentieths); of 1,001 draws they are not."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for i in range(300):
+        journal = int(rng.integers(1, 5))
+        own = [f"w{int(rng.integers(0, 6)) + (3 * journal if rng.random() < 0.4 else 0)}" for _ in range(12)]
+        docs.append((i, " ".join(own), "en" if journal % 2 else "de", f"src{journal}", 0))
+    vectors = [(i, rng.normal(size=64).tolist(), i % 4) for i in range(20)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"),
+        "embeddings": spark.createDataFrame(vectors, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT"),
+    }
+    con = duckdb.connect()
+    for name, table in tables.items():
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    name = "e8_text_model_comparison"
+    found = [r for r in entry_point.queries()[name](spark, str(tmp_path)).collect() if r.metric == "accuracy"]
+    assert sorted(r.model for r in found) == ["baseline", "embedding"]
+    for r in found:
+        for value in (r.estimate, r.lower, r.upper):
+            assert value * 600 == pytest.approx(round(value * 600), abs=1e-4)
+        assert r.lower < r.estimate < r.upper
+    assert compare(spark, con, str(tmp_path), entry_point.queries()[name], entry_point.oracle_sql()[name]) == []
